@@ -1,3 +1,57 @@
-"""Registered queries (filled in below)."""
+"""Registered text queries over `documents`: vocabulary (L3) and TF-IDF
+(M6/M7, A11)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threatframe.functions.stopwords import german_english, sql_list
+from threatframe.operators import text
+from threatframe.plans.registry import load, register
+
+VOCAB = 500
+
+
+def _sql_terms() -> str:
+    """DuckDB form of `text.tokens`: tokens by position, stop words removed,
+    positions renumbered, bigrams from adjacent positions."""
+    return f"""
+WITH stop AS (SELECT unnest([{sql_list(german_english())}]) AS w),
+tok AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
+                                                '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t
+              FROM documents)),
+kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p
+         FROM tok WHERE term NOT IN (SELECT w FROM stop)),
+terms AS (SELECT doc_id, term FROM kept
+          UNION ALL
+          SELECT a.doc_id, a.term || ' ' || b.term FROM kept a
+          JOIN kept b ON b.doc_id = a.doc_id AND b.p = a.p + 1),
+tc AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term),
+vocab AS (SELECT term, cf, df, row_number() OVER (ORDER BY cf DESC, term) AS rank
+          FROM stats ORDER BY cf DESC, term LIMIT {VOCAB})"""
+
+
+@register("q_topk", sql=_sql_terms() + """
+SELECT term, CAST(cf AS BIGINT) AS cf, df, rank FROM vocab""")
+def q_topk(spark, sf_dir):
+    """L3 + A11: the 500 most frequent uni/bigrams after stop words, with
+    corpus and document frequency."""
+    docs = load(spark, sf_dir, "documents")
+    tc = text.term_counts(text.tokens(docs, "doc_id", "text"), "doc_id")
+    v = text.vocabulary(tc, VOCAB)
+    return v.select("term", F.col("cf").cast("long").alias("cf"), "df", "rank")
+
+
+@register("q_tfidf", sql=_sql_terms() + """,
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT tc.doc_id, tc.term, tc.tf * (ln((1 + n.n) / (1 + v.df)) + 1) AS w
+      FROM tc JOIN vocab v USING (term) CROSS JOIN n),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
+def q_tfidf(spark, sf_dir):
+    """M6: smoothed TF-IDF over the 500-term vocabulary, L2 per document."""
+    docs = load(spark, sf_dir, "documents")
+    out = text.tfidf_long(docs, "doc_id", "text", VOCAB)
+    return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
