@@ -1,3 +1,227 @@
-"""Registered queries (filled in below)."""
+"""Registered metric and model queries: class weight, AUC, report, folds,
+kNN, SMOTE, boosted trees, importances, isolation forest, two-stage scoring."""
 
 from __future__ import annotations
+
+from fractions import Fraction
+
+from pyspark.sql import functions as F
+
+from threatframe.functions.scalars import hash_fraction_sql
+from threatframe.operators import agg, metrics, model, novelty, resample, split
+from threatframe.plans.registry import load, register
+
+GBT_ROUNDS = 20   # queries fit few rounds; the training plan takes the full setting
+
+
+def _scored_docs(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return d.join(lab, "doc_id").withColumn("score", F.col("n_chars").cast("double"))
+
+
+_DOCS_SQL = """
+  SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label
+  FROM documents d JOIN labels l USING (doc_id)"""
+
+
+@register("q_class_weight", sql=f"""
+SELECT count(*) FILTER (WHERE label = 0) AS n_neg, count(*) FILTER (WHERE label = 1) AS n_pos,
+       round(count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1), 6) AS w_pos
+FROM ({_DOCS_SQL})""")
+def q_class_weight(spark, sf_dir):
+    """A3 + A4."""
+    w = agg.class_weight(_scored_docs(spark, sf_dir))
+    return w.select("n_neg", "n_pos", F.round("w_pos", 6).alias("w_pos"))
+
+
+@register("q_auc", sql=f"""
+WITH b AS ({_DOCS_SQL}),
+r AS (SELECT *, rank() OVER (ORDER BY score) AS lo, count(*) OVER (PARTITION BY score) AS c FROM b),
+a AS (SELECT sum(CASE WHEN label = 1 THEN lo + (c - 1) / 2.0 ELSE 0 END) AS r1,
+             sum(label) AS p, count(*) - sum(label) AS n FROM r)
+SELECT CAST(p AS BIGINT) AS n_pos, CAST(n AS BIGINT) AS n_neg,
+       round((r1 - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM a""")
+def q_auc(spark, sf_dir):
+    """A5: ROC AUC of `n_chars` as a score for the quality label."""
+    b = _scored_docs(spark, sf_dir)
+    a = metrics.auc(b, "score", "label")
+    counts = b.agg(F.count_if(F.col("label") == 1).alias("n_pos"),
+                   F.count_if(F.col("label") == 0).alias("n_neg"))
+    return agg.attach_one_row(a, counts).select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+
+
+@register("q_report", sql=f"""
+WITH b AS (SELECT label, CASE WHEN score >= 2000 THEN 1 ELSE 0 END AS pred FROM ({_DOCS_SQL})),
+c AS (SELECT k AS cls, count(*) FILTER (WHERE label = k) AS s, count(*) FILTER (WHERE pred = k) AS q,
+             count(*) FILTER (WHERE label = k AND pred = k) AS t
+      FROM b, (SELECT 0 AS k UNION ALL SELECT 1) ks GROUP BY k),
+m AS (SELECT CAST(cls AS VARCHAR) AS "row",
+             CASE WHEN q > 0 THEN t / q ELSE 0.0 END AS precision,
+             CASE WHEN s > 0 THEN t / s ELSE 0.0 END AS recall, s AS support
+      FROM c WHERE s + q > 0),
+m2 AS (SELECT *, CASE WHEN precision + recall > 0
+                      THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m),
+allr AS (
+  SELECT "row", precision, recall, f1, support FROM m2
+  UNION ALL
+  SELECT 'accuracy', NULL, NULL, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), count(*) FROM b
+  UNION ALL
+  SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM m2
+  UNION ALL
+  SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+         sum(f1 * support) / sum(support), sum(support) FROM m2)
+SELECT "row", round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM allr""")
+def q_report(spark, sf_dir):
+    """Classification report for the rule `n_chars ≥ 2000` (F7 threshold form)."""
+    b = _scored_docs(spark, sf_dir).withColumn("pred", (F.col("score") >= 2000).cast("int"))
+    r = metrics.classification_report(b, "label", "pred")
+    return r.select("row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("support").cast("long").alias("support"))
+
+
+_FOLDS_SQL = """
+  (row_number() OVER (PARTITION BY {label} ORDER BY md5('42:' || CAST({id} AS VARCHAR)), {id}) - 1) % 5"""
+
+
+@register("q_folds", sql=f"""
+SELECT doc_id, quality, CAST({_FOLDS_SQL.format(label='quality', id='doc_id')} AS INTEGER) AS fold
+FROM labels""")
+def q_folds(spark, sf_dir):
+    """M9 + W4: stratified 5-fold assignment by seeded hash rank within label."""
+    lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    return split.stratified_folds(lab, "doc_id", "quality").select("doc_id", "quality", "fold")
+
+
+@register("q_fold_stats", sql=f"""
+WITH b AS ({_DOCS_SQL}),
+f AS (SELECT *, {_FOLDS_SQL.format(label='label', id='doc_id')} AS fold FROM b),
+r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) AS lo,
+             count(*) OVER (PARTITION BY fold, score) AS c FROM f),
+a AS (SELECT fold, sum(CASE WHEN label = 1 THEN lo + (c - 1) / 2.0 ELSE 0 END) AS r1,
+             sum(label) AS p, count(*) - sum(label) AS n FROM r GROUP BY fold),
+auc AS (SELECT fold, (r1 - p * (p + 1) / 2.0) / (p * n) AS auc FROM a)
+SELECT count(*) AS n_folds, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std
+FROM auc""")
+def q_fold_stats(spark, sf_dir):
+    """A5 per fold + A8: mean and population std of the fold AUCs."""
+    b = split.stratified_folds(_scored_docs(spark, sf_dir), "doc_id", "label")
+    per = metrics.auc(b, "score", "label", ["fold"])
+    s = metrics.fold_summary(per)
+    return s.select("n_folds", F.round("auc_mean", 6).alias("auc_mean"),
+                    F.round("auc_std", 6).alias("auc_std"))
+
+
+_MINOR_SQL = "SELECT vec_id, embedding FROM embeddings WHERE label = 0"
+_D2_SQL = ("list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: "
+           "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * "
+           "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))")
+_KNN_SQL = f"""
+m AS ({_MINOR_SQL}),
+p AS (SELECT a.vec_id, b.vec_id AS nn_id, {_D2_SQL} AS d2 FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, nn_id) AS nn_rank
+                      FROM p) WHERE nn_rank <= 5)"""
+
+
+@register("q_knn", sql=f"""
+WITH {_KNN_SQL}
+SELECT vec_id, nn_id, CAST(nn_rank AS INTEGER) AS nn_rank, round(sqrt(d2), 6) AS dist FROM nn""")
+def q_knn(spark, sf_dir):
+    """M8 (neighbours): exact 5 nearest minority neighbours of each minority point."""
+    e = load(spark, sf_dir, "embeddings").filter(F.col("label") == 0)
+    out = resample.knn(e, "vec_id", "embedding", 5)
+    return out.select("vec_id", "nn_id", F.col("nn_rank").cast("int").alias("nn_rank"),
+                      F.round("dist", 6).alias("dist"))
+
+
+@register("q_smote", sql=f"""
+WITH {_KNN_SQL},
+cnt AS (SELECT count(*) FILTER (WHERE label = 0) AS m, count(*) FILTER (WHERE label <> 0) AS big
+        FROM embeddings),
+j AS (SELECT unnest(range(0, CAST(floor(0.3 * big) - m AS BIGINT))) AS synth_id, m FROM cnt),
+base AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM m),
+g AS (SELECT j.synth_id, base.vec_id AS base_id, base.embedding AS be,
+             CAST(floor({hash_fraction_sql('42:nn', 'j.synth_id')} * 5) + 1 AS BIGINT) AS nn_rank,
+             {hash_fraction_sql('42:u', 'j.synth_id')} AS u
+      FROM j JOIN base ON base.i = (j.synth_id % j.m) + 1),
+s AS (SELECT g.synth_id, g.base_id, nn.nn_id, g.u,
+             list_transform(range(1, len(g.be) + 1), lambda k:
+               CAST(g.be[k] AS DOUBLE) + g.u * (CAST(e.embedding[k] AS DOUBLE) - CAST(g.be[k] AS DOUBLE)))
+               AS pt
+      FROM g JOIN nn ON nn.vec_id = g.base_id AND nn.nn_rank = g.nn_rank
+      JOIN m e ON e.vec_id = nn.nn_id)
+SELECT synth_id, base_id, nn_id, round(u, 6) AS u, round(pt[1], 5) AS x0,
+       round(sqrt(list_sum(list_transform(pt, lambda v: v * v))), 4) AS norm FROM s""")
+def q_smote(spark, sf_dir):
+    """M8 + U3: SMOTE to 0.3 × majority for the label-0 minority (seeded)."""
+    e = load(spark, sf_dir, "embeddings")
+    syn = resample.smote(e, "vec_id", "embedding", "label", 0, ratio=Fraction(3, 10))
+    pt = F.col("embedding")
+    return syn.select("synth_id", "base_id", "nn_id", F.round("u", 6).alias("u"),
+                      F.round(pt[0], 5).alias("x0"),
+                      F.round(F.sqrt(F.aggregate(pt, F.lit(0.0), lambda a, v: a + v * v)), 4)
+                      .alias("norm"))
+
+
+def _embedding_frame(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").withColumn(
+        "label", (F.col("label") == 0).cast("int"))
+    e = split.random_split(e, "vec_id", 0.2)
+    return model.vectorize(e, array_col="embedding")
+
+
+def _fit(spark, sf_dir):
+    e = _embedding_frame(spark, sf_dir)
+    m = model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS, depth=4)
+    return e, m
+
+
+@register("q_gbt_score")
+def q_gbt_score(spark, sf_dir):
+    """M10 + M13 + F7: weighted GBT on the train split, scored on the test split."""
+    e, m = _fit(spark, sf_dir)
+    s = model.score(m, e.filter(F.col("split") == "test"))
+    return s.select("vec_id", "label", F.round("p_class1", 6).alias("prob"), "pred_label")
+
+
+@register("q_importance")
+def q_importance(spark, sf_dir):
+    """M14 + L1: top-20 feature importances (× 100, 3 decimals)."""
+    _e, m = _fit(spark, sf_dir)
+    names = [f"emb_{i}" for i in range(len(m.featureImportances))]
+    return model.importances(spark, m, names, 20)
+
+
+@register("q_iforest")
+def q_iforest(spark, sf_dir):
+    """M15 + M16 + F8: isolation forest fitted on the train split, all rows scored."""
+    e = split.random_split(load(spark, sf_dir, "embeddings"), "vec_id", 0.2)
+    nov = novelty.novelty(e.filter(F.col("split") == "train"), e, "vec_id", "embedding")
+    return nov.select("vec_id", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")
+
+
+@register("q_two_stage")
+def q_two_stage(spark, sf_dir):
+    """Hash lookup first (vectors seen in training), model + novelty for
+    the rest; one result with its route."""
+    from threatframe.plans.score import two_stage
+
+    e, m = _fit(spark, sf_dir)
+    e = e.withColumn("sha256", F.sha2(F.to_json("embedding"), 256))
+    train, test = e.filter(F.col("split") == "train"), e.filter(F.col("split") == "test")
+    lookup = train.groupBy("sha256").agg(F.avg("label").alias("p"))
+    return two_stage(test, lookup, m, train, id_col="vec_id", key="sha256", vec="embedding")
+
+
+@register("q_evaluate")
+def q_evaluate(spark, sf_dir):
+    """AUC and classification report of the test split, long form."""
+    e, m = _fit(spark, sf_dir)
+    s = model.score(m, e.filter(F.col("split") == "test"))
+    rep = metrics.classification_report(s, "label", "pred_label")
+    a = metrics.auc(s, "p_class1", "label").select(
+        F.lit("auc").alias("row"), F.lit(None).cast("double").alias("precision"),
+        F.lit(None).cast("double").alias("recall"), F.col("auc").alias("f1"),
+        F.lit(None).cast("long").alias("support"))
+    return rep.unionByName(a)
