@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from threatframe.operators.joins import checked_broadcast
-
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -41,7 +39,12 @@ def global_rank(df: DataFrame, order: list, partition_by: list[str] | None = Non
     stats = stats.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
-    stats = checked_broadcast(stats.select("_pid", *groups, "_off", "_first"), 1_000_000)
+    stats = stats.select("_pid", *groups, "_off", "_first")
+    # Without groups the stats frame has at most n rows (one per partition):
+    # a proven bound, so it is broadcast.  With groups it has at most
+    # (#groups + n) rows; AQE's runtime size check picks broadcast or shuffle.
+    if not groups:
+        stats = F.broadcast(stats)
     out = ranged.join(stats, ["_pid", *groups], "inner")
     return (out.withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1)
             .drop("_pid", "_loc", "_off", "_first"))
