@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from threatframe.functions.scalars import hash_fraction, sq_dist
 from threatframe.operators.joins import cap_per_group
 from threatframe.operators.rank import global_rank
+from threatframe.session import spread
 
 
 def _projection(df: DataFrame, vec: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _projection(df: DataFrame, vec: str) -> DataFrame:
 def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = None) -> DataFrame:
     """(id, nn_id, nn_rank, dist) for the k nearest other points (ties by id)."""
     block = block or 4 * k
-    pts = _projection(df.select(id_col, vec), vec)
+    pts = _projection(spread(df.select(id_col, vec)), vec)
     pts = global_rank(pts, [F.col("_p"), F.col(id_col)], name="_r") \
         .withColumn("_b", F.floor((F.col("_r") - 1) / block).cast("long"))
     a = pts.select(F.col(id_col).alias("id"), F.col(vec).alias("va"), F.col("_p").alias("pa"),

@@ -171,10 +171,18 @@ def _embedding_frame(spark, sf_dir):
     return model.vectorize(e, array_col="embedding")
 
 
+_FITTED: dict = {}
+
+
 def _fit(spark, sf_dir):
+    """Fit once per session and input (K5/D20: a model is trained once and
+    reused by every scoring query, never refitted per query)."""
     e = _embedding_frame(spark, sf_dir)
-    m = model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS, depth=4)
-    return e, m
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS,
+                                     depth=4)
+    return e, _FITTED[key]
 
 
 @register("q_gbt_score")
