@@ -121,13 +121,13 @@ def attach_list(parent: DataFrame, child: DataFrame, key: str, order: list[str],
 
 def reference_check(child: DataFrame, parent: DataFrame, child_col: str, parent_col: str,
                     rule: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) for a foreign key (J7); a NULL reference is allowed."""
-    p = parent.select(F.col(parent_col).alias("_pk")).distinct()
-    cond = F.col(child_col) == F.col("_pk")
-    nulls = child.filter(F.col(child_col).isNull())
-    present = child.filter(F.col(child_col).isNotNull())
-    kept = present.join(p, cond, "left_semi").unionByName(nulls)
-    rejected = present.join(p, cond, "left_anti").withColumn("rule", F.lit(rule))
+    """(kept, rejected) for a foreign key (J7); a NULL reference is allowed.
+    One left join against the distinct parent keys, then two filters."""
+    p = parent.select(F.col(parent_col).alias("_pk")).distinct().withColumn("_hit", F.lit(True))
+    j = child.join(p, F.col(child_col) == F.col("_pk"), "left")
+    kept = j.filter(F.col(child_col).isNull() | F.col("_hit").isNotNull()).drop("_pk", "_hit")
+    rejected = (j.filter(F.col(child_col).isNotNull() & F.col("_hit").isNull())
+                .drop("_pk", "_hit").withColumn("rule", F.lit(rule)))
     return kept, rejected
 
 

@@ -77,8 +77,16 @@ def _ts(col: str):
 
 def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     """One batch of alert documents (with `_ordinal` = batch order)
-    merged into the stored tables.  Returns (new tables, rejects)."""
+    merged into the stored tables.  Returns (new tables, rejects).
+
+    Each table step reads materialised parents: the documents and every
+    finished table are cut from the lineage by a reliable checkpoint (the
+    shared checkpoint directory), in dependency order, so no step recomputes
+    the scan and a lost executor only repeats the current step."""
+    from threatframe.session import cut_lineage
+
     rejects = []
+    docs = cut_lineage(docs)
     # tenants (V1, A1 last wins, T1 insert if absent)
     ten = project.tenant_columns(docs)
     ten_ok, r = validate.validate(ten, validate.tenant_rules(), "tenants", ["tenant_id_raw"], as_of)
@@ -89,6 +97,7 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                                                                 .cast("timestamp")),
                             ["tenant_id"], update=[], as_of=as_of, insert_only=("ingested_at",),
                             origin=None)
+    tenants = cut_lineage(tenants)
     # endpoints (V2, A1, J7 tenant, T2)
     ep = project.endpoint_columns(docs).filter(F.col("endpoint_id_raw").isNotNull()
                                                & (F.trim("endpoint_id_raw") != ""))
@@ -102,7 +111,7 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
         X.to_id("site_id_raw").alias("site_id"), "agent_version",
         _ts("scan_started_raw").alias("scan_started_at"),
         _ts("scan_finished_raw").alias("scan_finished_at"), "_ordinal")
-    ep_ok = agg.dedupe_last(ep_ok, ["endpoint_id"], ["_ordinal"])
+    ep_ok = cut_lineage(agg.dedupe_last(ep_ok, ["endpoint_id"], ["_ordinal"]))
     ep_ok, r = joins.reference_check(ep_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
     ep_ok, r = upsert.unique_arbitration(ep_ok, ["tenant_id", "agent_uuid"], ["_ordinal"],
@@ -112,6 +121,7 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                               .withColumn("ingested_at", F.lit(None).cast("timestamp")),
                               ["endpoint_id"], update="*", as_of=as_of, touch="ingested_at",
                               origin=None)
+    endpoints = cut_lineage(endpoints)
     # threats (V3, V9, A1, J7, T11, T3)
     th = project.threat_columns(docs)
     th_ok, r = validate.validate(th, validate.threat_rules(), "threats", ["threat_id_raw"], as_of)
@@ -128,14 +138,16 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
         X.to_id("file_size_raw").alias("file_size"), "threat_name", "publisher_name",
         "certificate_id", "initiated_by", _ts("identified_at_raw").alias("identified_at"),
         "_ordinal")
-    th_ok = agg.dedupe_last(th_ok, ["threat_id"], ["_ordinal"])
+    th_ok = cut_lineage(agg.dedupe_last(th_ok, ["threat_id"], ["_ordinal"]))
     th_ok, r = joins.reference_check(th_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
     th_ok, r = joins.reference_check(th_ok, endpoints, "endpoint_id", "endpoint_id", "fk_endpoint")
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
+    th_ok = cut_lineage(th_ok)
     stored_th = store["threats"]
+    ord_type = th_ok.schema["_ordinal"].dataType
     both = (stored_th.select("threat_id", "tenant_id", "sha256", "identified_at",
-                             F.lit(0).cast("long").alias("_ordinal"), F.lit(0).alias("_src"))
+                             F.lit(None).cast(ord_type).alias("_ordinal"), F.lit(0).alias("_src"))
             .join(th_ok.select("threat_id"), "threat_id", "left_anti")
             .unionByName(th_ok.select("threat_id", "tenant_id", "sha256", "identified_at",
                                       "_ordinal", F.lit(1).alias("_src"))))
@@ -153,6 +165,7 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                                     if c not in ("threat_id", "ingested_at")],
                             as_of=as_of, touch="last_updated_at", insert_only=("ingested_at",),
                             origin=None)
+    threats = cut_lineage(threats)
     # notes (T6: posexplode + V4 + occurrence number + insert if absent)
     ids = docs.select(
         X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))

@@ -82,8 +82,9 @@ def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: st
 
     def batch(bdf: DataFrame, epoch: int) -> None:
         # batch order: epoch, then position in the (deterministically split) files
-        bdf = bdf.withColumn("_ordinal", F.lit(epoch).cast("long") * (1 << 42)
-                             + F.monotonically_increasing_id())
+        bdf = bdf.withColumn("_ordinal", F.struct(
+            F.lit(epoch).cast("long").alias("epoch"), F.input_file_name().alias("file"),
+            F.monotonically_increasing_id().alias("pos")))
         store = {t: read_table(spark, store_root, t) for t in TABLE_ORDER}
         tables, rejects = ingest(bdf, store, as_of)
         for t in ("tenants", "endpoints", "threats", "threat_notes"):
