@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a global aggregate (exactly one row) to every row:
-    a broadcast equi-join on a constant key, never a cartesian product."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "inner")
-            .drop("_one"))
+    """Add the columns of a global aggregate (exactly one row) to every row
+    as scalar subqueries: evaluated once, no join of any kind in the plan."""
+    out = df
+    for c in one_row.columns:
+        out = out.withColumn(c, one_row.select(c).scalar())
+    return out
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], fn) -> DataFrame:

@@ -36,23 +36,46 @@ def notes_text_per_key(notes: DataFrame, key: str, order: str, text: str,
     return joined
 
 
-def normalise_indicators(docs: DataFrame, stored_ids: dict | None = None):
+def _max_id(stored: DataFrame | None, col: str):
+    """Scalar subquery: largest stored id (0 when the table is empty)."""
+    if stored is None:
+        return F.lit(0).cast("long")
+    return stored.agg(F.coalesce(F.max(col), F.lit(0)).cast("long")).scalar()
+
+
+def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None = None):
     """T7-T9 (+T15, V5/V6, X17, D21): explode indicators → tactics →
     techniques with surrogate ids in natural-key order.
 
-    Returns (indicators, tactics, techniques, tactic rejects).  A NULL list is
-    empty; a tactic with an invalid technique is rejected with its techniques.
+    With `stored` tables given, indicators whose natural key (threat_id,
+    position) is already stored are skipped together with their tactics
+    (as the reference does), and new ids continue after the stored maximum —
+    re-ingesting a batch adds nothing.  Returns (indicators, tactics,
+    techniques, tactic rejects).  A NULL list is empty; a tactic with an
+    invalid technique is rejected with its techniques.
     """
-    ind = docs.select("threat_id", F.posexplode(F.coalesce(
-        F.col("indicators"), F.array().cast(docs.schema["indicators"].dataType)))
-        .alias("ind_pos", "ind"))
-    ind = ind.select("threat_id", "ind_pos", F.col("ind.category").alias("category"),
+    stored = stored or {}
+    ind_type = docs.schema["indicators"].dataType
+    has_ord = "_ordinal" in docs.columns
+    ind = docs.select("threat_id", *(["_ordinal"] if has_ord else []), F.posexplode(F.coalesce(
+        F.col("indicators"), F.array().cast(ind_type))).alias("ind_pos", "ind"))
+    ind = ind.select("threat_id", "ind_pos", *(["_ordinal"] if has_ord else []),
+                     F.col("ind.category").alias("category"),
                      F.col("ind.description").alias("description"),
                      X.int_array(F.coalesce(F.col("ind.ids"), F.array().cast("array<string>")))
                      .alias("ids"),
                      F.col("ind.tactics").alias("tactics"))
-    ind = global_rank(ind, [F.col("threat_id"), F.col("ind_pos")], name="indicator_id")
-    tac_type = docs.schema["indicators"].dataType.elementType["tactics"].dataType
+    if has_ord:
+        # two copies of one alert in a batch: the first copy's indicator wins
+        ind = agg.dedupe_first(ind, ["threat_id", "ind_pos"], ["_ordinal"]).drop("_ordinal")
+    if "threat_indicators" in stored:
+        known = stored["threat_indicators"].select(
+            "threat_id", F.col("position").alias("ind_pos"))
+        ind = ind.join(known, ["threat_id", "ind_pos"], "left_anti")
+    ind = global_rank(ind, [F.col("threat_id"), F.col("ind_pos")], name="_r") \
+        .withColumn("indicator_id", _max_id(stored.get("threat_indicators"), "indicator_id")
+                    + F.col("_r")).drop("_r")
+    tac_type = ind_type.elementType["tactics"].dataType
     tac = ind.select("indicator_id", "threat_id", "ind_pos", F.posexplode(
         F.coalesce(F.col("tactics"), F.array().cast(tac_type))).alias("tac_pos", "t"))
     tac = tac.select("indicator_id", "threat_id", "ind_pos", "tac_pos",
@@ -61,16 +84,40 @@ def normalise_indicators(docs: DataFrame, stored_ids: dict | None = None):
     ok, rejects = validate.validate(tac, validate.tactic_rules(), table="indicator_tactics",
                                     key=["indicator_id", "tac_pos"])
     ok = ok.withColumn("n_techniques", F.size(F.coalesce(F.col("techniques"), F.array())))
-    ok = global_rank(ok, [F.col("indicator_id"), F.col("tac_pos")], name="tactic_id")
+    ok = global_rank(ok, [F.col("indicator_id"), F.col("tac_pos")], name="_r") \
+        .withColumn("tactic_id", _max_id(stored.get("indicator_tactics"), "tactic_id")
+                    + F.col("_r")).drop("_r")
     tech = ok.select("tactic_id", F.posexplode(F.coalesce(
         F.col("techniques"), F.array().cast(tac_type.elementType["techniques"].dataType)))
         .alias("tech_pos", "x"))
     tech = tech.select("tactic_id", "tech_pos", F.col("x.name").alias("name"),
                        F.col("x.link").alias("link"))
-    tech = global_rank(tech, [F.col("tactic_id"), F.col("tech_pos")], name="technique_id")
+    tech = global_rank(tech, [F.col("tactic_id"), F.col("tech_pos")], name="_r") \
+        .withColumn("technique_id", _max_id(stored.get("tactic_techniques"), "technique_id")
+                    + F.col("_r")).drop("_r")
     return ind.drop("tactics"), ok.drop("techniques"), tech, rejects
 
 
+def insert_events(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """T10 + T11: deepvis events of the batch keyed by (threat, time, type);
+    the first per key in batch order, only keys not stored yet; 4 of the
+    event columns are stored.  Returns the new rows with their ids."""
+    ev = docs.select("threat_id", "_ordinal", F.posexplode(F.coalesce(
+        F.col("deepvis"), F.array().cast(docs.schema["deepvis"].dataType))).alias("_p", "e"))
+    ev = ev.select("threat_id", F.col("e.eventTime").alias("event_time"),
+                   F.col("e.eventType").alias("event_type"),
+                   F.col("e.eventCategory").alias("event_cat"),
+                   F.col("e.severity").alias("severity"),
+                   F.struct("_ordinal", "_p").alias("_order"))
+    ev = ev.filter(F.col("event_time").isNotNull() & F.col("event_type").isNotNull())
+    key = ["threat_id", "event_time", "event_type"]
+    first = agg.dedupe_first(ev, key, ["_order"])
+    new = first.join(stored.select(*key), key, "left_anti")
+    new = global_rank(new, [F.col(k) for k in key], name="_r") \
+        .withColumn("dvevent_id", _max_id(stored, "dvevent_id") + F.col("_r")).drop("_r")
+    return new.select(*TABLES["deepvis_events"]["schema"].names)
+
+
 def _ts(col: str):
     return X.parse_ts(F.col(col))
 
@@ -185,8 +232,26 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     threat_notes = stored_notes.unionByName(
         fresh.withColumn("ingested_at", F.to_timestamp(F.lit(as_of))).select(
             *TABLES["threat_notes"]["schema"].names))
+    # indicators → tactics → techniques (T7-T9) and events (T10) of accepted threats
+    th_docs = docs.select(
+        X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))
+        .alias("threat_id"), "indicators", "deepvis", "_ordinal") \
+        .join(th_ok.select("threat_id"), "threat_id", "left_semi")
+    ind, tac, tech, r = normalise_indicators(th_docs, store)
+    rejects.append(r)
+    ind_rows = ind.select("indicator_id", "threat_id", F.col("ind_pos").cast("int").alias("position"),
+                          "category", "description", "ids")
+    tac_rows = tac.select("tactic_id", "indicator_id", F.col("tac_pos").cast("int").alias("position"),
+                          "name", "source")
+    tech_rows = tech.select("technique_id", "tactic_id",
+                            F.col("tech_pos").cast("int").alias("position"), "name", "link")
+    events = insert_events(th_docs, store["deepvis_events"])
     out = dict(store, tenants=tenants, endpoints=endpoints, threats=threats,
-               threat_notes=threat_notes)
+               threat_notes=threat_notes,
+               threat_indicators=store["threat_indicators"].unionByName(ind_rows),
+               indicator_tactics=store["indicator_tactics"].unionByName(tac_rows),
+               tactic_techniques=store["tactic_techniques"].unionByName(tech_rows),
+               deepvis_events=store["deepvis_events"].unionByName(events))
     from functools import reduce
 
     all_rejects = reduce(lambda a, b: a.unionByName(b), rejects)

@@ -22,6 +22,8 @@ from threatframe.sources.store import read_table, write_table
 from threatframe.streaming.stream import ingest_stream
 
 AS_OF = "2001-09-01 00:00:00"
+INGEST_TABLES = ("tenants", "endpoints", "threats", "threat_notes", "threat_indicators",
+                 "indicator_tactics", "tactic_techniques", "deepvis_events")
 PAGE_SIZE = 1000
 
 
@@ -125,7 +127,7 @@ def q_ingest(spark, sf_dir):
     root = scratch_path(spark, "store")
     store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
     tables, rejects = ingest(scan_threats(spark, path), store, AS_OF)
-    for t in ("tenants", "endpoints", "threats", "threat_notes"):
+    for t in INGEST_TABLES:
         write_table(tables[t], root, t)
     write_table(rejects, root, "rejects")
     return _threat_view(read_table(spark, root, "threats"))

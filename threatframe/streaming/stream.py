@@ -87,7 +87,8 @@ def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: st
             F.monotonically_increasing_id().alias("pos")))
         store = {t: read_table(spark, store_root, t) for t in TABLE_ORDER}
         tables, rejects = ingest(bdf, store, as_of)
-        for t in ("tenants", "endpoints", "threats", "threat_notes"):
+        for t in ("tenants", "endpoints", "threats", "threat_notes", "threat_indicators",
+                  "indicator_tactics", "tactic_techniques", "deepvis_events"):
             write_table(tables[t], store_root, t)
         write_table(rejects, store_root, f"rejects_epoch_{epoch}")
 
