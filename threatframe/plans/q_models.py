@@ -233,3 +233,15 @@ def q_evaluate(spark, sf_dir):
         F.lit(None).cast("double").alias("recall"), F.col("auc").alias("f1"),
         F.lit(None).cast("long").alias("support"))
     return rep.unionByName(a)
+
+
+@register("q_cv_auc")
+def q_cv_auc(spark, sf_dir):
+    """M9 + M8 (inside folds) + A4 + M10 + A5 + A8: 5-fold cross-validated AUC."""
+    from threatframe.plans.train import cross_validate
+
+    e = load(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") == 0).cast("int"))
+    per, summary = cross_validate(e, "vec_id", "embedding", "label", k=5, rounds=5, depth=3)
+    return per.select(F.col("fold").cast("string").alias("fold"), F.round("auc", 6).alias("auc")) \
+        .unionByName(summary.select(F.lit("mean").alias("fold"),
+                                    F.round("auc_mean", 6).alias("auc")))
