@@ -156,3 +156,56 @@ def q_scan_pages(spark, sf_dir):
     return alerts.select(F.col("threatInfo.threatId").cast("long").alias("threat_id"),
                          F.col("threatInfo.analystVerdict").alias("analyst_verdict"),
                          F.col("threatInfo.createdAt").alias("created_at_raw"))
+
+
+# ---------------------------------------------------------------- P8-P16, X15, L2
+WHITELIST = ["threatInfo.threatId", "threatInfo.storyline", "threatInfo.createdAt",
+             "threatInfo.analystVerdict", "threatInfo.detectionEngines", "threatInfo.sha1",
+             "threatInfo.sha256", "threatInfo.md5", "deepVisibilityEvents", "indicators", "notes"]
+
+
+@register("q_featurize", sql="""
+SELECT o.o_orderkey AS threat_id,
+       CASE o.o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 0 END AS label,
+       substr(o.o_orderpriority || ' ' || ' ' || chr(9), 1, 5000) AS notes_text,
+       's' || CAST(o.o_custkey AS VARCHAR) AS threatInfo_storyline,
+       CAST(NULL AS VARCHAR) AS threatInfo_analystVerdict,
+       '' AS threatInfo_classification,
+       0.0 AS n_indicators
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE o.o_orderstatus IN ('F', 'P')""")
+def q_featurize(spark, sf_dir):
+    """P10 (label first, verdict hidden) → P8 whitelist → P11 flatten → P12
+    notes text → P14 align to training columns → X15 fill → F6 labelled."""
+    from threatframe.operators import project as P
+
+    docs = alert_documents(spark, sf_dir).drop("_key")
+    masked = P.mask_inputs(docs, ignore_notes=False, ignore_verdict=True)
+    kept = P.project_paths(masked, WHITELIST + ["label"])
+    n_ind = (F.size(F.coalesce(F.col("indicators"), F.array())) if "indicators" in kept.columns
+             else F.lit(0))
+    pre = (kept.withColumn("notes_text", P.notes_to_text(F.col("notes")))
+           .withColumn("n_indicators", n_ind.cast("double"))
+           .drop("notes", "indicators"))
+    flat = P.flatten_struct(pre)
+    order = ["threatInfo_threatId", "threatInfo_storyline", "threatInfo_analystVerdict",
+             "threatInfo_classification", "n_indicators", "notes_text", "label"]
+    aligned = P.align_columns(flat, order, categorical=["threatInfo_classification"])
+    filled = P.fill_features(aligned, ["n_indicators"], ["notes_text"])
+    out = P.label_last(filled.filter(F.col("label").isNotNull()))
+    return out.select(F.col("threatInfo_threatId").cast("long").alias("threat_id"), "label",
+                      "notes_text", "threatInfo_storyline", "threatInfo_analystVerdict",
+                      "threatInfo_classification", "n_indicators")
+
+
+@register("q_max_alerts", sql=f"""
+SELECT o_orderkey AS threat_id FROM orders
+ORDER BY {X.hash_fraction_sql(42, 'o_orderkey')}, o_orderkey LIMIT 1000""")
+def q_max_alerts(spark, sf_dir):
+    """L2: the optional cap on alerts, taken in seeded hash order (a sampling
+    operator: the limit is the feature)."""
+    from threatframe.operators.rank import sample_cap
+
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("threat_id"))
+    return sample_cap(o, "threat_id", 1000, seed=42)

@@ -245,3 +245,15 @@ def q_cv_auc(spark, sf_dir):
     return per.select(F.col("fold").cast("string").alias("fold"), F.round("auc", 6).alias("auc")) \
         .unionByName(summary.select(F.lit("mean").alias("fold"),
                                     F.round("auc_mean", 6).alias("auc")))
+
+
+@register("q_novelty_encoded")
+def q_novelty_encoded(spark, sf_dir):
+    """M17 + M15 + M16: customers encoded (numeric balance, one-hot market
+    segment, nation by frequency), isolation forest fitted on all, scored."""
+    c = load(spark, sf_dir, "customer")
+    fmap = {"c_nationkey": agg.frequency_map(c, "c_nationkey")}
+    enc = novelty.encode_for_forest(c, ["c_acctbal"], ["c_mktsegment"], ["c_nationkey"], fmap)
+    enc = enc.select("c_custkey", "iso_features")
+    nov = novelty.novelty(enc, enc, "c_custkey", "iso_features", n_trees=50)
+    return nov.select("c_custkey", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")

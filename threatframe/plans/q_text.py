@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threatframe.functions.scalars import hash_fraction_sql
 from threatframe.functions.stopwords import german_english, sql_list
 from threatframe.operators import text
 from threatframe.plans.registry import load, register
@@ -55,3 +56,28 @@ def q_tfidf(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     out = text.tfidf_long(docs, "doc_id", "text", VOCAB)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("q_tfidf_apply", sql=_sql_terms().replace(
+    "stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term)",
+    "train AS (SELECT doc_id FROM documents WHERE " + hash_fraction_sql(42, "doc_id") + " >= 0.2),\n"
+    "stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc "
+    "WHERE doc_id IN (SELECT doc_id FROM train) GROUP BY term)") + """,
+n AS (SELECT count(*) AS n FROM train),
+test AS (SELECT * FROM tc WHERE doc_id NOT IN (SELECT doc_id FROM train)),
+w AS (SELECT t.doc_id, t.term, t.tf * (ln((1 + n.n) / (1 + v.df)) + 1) AS w
+      FROM test t JOIN vocab v USING (term) CROSS JOIN n),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
+def q_tfidf_apply(spark, sf_dir):
+    """M6 on the train split, M7 on the test split: the stored vocabulary and
+    document frequencies of training are applied to unseen documents."""
+    from threatframe.operators import split as SP
+
+    docs = SP.random_split(load(spark, sf_dir, "documents"), "doc_id", 0.2)
+    train, test = docs.filter(F.col("split") == "train"), docs.filter(F.col("split") == "test")
+    tc = text.term_counts(text.tokens(train, "doc_id", "text"), "doc_id")
+    vocab = text.vocabulary(tc, VOCAB).select("term", "df")
+    n_docs = train.agg(F.count(F.lit(1)).alias("n"))
+    out = text.tfidf_long(test, "doc_id", "text", VOCAB, vocab=vocab, n_docs=n_docs)
+    return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
