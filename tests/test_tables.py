@@ -9,7 +9,7 @@ from threatframe.operators.graph import linked_groups
 def test_global_rank_exact_and_partition_independent(spark):
     df = spark.range(0, 1000).withColumn("g", (F.col("id") % 3 == 0).cast("int"))
     for n in (1, 3, 7):
-        r = rank.global_rank(df, [F.col("id").desc()], partition_by=["g"], num_partitions=n)
+        r = rank.global_rank(df, [("id", "desc")], partition_by=["g"], num_partitions=n)
         rows = {(x.g, x.id): x.rank for x in r.collect()}
         ids0 = sorted((i for g, i in rows if g == 0), reverse=True)
         assert [rows[(0, i)] for i in ids0] == list(range(1, len(ids0) + 1))

@@ -1,17 +1,10 @@
-"""Linked groups (M3): rows that share any hash form one group.
+"""Connected components and linked groups (M3).
 
-Connected components over the bipartite row–hash graph by min-label
-propagation with pointer jumping:
-
-1. hash → min label of its rows, row → min label of its hashes (two
-   aggregations with map-side partial aggregation, so a hash shared by a
-   third of all rows is pre-aggregated per task);
-2. pointer jump: label ← min(label, label of label), which halves the
-   remaining distance, so rounds grow with log(diameter), not diameter.
-
-Each round is cut from the lineage by a reliable checkpoint (shared
-checkpoint directory, survives executor loss) carrying a "changed" flag,
-so the convergence test reads the checkpointed rows only.
+`components` alternates large-star and small-star steps on an edge list: a
+large-star hangs every larger neighbour of a node on the smallest neighbour, a
+small-star does the same for the smaller ones.  The number of edges does not
+grow, and the rounds are polylogarithmic in the number of nodes for any id
+order.  It runs until a round changes no edge; it has no round limit.
 """
 
 from __future__ import annotations
@@ -23,31 +16,51 @@ from pyspark.sql import DataFrame, functions as F
 from threatframe.session import cut_lineage
 
 
-def linked_groups(df: DataFrame, id_col: str, hash_cols: list[str], name: str = "group_id",
-                  max_rounds: int = 64) -> DataFrame:
-    """Add `name` = smallest id in the row's component (rows without any hash
-    are their own group)."""
-    edges = reduce(lambda a, b: a.unionByName(b), [
-        df.select(F.col(id_col).alias("node"),
-                  F.concat(F.lit(f"{h}:"), F.col(h).cast("string")).alias("hash"))
-        .filter(F.col(h).isNotNull()) for h in hash_cols]).distinct()
-    edges = cut_lineage(edges)
-    labels = cut_lineage(df.select(F.col(id_col).alias("node"),
-                                   F.col(id_col).alias("label")).distinct())
-    for _ in range(max_rounds):
-        per_hash = (edges.join(labels, "node").groupBy("hash")
-                    .agg(F.min("label").alias("hlabel")))
-        via_hash = edges.join(per_hash, "hash").groupBy("node").agg(F.min("hlabel").alias("nl"))
-        step = (labels.join(via_hash, "node", "left")
-                .select("node", F.col("label").alias("old"),
-                        F.least(F.col("label"), F.coalesce("nl", "label")).alias("label")))
-        parent = step.select(F.col("node").alias("_pn"), F.col("label").alias("_pl"))
-        jumped = (step.join(parent, F.col("label") == F.col("_pn"), "left")
-                  .select("node", "old",
-                          F.least(F.col("label"), F.coalesce("_pl", "label")).alias("label")))
-        new = cut_lineage(jumped.withColumn("changed", F.col("label") < F.col("old")))
-        labels = new.select("node", "label")
-        if new.filter("changed").limit(1).count() == 0:
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    m = both.groupBy("u").agg(F.min("v").alias("m"))
+    m = m.select("u", F.least("u", "m").alias("m"))
+    return (both.filter("v > u").join(m, "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    m = down.groupBy("u").agg(F.min("v").alias("m"))
+    hung = down.join(m, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(m.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): every node that an edge a-b with a <> b names, with
+    the smallest node it is connected to.  Null ends are ignored."""
+    e = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+                    .filter("u <> v").distinct())
+    state = None
+    while True:
+        new = e.agg(F.count(F.lit(1)).alias("n"),
+                    F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (new.n, new.h) == state or new.n == 0:
             break
-    return df.join(labels.withColumnRenamed("node", id_col).withColumnRenamed("label", name),
-                   id_col, "left")
+        state = (new.n, new.h)
+        e = cut_lineage(_small_star(_large_star(e)))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def linked_groups(df: DataFrame, id_col: str, hash_cols: list[str],
+                  name: str = "group_id") -> DataFrame:
+    """Add `name` = smallest id in the row's component (rows without any hash
+    are their own group).  Each hash hangs its rows on its smallest row, so a
+    hash shared by n rows makes n edges."""
+    parts = []
+    for h in hash_cols:
+        rows = df.filter(F.col(h).isNotNull()).select(F.col(id_col).alias("node"),
+                                                      F.col(h).alias("hash"))
+        least = rows.groupBy("hash").agg(F.min("node").alias("least"))
+        parts.append(rows.join(least, "hash").select("node", "least"))
+    found = components(reduce(lambda x, y: x.unionByName(y), parts), "node", "least")
+    found = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return (df.join(found, F.col(id_col) == F.col("_node"), "left")
+            .withColumn(name, F.coalesce("_component", F.col(id_col)))
+            .drop("_node", "_component"))

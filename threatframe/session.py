@@ -40,8 +40,8 @@ def ensure_utc(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (a local test run) is a directory under the system temp folder used.
+    The cluster names it in ``spark.checkpoint.dir``; only a local master may
+    leave it unset (a test run) and gets a directory under the system temp folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = os.path.join(tempfile.gettempdir(), "threatframe-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
