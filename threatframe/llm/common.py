@@ -33,3 +33,32 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def whole_text(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
+    """Add the columns `fields` (a DDL list), computed from whole texts by Arrow batch.
+
+    `make()` runs once per task and returns a function from a list of texts (None:
+    null) to a list of value lists, one per field.  Columns of the input that have
+    a field's name are replaced; all other columns pass through.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    added = T.StructType.fromDDL(fields)
+    names = [f.name for f in added]
+    base = docs.drop(*[n for n in names if n in docs.columns])
+    schema = T.StructType(list(base.schema) + list(added))
+    types = [to_arrow_type(f.dataType) for f in added]
+    at = base.columns.index(text_col)
+
+    def run(batches):
+        score = make()
+        for b in batches:
+            values = score(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array(v, t) for v, t in zip(values, types))],
+                names=[*b.schema.names, *names])
+
+    return base.mapInArrow(run, schema)
