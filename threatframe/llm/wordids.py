@@ -27,7 +27,7 @@ _STEMS = 200
 class WordIds:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,6 +35,7 @@ class WordIds:
         self.store: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.is_end = np.zeros(self.size, dtype=bool)
@@ -85,6 +86,9 @@ class WordIds:
         lines = b"\n".join(words).decode()
         plain = _PLAIN.findall(lines)
         needed = {x for x, _ in plain}.difference(self.stems)
+        kept = needed & self.older_stems.keys()
+        self.stems.update(zip(kept, map(self.older_stems.__getitem__, kept)))
+        needed -= kept
         lower = {x: x.lower() for x in needed}
         self._stems(list(set(lower.values()).difference(self.stems)))
         self.stems.update((x, self.stems[y]) for x, y in lower.items())
@@ -109,7 +113,8 @@ class WordIds:
         distinct = set().union(*(r for r in rows if r))
         new = distinct.difference(self.store)
         if len(self.store) + len(new) > self.limit:
-            self.older, self.store, self.stems = self.store, {}, {}
+            self.older, self.older_stems = self.store, self.stems
+            self.store, self.stems = {}, {}
             new = distinct
         if new:
             self._learn(new)
