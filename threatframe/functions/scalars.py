@@ -46,6 +46,13 @@ def hex_to_bytes(x) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("binary")).when(is_hex(c), F.unhex(c))
 
 
+def as_bytes(df, name: str) -> Column:
+    """A binary column passes through, a text column is read as hex."""
+    if df.schema[name].dataType.typeName() == "binary":
+        return F.col(name)
+    return hex_to_bytes(F.col(name))
+
+
 def to_id(x) -> Column:
     """Text id to long; empty/NULL gives 0, non-integer text gives NULL."""
     c = _c(x)

@@ -1,8 +1,9 @@
 """Aggregations.
 
 De-duplication is an aggregate of a struct (min/max picks the whole winning
-row), so Spark pre-aggregates on the map side and a hot key never needs all
-its rows in one task.
+row).  Spark plans it as a sort aggregate, partial and final: each task sorts its
+rows by key and sends one row per key on, so a hot key never needs all its rows
+in one task, at the price of the sort.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
-"""Joins: interval (J1), prioritised fallback (J2), any-key (J3), checked
-broadcast lookup (J4), nested attach (J5/J6), reference checks (J7-J9).
+"""Joins: interval (J1), prioritised fallback (J2), any-key (J3), nested
+attach (J5/J6), reference checks (J7-J9).  Lookup joins (J4) carry no hint: AQE
+decides by the size of the shuffled side.
 
 Interval joins are planned as equi-joins on (key, time bucket) plus a range
 residual, so Spark picks a sort-merge / hash join and a hot key is split across
@@ -12,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from threatframe.session import cut_lineage
+
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
@@ -63,7 +66,9 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str,
     """Prioritised interval join (J2): try keys in order; a later key is used
     only for left rows that no earlier key matched.  Adds column `match_key`.
 
-    `keys` is a list of (label, left_key, right_key).
+    `keys` is a list of (label, left_key, right_key).  The matches of every key
+    but the last are read twice (result, and what is left to match), so they are
+    kept by a reliable checkpoint and computed once.
     """
     parts = []
     remaining = left
@@ -72,6 +77,8 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str,
                              after_s, extra_condition=extra_condition(lk, rk)
                              if callable(extra_condition) else extra_condition)
         part = part.withColumn("match_key", F.lit(label))
+        if i + 1 < len(keys):
+            part = cut_lineage(part)
         parts.append(part)
         if i + 1 < len(keys):
             matched = part.select(left_id).distinct()
@@ -97,17 +104,6 @@ def any_key_join(left: DataFrame, right: DataFrame, pair: list[str],
     return reduce(lambda a, b: a.unionByName(b), outs).dropDuplicates(pair)
 
 
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """Size check for a broadcast side: reads at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise the plain
-    frame, so the join stays a shuffle join (AQE may still convert it)."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
-
 def attach_list(parent: DataFrame, child: DataFrame, key: str, order: list[str],
                 value: Column, name: str) -> DataFrame:
     """Nest child rows as an ordered array column (J5/J6); no child gives []."""

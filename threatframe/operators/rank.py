@@ -114,10 +114,12 @@ def global_rank(df: DataFrame, order: list, partition_by: list[str] | None = Non
 
 
 def running_total(df: DataFrame, order: list, value: str, name: str,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add `name` = sum of the long column `value` over all rows that come
-    before in `order` (a total order)."""
-    return _with_earlier(df, order, [], F.col(value).cast("long"), name, num_partitions)
+                  num_partitions: int | None = None,
+                  partition_by: list[str] | None = None) -> DataFrame:
+    """Add `name` = sum of the long column `value` over all rows of the group
+    that come before in `order` (a total order)."""
+    return _with_earlier(df, order, list(partition_by or []), F.col(value).cast("long"), name,
+                         num_partitions)
 
 
 def next_in_order(df: DataFrame, key: str, name: str, cyclic: bool = False,

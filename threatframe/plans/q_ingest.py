@@ -71,9 +71,9 @@ def alert_documents(spark, sf_dir) -> DataFrame:
     )
 
 
-def land_documents(docs: DataFrame, path: str, files: int = 8) -> str:
+def land_documents(docs: DataFrame, path: str) -> str:
     """Write documents as JSON Lines, files in key order (batch order)."""
-    (docs.repartitionByRange(files, "_key").sortWithinPartitions("_key").drop("_key")
+    (docs.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
      .write.mode("overwrite").json(path))
     return path
 
@@ -159,6 +159,7 @@ def q_scan_pages(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P8-P16, X15, L2
+# The document paths that the classifier may read.
 WHITELIST = ["threatInfo.threatId", "threatInfo.storyline", "threatInfo.createdAt",
              "threatInfo.analystVerdict", "threatInfo.detectionEngines", "threatInfo.sha1",
              "threatInfo.sha256", "threatInfo.md5", "deepVisibilityEvents", "indicators", "notes"]

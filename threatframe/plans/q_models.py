@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threatframe.functions.scalars import hash_fraction_sql
 from threatframe.operators import agg, metrics, model, novelty, resample, split
-from threatframe.plans.registry import load, register
+from threatframe.plans.registry import load, load_spread, register
 
 GBT_ROUNDS = 20   # queries fit few rounds; the training plan takes the full setting
 
@@ -51,6 +51,36 @@ def q_auc(spark, sf_dir):
     return agg.attach_one_row(a, counts).select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
 
+_ORDERS_SQL = """
+  SELECT o_orderkey, o_totalprice AS score,
+         CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 0 END AS label
+  FROM orders WHERE o_orderstatus IN ('F', 'P')"""
+
+
+@register("q_auc_orders", sql=f"""
+WITH b AS ({_ORDERS_SQL}),
+r AS (SELECT *, rank() OVER (ORDER BY score) AS lo, count(*) OVER (PARTITION BY score) AS c FROM b),
+a AS (SELECT sum(CASE WHEN label = 1 THEN lo + (c - 1) / 2.0 ELSE 0 END) AS r1,
+             sum(label) AS p, count(*) - sum(label) AS n FROM r)
+SELECT round((r1 - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM a""")
+def q_auc_orders(spark, sf_dir):
+    """A5 over orders: price as a score for status F against P."""
+    o = load(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P"))
+    return metrics.auc(o.withColumn("label", (F.col("o_orderstatus") == "F").cast("int")),
+                       "o_totalprice", "label").select(F.round("auc", 6).alias("auc"))
+
+
+@register("q_accuracy", sql=f"""
+SELECT round(avg(CASE WHEN label = (CASE WHEN score >= 100000 THEN 1 ELSE 0 END)
+                      THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_ORDERS_SQL})""")
+def q_accuracy(spark, sf_dir):
+    """Accuracy of the rule `price ≥ 100000` for status F against P."""
+    o = load(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P"))
+    o = o.select((F.col("o_orderstatus") == "F").cast("int").alias("label"),
+                 (F.col("o_totalprice") >= 100000).cast("int").alias("pred"))
+    return metrics.accuracy(o, "label", "pred").select(F.round("accuracy", 6).alias("accuracy"))
+
+
 @register("q_report", sql=f"""
 WITH b AS (SELECT label, CASE WHEN score >= 2000 THEN 1 ELSE 0 END AS pred FROM ({_DOCS_SQL})),
 c AS (SELECT k AS cls, count(*) FILTER (WHERE label = k) AS s, count(*) FILTER (WHERE pred = k) AS q,
@@ -94,6 +124,17 @@ def q_folds(spark, sf_dir):
     return split.stratified_folds(lab, "doc_id", "quality").select("doc_id", "quality", "fold")
 
 
+@register("q_folds_orders", sql=f"""
+SELECT o_orderkey, o_orderstatus,
+       CAST({_FOLDS_SQL.format(label='o_orderstatus', id='o_orderkey')} AS INTEGER) AS fold
+FROM orders""")
+def q_folds_orders(spark, sf_dir):
+    """M9 + W4 over orders, stratified by status."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return split.stratified_folds(o, "o_orderkey", "o_orderstatus") \
+        .select("o_orderkey", "o_orderstatus", "fold")
+
+
 @register("q_fold_stats", sql=f"""
 WITH b AS ({_DOCS_SQL}),
 f AS (SELECT *, {_FOLDS_SQL.format(label='label', id='doc_id')} AS fold FROM b),
@@ -129,7 +170,7 @@ WITH {_KNN_SQL}
 SELECT vec_id, nn_id, CAST(nn_rank AS INTEGER) AS nn_rank, round(sqrt(d2), 6) AS dist FROM nn""")
 def q_knn(spark, sf_dir):
     """M8 (neighbours): exact 5 nearest minority neighbours of each minority point."""
-    e = load(spark, sf_dir, "embeddings").filter(F.col("label") == 0)
+    e = load_spread(spark, sf_dir, "embeddings").filter(F.col("label") == 0)
     out = resample.knn(e, "vec_id", "embedding", 5)
     return out.select("vec_id", "nn_id", F.col("nn_rank").cast("int").alias("nn_rank"),
                       F.round("dist", 6).alias("dist"))
@@ -155,7 +196,7 @@ SELECT synth_id, base_id, nn_id, round(u, 6) AS u, round(pt[1], 5) AS x0,
        round(sqrt(list_sum(list_transform(pt, lambda v: v * v))), 4) AS norm FROM s""")
 def q_smote(spark, sf_dir):
     """M8 + U3: SMOTE to 0.3 × majority for the label-0 minority (seeded)."""
-    e = load(spark, sf_dir, "embeddings")
+    e = load_spread(spark, sf_dir, "embeddings")
     syn = resample.smote(e, "vec_id", "embedding", "label", 0, ratio=Fraction(3, 10))
     pt = F.col("embedding")
     return syn.select("synth_id", "base_id", "nn_id", F.round("u", 6).alias("u"),
@@ -165,24 +206,16 @@ def q_smote(spark, sf_dir):
 
 
 def _embedding_frame(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").withColumn(
+    e = load_spread(spark, sf_dir, "embeddings").withColumn(
         "label", (F.col("label") == 0).cast("int"))
     e = split.random_split(e, "vec_id", 0.2)
     return model.vectorize(e, array_col="embedding")
 
 
-_FITTED: dict = {}
-
-
 def _fit(spark, sf_dir):
-    """Fit once per session and input (K5/D20: a model is trained once and
-    reused by every scoring query, never refitted per query)."""
+    """The frame and a model fitted on its train split, anew for each query."""
     e = _embedding_frame(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS,
-                                     depth=4)
-    return e, _FITTED[key]
+    return e, model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS, depth=4)
 
 
 @register("q_gbt_score")
@@ -204,7 +237,7 @@ def q_importance(spark, sf_dir):
 @register("q_iforest")
 def q_iforest(spark, sf_dir):
     """M15 + M16 + F8: isolation forest fitted on the train split, all rows scored."""
-    e = split.random_split(load(spark, sf_dir, "embeddings"), "vec_id", 0.2)
+    e = split.random_split(load_spread(spark, sf_dir, "embeddings"), "vec_id", 0.2)
     nov = novelty.novelty(e.filter(F.col("split") == "train"), e, "vec_id", "embedding")
     return nov.select("vec_id", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")
 
@@ -240,7 +273,7 @@ def q_cv_auc(spark, sf_dir):
     """M9 + M8 (inside folds) + A4 + M10 + A5 + A8: 5-fold cross-validated AUC."""
     from threatframe.plans.train import cross_validate
 
-    e = load(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") == 0).cast("int"))
+    e = load_spread(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") == 0).cast("int"))
     per, summary = cross_validate(e, "vec_id", "embedding", "label", k=5, rounds=5, depth=3)
     return per.select(F.col("fold").cast("string").alias("fold"), F.round("auc", 6).alias("auc")) \
         .unionByName(summary.select(F.lit("mean").alias("fold"),
@@ -255,5 +288,5 @@ def q_novelty_encoded(spark, sf_dir):
     fmap = {"c_nationkey": agg.frequency_map(c, "c_nationkey")}
     enc = novelty.encode_for_forest(c, ["c_acctbal"], ["c_mktsegment"], ["c_nationkey"], fmap)
     enc = enc.select("c_custkey", "iso_features")
-    nov = novelty.novelty(enc, enc, "c_custkey", "iso_features", n_trees=50)
+    nov = novelty.novelty(enc, enc, "c_custkey", "iso_features")
     return nov.select("c_custkey", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")

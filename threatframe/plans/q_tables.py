@@ -123,13 +123,28 @@ def q_note_text(spark, sf_dir):
 
 
 @register("q_attach_notes", sql=f"""
+SELECT conv_id, count(*) AS n_notes, sum(length(note)) AS notes_len,
+       md5(string_agg(note, ' ' ORDER BY turn)) AS notes_md5
+FROM ({_NOTE_SQL}) WHERE note <> '' GROUP BY conv_id""")
+def q_attach_notes(spark, sf_dir):
+    """All notes of each alert nested in turn order, uncut."""
+    n = _notes(spark, sf_dir).filter(F.col("note") != "")
+    parents = n.select("conv_id").distinct()
+    nested = joins.attach_list(parents, n, "conv_id", ["turn"], F.col("note"), "notes")
+    return nested.select("conv_id", F.size("notes").cast("long").alias("n_notes"),
+                         F.aggregate("notes", F.lit(0).cast("long"),
+                                     lambda a, x: a + F.length(x)).alias("notes_len"),
+                         F.md5(F.array_join("notes", " ")).alias("notes_md5"))
+
+
+@register("q_notes_text", sql=f"""
 WITH n AS (SELECT * FROM ({_NOTE_SQL}) WHERE note <> ''),
 j AS (SELECT conv_id, count(*) AS n_notes,
              substr(string_agg(note, ' ' ORDER BY turn), 1, 5000) AS notes_text
       FROM n GROUP BY conv_id)
 SELECT conv_id, n_notes, length(notes_text) AS notes_len, md5(notes_text) AS notes_md5 FROM j""")
-def q_attach_notes(spark, sf_dir):
-    """J5 + P12: notes of each alert in turn order, joined by a space and cut
+def q_notes_text(spark, sf_dir):
+    """Notes of each alert in turn order, joined by a space and cut
     to 5000 characters; only the notes that can reach the cut are gathered."""
     n = _notes(spark, sf_dir).filter(F.col("note") != "")
     text = notes_text_per_key(n, "conv_id", "turn", "note", 5000)
@@ -542,7 +557,7 @@ def supplier_documents(spark, sf_dir):
     its nation / region (bounded arrays: two indicators, two tactics)."""
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     dims = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    x = s.join(joins.checked_broadcast(dims, 100_000), F.col("s_nationkey") == F.col("n_nationkey"))
+    x = s.join(dims, F.col("s_nationkey") == F.col("n_nationkey"))
     tech = F.struct(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("name"),
                     F.concat(F.lit("https://attack.example/"), F.col("s_suppkey").cast("string"))
                     .alias("link"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.scalars import hash_fraction_sql
 from threatframe.functions.stopwords import german_english, sql_list
 from threatframe.operators import text
-from threatframe.plans.registry import load, register
+from threatframe.plans.registry import load_spread, register
 
 VOCAB = 500
 
@@ -39,7 +39,7 @@ SELECT term, CAST(cf AS BIGINT) AS cf, df, rank FROM vocab""")
 def q_topk(spark, sf_dir):
     """L3 + A11: the 500 most frequent uni/bigrams after stop words, with
     corpus and document frequency."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load_spread(spark, sf_dir, "documents")
     tc = text.term_counts(text.tokens(docs, "doc_id", "text"), "doc_id")
     v = text.vocabulary(tc, VOCAB)
     return v.select("term", F.col("cf").cast("long").alias("cf"), "df", "rank")
@@ -53,7 +53,7 @@ nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
 SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
 def q_tfidf(spark, sf_dir):
     """M6: smoothed TF-IDF over the 500-term vocabulary, L2 per document."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load_spread(spark, sf_dir, "documents")
     out = text.tfidf_long(docs, "doc_id", "text", VOCAB)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -74,7 +74,7 @@ def q_tfidf_apply(spark, sf_dir):
     document frequencies of training are applied to unseen documents."""
     from threatframe.operators import split as SP
 
-    docs = SP.random_split(load(spark, sf_dir, "documents"), "doc_id", 0.2)
+    docs = SP.random_split(load_spread(spark, sf_dir, "documents"), "doc_id", 0.2)
     train, test = docs.filter(F.col("split") == "train"), docs.filter(F.col("split") == "test")
     tc = text.term_counts(text.tokens(train, "doc_id", "text"), "doc_id")
     vocab = text.vocabulary(tc, VOCAB).select("term", "df")

@@ -27,6 +27,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table for CPU-heavy work per row, dealt evenly over all cores: the test
+    tables are single row groups, which one task would read and compute."""
+    return load(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism)
+
+
 def all_queries() -> dict[str, tuple]:
     # importing the modules fills the registry
     from threatframe.plans import (q_events, q_tables, q_text, q_models,  # noqa: F401

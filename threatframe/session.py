@@ -67,13 +67,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work (regex tokenizing, distances, model
-    scoring) over the cluster when the input arrives in fewer splits than
-    the default parallelism (e.g. one large Parquet row group).  On a normal
-    many-file input this is a no-op; it only plans, it runs no job."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
