@@ -45,7 +45,7 @@ DOCS = [
     doc("abc"),                                           # non-numeric id → reject
     doc("6", acct="0"),                                   # tenant id 0 → reject
     doc("7", agent="88", uuid="not-a-uuid"),              # endpoint rejected → fk_endpoint
-    doc("8", status="closed", sha="b" * 64),              # unknown enum → reject
+    doc("8", status="closed", sha="b" * 64),              # unknown label → null and a log row
 ]
 
 
@@ -72,7 +72,8 @@ def test_ingest_edges_and_idempotence(spark, tmp_path):
     root = str(tmp_path / "store")
     rejects = _run(spark, path, root)
     threats = {r.threat_id: r for r in read_table(spark, root, "threats").collect()}
-    assert sorted(threats) == [1, 3, 4]
+    assert sorted(threats) == [1, 3, 4, 8]
+    assert threats[8].incident_status is None
     assert threats[1].analyst_verdict == "true_positive"          # last wins
     rules = {(r.key, r.rule) for r in rejects.collect()}
     assert any(k == '{"threat_id":2}' and rule == "unique_threat" for k, rule in rules)
@@ -82,7 +83,7 @@ def test_ingest_edges_and_idempotence(spark, tmp_path):
     ep = read_table(spark, root, "endpoints").collect()
     assert [(e.endpoint_id, e.ip_v4, e.group_id) for e in ep] == [(77, "10.0.0.1", 3)]
     notes = sorted((n.note, n.occurrence) for n in read_table(spark, root, "threat_notes").collect())
-    assert notes == [("hello", 1), ("hello", 2)]  # every copy's notes count, blanks rejected
+    assert notes == [("hello", 1), ("hello", 2)]  # the first copy's notes, blanks rejected
     tac = sorted(t.name for t in read_table(spark, root, "indicator_tactics").collect())
     assert tac == ["t1"]
     # second run of the same batch changes nothing
@@ -131,3 +132,43 @@ def test_export_envelope_and_pages(spark, tmp_path):
     alerts, audit = scan_pages(spark, str(q))
     assert alerts.count() == 3
     assert audit.agg(F.sum("seen")).first()[0] == 3
+
+
+def test_copies_and_stored_keys(spark, tmp_path):
+    """One alert twice stores its note once; a stored endpoint keeps its unique key;
+    events without a type and notes of unknown alerts are rejected."""
+    root = str(tmp_path / "store")
+    twice = doc("1", notes=["n"])
+    _run(spark, _land(tmp_path, [twice, twice], "a"), root)
+    assert [(n.note, n.occurrence) for n in read_table(spark, root, "threat_notes").collect()] == [
+        ("n", 1)]
+    second = [doc("9", agent="99", sha="c" * 64, notes=["x"],
+                  deepvis=[{"eventTime": "2024-01-01T00:00:10Z", "severity": 1}]),
+              doc("10", sha="d" * 64, deepvis=[{"eventTime": "2024-01-01T00:00:10Z"}])]
+    rejects = _run(spark, _land(tmp_path, second, "b"), root)
+    assert [e.endpoint_id for e in read_table(spark, root, "endpoints").collect()] == [77]
+    rules = {(r.table, r.rule) for r in rejects.collect()}
+    assert {("endpoints", "unique_tenant_uuid"), ("threat_notes", "fk_threat"),
+            ("deepvis_events", "not_null_event_type")} <= rules
+
+
+def test_page_ordinals_are_unique(spark, tmp_path):
+    q = tmp_path / "pages"
+    q.mkdir()
+    page = {"data": DOCS[:2], "pagination": {"nextCursor": None, "totalItems": 4}}
+    (q / "p.json").write_text((json.dumps(page) + "\n") * 2)
+    alerts, _audit = scan_pages(spark, str(q))
+    assert alerts.select("_ordinal").distinct().count() == alerts.count() == 4
+
+
+def test_store_raises_on_other_errors(spark, tmp_path):
+    import pytest
+    from threatframe.sources.store import current_version
+
+    root = str(tmp_path / "store")
+    assert current_version(spark, root, "tenants") is None
+    bad = tmp_path / "store" / "tenants" / "commits" / "version=00000001"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        current_version(spark, root, "tenants")

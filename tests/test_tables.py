@@ -65,3 +65,25 @@ def test_linked_groups_transitive(spark):
                                "id long, h1 string, h2 string")
     out = {r.id: r.group_id for r in linked_groups(df, "id", ["h1", "h2"]).collect()}
     assert out == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_global_rank_of_wide_rows(spark):
+    """100,000 rows in several splits, all columns kept: ranks are 1..n."""
+    df = spark.range(0, 100_000, 1, 6).select(
+        F.xxhash64("id").alias("k"), "id", F.repeat(F.lit("x"), 50).alias("payload"))
+    r = rank.global_rank(df, ["k", "id"], name="r", num_partitions=9)
+    got = r.agg(F.countDistinct("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"),
+                F.max(F.length("payload")).alias("p")).first()
+    assert (got.n, got.lo, got.hi, got.p) == (100_000, 1, 100_000, 50)
+
+
+def test_components_of_a_shuffled_chain(spark):
+    import random
+
+    from threatframe.operators.graph import components
+
+    ids = list(range(300))
+    random.Random(3).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    out = components(chain, "a", "b").collect()
+    assert {r.component for r in out} == {0} and len(out) == 300

@@ -143,7 +143,8 @@ def next_in_order(df: DataFrame, key: str, name: str, cyclic: bool = False,
 def occurrence_number(df: DataFrame, key: list[str], order: list, name: str = "occurrence"):
     """1, 2, ... among rows with the same natural key (e.g. equal notes of
     one alert), by range buckets, so a key may hold any number of rows."""
-    return global_rank(df, order, partition_by=key, name=name)
+    return global_rank(df, order, partition_by=key, name=name) \
+        .withColumn(name, F.col(name).cast("int"))
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list, name: str = "_rn") -> DataFrame:

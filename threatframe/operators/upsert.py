@@ -74,15 +74,14 @@ def unique_arbitration(df: DataFrame, unique: list[str], order: list[str],
                        rule: str) -> tuple[DataFrame, DataFrame]:
     """One row per unique key survives (first in `order`); rows
     with a NULL key part never conflict.  Returns (kept, rejected+rule)."""
+    from functools import reduce
+
     from pyspark.sql import Window
 
-    has_null = None
-    for u in unique:
-        c = F.col(u).isNull()
-        has_null = c if has_null is None else has_null | c
+    has_null = reduce(lambda a, b: a | b, [F.col(u).isNull() for u in unique])
     w = Window.partitionBy(*unique).orderBy(*[F.col(o) for o in order])
-    ranked = df.withColumn("_rn", F.when(has_null, F.lit(1)).otherwise(F.row_number().over(w)))
-    kept = ranked.filter(F.col("_rn") == 1).drop("_rn")
+    ranked = df.filter(~has_null).withColumn("_rn", F.row_number().over(w))
+    kept = ranked.filter(F.col("_rn") == 1).drop("_rn").unionByName(df.filter(has_null))
     rejected = ranked.filter(F.col("_rn") > 1).drop("_rn").withColumn("rule", F.lit(rule))
     return kept, rejected
 

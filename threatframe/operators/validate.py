@@ -84,8 +84,24 @@ def endpoint_rules() -> list[Rule]:
                ("scan_order", start.isNull() | end.isNull() | (end >= start))])
 
 
-def threat_rules() -> list[Rule]:
-    """V3 + V9: ids > 0, hex hashes, file size ≥ 0, required times, enums."""
+#: Label columns and the values that they may hold.
+LABEL_DOMAINS = {"incident_status": INCIDENT_STATUSES, "analyst_verdict": ANALYST_VERDICTS,
+                 "detection_type": DETECTION_TYPES}
+
+
+def enum_rules() -> list[Rule]:
+    """V9: labels are null or of their domain."""
+    return [_enum(c, domain) for c, domain in LABEL_DOMAINS.items()]
+
+
+def null_unknown_labels(df: DataFrame) -> DataFrame:
+    """Labels outside their domain become null."""
+    return df.withColumns({c: F.when(F.col(c).isin(domain), F.col(c))
+                           for c, domain in LABEL_DOMAINS.items()})
+
+
+def threat_rules(enums: bool = True) -> list[Rule]:
+    """V3 (+ V9): ids > 0, hex hashes, file size ≥ 0, required times, enums."""
     rules = _positive_id("threat_id_raw", "threat_id") + _positive_id("tenant_id_raw", "tenant_id")
     for h in ("md5", "sha1", "sha256"):
         c = F.col(f"{h}_raw")
@@ -95,11 +111,8 @@ def threat_rules() -> list[Rule]:
         ("file_size", fs.isNull() | (X.id_format_ok(fs) & (X.to_id(fs) >= 0))),
         ("identified_at", X.parse_ts(F.col("identified_at_raw")).isNotNull()),
         ("created_at", X.parse_ts(F.col("created_at_raw")).isNotNull()),
-        _enum("incident_status", INCIDENT_STATUSES),
-        _enum("analyst_verdict", ANALYST_VERDICTS),
-        _enum("detection_type", DETECTION_TYPES),
     ]
-    return rules
+    return rules + (enum_rules() if enums else [])
 
 
 def note_rules() -> list[Rule]:

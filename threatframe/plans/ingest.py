@@ -8,7 +8,7 @@ Every step is a DataFrame operator; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from threatframe.functions import scalars as X
 from threatframe.operators import agg, joins, project, upsert, validate
@@ -98,10 +98,11 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     return ind.drop("tactics"), ok.drop("techniques"), tech, rejects
 
 
-def insert_events(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """T10 + T11: deepvis events of the batch keyed by (threat, time, type);
-    the first per key in batch order, only keys not stored yet; 4 of the
-    event columns are stored.  Returns the new rows with their ids."""
+def insert_events(docs: DataFrame, stored: DataFrame, as_of: str):
+    """T10 + T11 + V10: deepvis events of the batch keyed by (threat, time, type);
+    the first per key in batch order, only keys not stored yet; 4 of the event
+    columns are stored.  Returns (new rows with their ids, rejects of events
+    without a time or type)."""
     ev = docs.select("threat_id", "_ordinal", F.posexplode(F.coalesce(
         F.col("deepvis"), F.array().cast(docs.schema["deepvis"].dataType))).alias("_p", "e"))
     ev = ev.select("threat_id", F.col("e.eventTime").alias("event_time"),
@@ -109,13 +110,14 @@ def insert_events(docs: DataFrame, stored: DataFrame) -> DataFrame:
                    F.col("e.eventCategory").alias("event_cat"),
                    F.col("e.severity").alias("severity"),
                    F.struct("_ordinal", "_p").alias("_order"))
-    ev = ev.filter(F.col("event_time").isNotNull() & F.col("event_type").isNotNull())
     key = ["threat_id", "event_time", "event_type"]
+    ev, rejects = validate.validate(ev, validate.not_null_rules(key), "deepvis_events", key, as_of)
     first = agg.dedupe_first(ev, key, ["_order"])
     new = first.join(stored.select(*key), key, "left_anti")
     new = global_rank(new, [F.col(k) for k in key], name="_r") \
-        .withColumn("dvevent_id", _max_id(stored, "dvevent_id") + F.col("_r")).drop("_r")
-    return new.select(*TABLES["deepvis_events"]["schema"].names)
+        .withColumn("dvevent_id", _max_id(stored, "dvevent_id") + F.col("_r")).drop("_r") \
+        .withColumn("ingested_at", F.to_timestamp(F.lit(as_of)))
+    return new.select(*TABLES["deepvis_events"]["schema"].names), rejects
 
 
 def _ts(col: str):
@@ -161,8 +163,8 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     ep_ok = cut_lineage(agg.dedupe_last(ep_ok, ["endpoint_id"], ["_ordinal"]))
     ep_ok, r = joins.reference_check(ep_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
-    ep_ok, r = upsert.unique_arbitration(ep_ok, ["tenant_id", "agent_uuid"], ["_ordinal"],
-                                         "unique_tenant_uuid")
+    ep_ok, r = _against_stored(cut_lineage(ep_ok), store["endpoints"], "endpoint_id",
+                               ["tenant_id", "agent_uuid"], "unique_tenant_uuid")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
     endpoints = upsert.upsert(store["endpoints"], ep_ok.drop("_ordinal")
                               .withColumn("ingested_at", F.lit(None).cast("timestamp")),
@@ -171,7 +173,12 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     endpoints = cut_lineage(endpoints)
     # threats (V3, V9, A1, J7, T11, T3)
     th = project.threat_columns(docs)
-    th_ok, r = validate.validate(th, validate.threat_rules(), "threats", ["threat_id_raw"], as_of)
+    # An unknown label is logged and stored as null; the threat stays
+    _known, r = validate.validate(th, validate.enum_rules(), "threats", ["threat_id_raw"], as_of)
+    rejects.append(r)
+    th = validate.null_unknown_labels(th)
+    th_ok, r = validate.validate(th, validate.threat_rules(enums=False), "threats",
+                                 ["threat_id_raw"], as_of)
     rejects.append(r)
     th_ok = th_ok.select(
         X.to_id("threat_id_raw").alias("threat_id"), "storyline",
@@ -192,19 +199,10 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
     th_ok = cut_lineage(th_ok)
     stored_th = store["threats"]
-    ord_type = th_ok.schema["_ordinal"].dataType
-    both = (stored_th.select("threat_id", "tenant_id", "sha256", "identified_at",
-                             F.lit(None).cast(ord_type).alias("_ordinal"), F.lit(0).alias("_src"))
-            .join(th_ok.select("threat_id"), "threat_id", "left_anti")
-            .unionByName(th_ok.select("threat_id", "tenant_id", "sha256", "identified_at",
-                                      "_ordinal", F.lit(1).alias("_src"))))
-    _kept, r = upsert.unique_arbitration(both, ["tenant_id", "sha256", "identified_at"],
-                                        ["_src", "_ordinal"], "unique_threat")
-    losers = r.filter(F.col("_src") == 1).select("threat_id")
-    rejects.append(_reject_rows(th_ok.join(losers, "threat_id", "left_semi")
-                                .withColumn("rule", F.lit("unique_threat")), "threats",
-                                ["threat_id"], as_of))
-    th_ok = th_ok.join(losers, "threat_id", "left_anti").drop("_ordinal")
+    th_ok, r = _against_stored(th_ok, stored_th, "threat_id",
+                               ["tenant_id", "sha256", "identified_at"], "unique_threat")
+    rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
+    th_ok = th_ok.drop("_ordinal")
     th_ok = th_ok.withColumn("ingested_at", F.lit(None).cast("timestamp")) \
         .withColumn("last_updated_at", F.lit(None).cast("timestamp"))
     threats = upsert.upsert(stored_th, th_ok, ["threat_id"],
@@ -214,14 +212,17 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                             origin=None)
     threats = cut_lineage(threats)
     # notes (T6: posexplode + V4 + occurrence number + insert if absent)
+    # the first copy of an alert in the batch gives the notes (D3, as for indicators)
     ids = docs.select(
         X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))
-        .alias("threat_id"), F.col("notes"))
+        .alias("threat_id"), F.col("notes"), "_ordinal").filter(F.col("threat_id").isNotNull())
+    ids = agg.dedupe_first(ids, ["threat_id"], ["_ordinal"])
     notes = ids.select("threat_id", F.posexplode(F.coalesce("notes", F.array().cast("array<string>")))
                        .alias("pos", "note")).withColumn("note", X.strip_ws("note"))
     notes_ok, r = validate.validate(notes, validate.note_rules(), "threat_notes", ["threat_id"], as_of)
     rejects.append(r)
-    notes_ok = notes_ok.join(threats.select("threat_id"), "threat_id", "left_semi")
+    notes_ok, r = joins.reference_check(notes_ok, threats, "threat_id", "threat_id", "fk_threat")
+    rejects.append(_reject_rows(r, "threat_notes", ["threat_id", "pos"], as_of))
     from threatframe.operators.rank import occurrence_number
 
     notes_ok = occurrence_number(notes_ok, ["threat_id", "note"], ["pos"]).drop("pos")
@@ -240,12 +241,14 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     ind, tac, tech, r = normalise_indicators(th_docs, store)
     rejects.append(r)
     ind_rows = ind.select("indicator_id", "threat_id", F.col("ind_pos").cast("int").alias("position"),
-                          "category", "description", "ids")
+                          "category", "description", "ids",
+                          F.to_timestamp(F.lit(as_of)).alias("ingested_at"))
     tac_rows = tac.select("tactic_id", "indicator_id", F.col("tac_pos").cast("int").alias("position"),
                           "name", "source")
     tech_rows = tech.select("technique_id", "tactic_id",
                             F.col("tech_pos").cast("int").alias("position"), "name", "link")
-    events = insert_events(th_docs, store["deepvis_events"])
+    events, r = insert_events(th_docs, store["deepvis_events"], as_of)
+    rejects.append(r)
     out = dict(store, tenants=tenants, endpoints=endpoints, threats=threats,
                threat_notes=threat_notes,
                threat_indicators=store["threat_indicators"].unionByName(ind_rows),
@@ -258,6 +261,24 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     return out, all_rejects
 
 
+def _against_stored(batch: DataFrame, stored: DataFrame, key: str, unique: list[str],
+                    rule: str) -> tuple[DataFrame, DataFrame]:
+    """T11 over stored and incoming rows: a unique key belongs to the stored row
+    that has it, else to the first batch row; batch rows with another `key` are
+    rejected.  Null parts never conflict.  Returns (batch rows kept, rejected)."""
+    ord_type = batch.schema["_ordinal"].dataType
+    cols = [key, *unique]
+    both = (stored.select(*cols, F.lit(None).cast(ord_type).alias("_ordinal"),
+                          F.lit(0).alias("_src"))
+            .unionByName(batch.select(*cols, "_ordinal", F.lit(1).alias("_src")))
+            .dropna(subset=unique))
+    w = Window.partitionBy(*unique).orderBy("_src", "_ordinal")
+    losers = (both.withColumn("_holder", F.first(key).over(w))
+              .filter((F.col("_src") == 1) & (F.col("_holder") != F.col(key))).select(key))
+    return (batch.join(losers, key, "left_anti"),
+            batch.join(losers, key, "left_semi").withColumn("rule", F.lit(rule)))
+
+
 def _number_after(fresh: DataFrame, stored: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Surrogate ids for new rows after max(stored id)."""
     base = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_base"))

@@ -701,6 +701,18 @@ def q_split_temporal_group(spark, sf_dir):
                                       ["endpoint_id", "o_orderpriority"]).select("threat_id", "split")
 
 
+@register("q_global_rank", sql="""
+SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                             l_quantity, l_extendedprice) AS rank FROM lineitem""")
+def q_global_rank(spark, sf_dir):
+    """Exact position of every line item in date order, all columns kept."""
+    from threatframe.operators.rank import global_rank
+
+    return global_rank(load(spark, sf_dir, "lineitem"),
+                       ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                        "l_quantity", "l_extendedprice"])
+
+
 @register("q_linked_groups", sql=f"""
 WITH RECURSIVE t AS ({T}),
 e AS (SELECT threat_id AS node, 'sha256:' || sha256 AS h FROM t

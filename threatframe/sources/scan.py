@@ -36,11 +36,12 @@ def scan_threats(spark: SparkSession, path: str, envelope: bool = False) -> Data
 def scan_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S3 + U1 + A9: landed alert pages → (alerts, page audit).  The audit
     compares the reported `totalItems` with the rows seen per page file."""
-    pages = spark.read.schema(ALERT_PAGE).json(path).withColumn("_file", F.input_file_name())
-    alerts = pages.select("_file", F.posexplode(F.coalesce("data", F.array().cast(
+    pages = spark.read.schema(ALERT_PAGE).json(path).withColumn("_file", F.input_file_name()) \
+        .withColumn("_page", F.monotonically_increasing_id())
+    alerts = pages.select("_file", "_page", F.posexplode(F.coalesce("data", F.array().cast(
         T.ArrayType(ALERT)))).alias("_i", "a")).select(
-        "a.*", F.struct(F.col("_file").alias("file"), F.col("_i").cast("long").alias("pos"))
-        .alias("_ordinal"))
+        "a.*", F.struct(F.col("_file").alias("file"), F.col("_page").alias("page"),
+                        F.col("_i").cast("long").alias("pos")).alias("_ordinal"))
     audit = pages.select("_file", F.col("pagination.totalItems").alias("total_items"),
                          F.size(F.coalesce("data", F.array())).alias("seen"),
                          F.col("pagination.nextCursor").alias("next_cursor"),

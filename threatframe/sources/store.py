@@ -11,6 +11,7 @@ Layout:  <root>/<table>/data/version=<n>/...   (optionally partitioned)
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatframe.schemas import TABLES
@@ -25,11 +26,14 @@ def _data(root: str, name: str, version: int) -> str:
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> int | None:
-    """Newest committed version (reads only the small commit markers)."""
+    """Newest committed version (reads only the small commit markers); None if
+    the table has no commit folder.  Any other read error is raised."""
     try:
         row = spark.read.parquet(_commits(root, name)).agg(F.max("version")).first()
-    except Exception:  # noqa: BLE001 - no commits yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return int(row[0]) if row and row[0] is not None else None
 
 
@@ -49,7 +53,8 @@ def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | N
                 sort_by: list[str] | None = None) -> int:
     """K1: write a new version, then commit it.  Rows are clustered by
     `partition_by` and sorted within files by `sort_by` so that range and
-    equality filters (T17) skip row groups."""
+    equality filters (T17) skip row groups.  Of two writers of one version, the
+    second fails at its commit."""
     spark = df.sparkSession
     v = (current_version(spark, root, name) or 0) + 1
     out = df
@@ -62,7 +67,7 @@ def write_table(df: DataFrame, root: str, name: str, partition_by: list[str] | N
         w = w.partitionBy(*partition_by)
     w.parquet(_data(root, name, v))
     (spark.range(1).select(F.lit(v).alias("version"), F.current_timestamp().alias("committed_at"))
-     .write.mode("overwrite").parquet(f"{_commits(root, name)}/version={v:08d}"))
+     .write.mode("error").parquet(f"{_commits(root, name)}/version={v:08d}"))
     return v
 
 
@@ -75,7 +80,7 @@ def register_run(spark: SparkSession, root: str, name: str, description: str,
     new_run = spark.createDataFrame(
         [(run_id, name, description, featureset, metrics_json)],
         "model_run_id long, name string, description string, featureset string, metrics string",
-    ).withColumn("created_at", F.to_timestamp(F.lit(as_of)))
+    ).withColumn("trained_at", F.to_timestamp(F.lit(as_of)))
     write_table(runs.unionByName(new_run), root, "model_runs")
     rr = read_table(spark, root, "model_run_rows")
     write_table(rr.unionByName(rows.select(F.lit(run_id).cast("long").alias("model_run_id"),

@@ -51,16 +51,18 @@ def match_stream(alerts: DataFrame, events: DataFrame, alert_key: str, event_key
 
 
 def run_available_now(df: DataFrame, name: str, out_path: str | None = None,
-                      foreach_batch=None) -> str:
+                      foreach_batch=None, checkpoint: str | None = None) -> str:
     """Run a streaming frame over all available input, then stop.
 
     Output goes to Parquet under the shared checkpoint directory (append,
     exactly once through the sink's commit log), or through `foreach_batch`.
-    Returns the output path."""
+    `checkpoint` is the query's durable checkpoint: a later run with the same
+    one reads only what is new.  Without it the run starts afresh.  Returns the
+    output path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out_path = out_path or scratch_path(spark, f"stream-{name}-out")
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{name}-ckpt")
     w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if foreach_batch is not None:
         q = w.foreachBatch(foreach_batch).start()
@@ -71,9 +73,10 @@ def run_available_now(df: DataFrame, name: str, out_path: str | None = None,
 
 
 def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: str,
-                  schema=None) -> None:
+                  schema=None, checkpoint: str | None = None) -> None:
     """Landed alert documents (JSON Lines) → ingest per micro-batch into
-    the versioned store.  Re-running over the same files changes nothing."""
+    the versioned store.  The checkpoint lies beside the store by default, so a
+    second run reads no file again; even if it did, nothing would change."""
     from threatframe.plans.ingest import ingest
     from threatframe.schemas import ALERT, TABLE_ORDER
     from threatframe.sources.store import read_table, write_table
@@ -92,4 +95,5 @@ def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: st
             write_table(tables[t], store_root, t)
         write_table(rejects, store_root, f"rejects_epoch_{epoch}")
 
-    run_available_now(src, "ingest", foreach_batch=batch)
+    run_available_now(src, "ingest", foreach_batch=batch,
+                      checkpoint=checkpoint or f"{store_root.rstrip('/')}/_stream_checkpoint")
