@@ -123,7 +123,7 @@ def q_note_text(spark, sf_dir):
 
 
 @register("q_attach_notes", sql=f"""
-SELECT conv_id, count(*) AS n_notes, sum(length(note)) AS notes_len,
+SELECT conv_id, count(*) AS n_notes, CAST(sum(length(note)) AS BIGINT) AS notes_len,
        md5(string_agg(note, ' ' ORDER BY turn)) AS notes_md5
 FROM ({_NOTE_SQL}) WHERE note <> '' GROUP BY conv_id""")
 def q_attach_notes(spark, sf_dir):

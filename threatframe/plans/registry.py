@@ -36,5 +36,5 @@ def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def all_queries() -> dict[str, tuple]:
     # importing the modules fills the registry
     from threatframe.plans import (q_events, q_tables, q_text, q_models,  # noqa: F401
-                                   q_stream, q_ingest)
+                                   q_stream, q_ingest, q_wired)
     return REGISTRY
