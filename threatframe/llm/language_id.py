@@ -31,7 +31,8 @@ WORDS = 40_000
 GRAMS = 40_000
 MAX_N = 4
 FLOOR = -8.0
-_KEEP = 300_000
+_KEEP = 500_000
+_GROUP_CHARS = 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -41,65 +42,86 @@ class LanguageModel:
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
 
-    def word(self, w: str) -> np.ndarray:
-        """Log probability of each language given the word."""
-        found = self.words.get(w)
-        if found is not None:
-            return found
-        marked = f"<{w}>"
-        parts, i = [], 0
-        while i < len(marked):
-            for n in range(MAX_N, 0, -1):
-                found = self.grams.get(marked[i:i + n]) if i + n <= len(marked) else None
-                if found is not None:
-                    parts.append(found)
-                    i += n
-                    break
-            else:
-                i += 1
-        if not parts:
-            return np.full(len(self.languages), -np.log(len(self.languages)))
-        return _normal(np.mean(parts, axis=0))
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log probability of each language given each word, a row per word."""
+        size = len(self.languages)
+        out = np.full((len(words), size), -np.log(max(1, size)))
+        known = [k for k, w in enumerate(words) if w in self.words]
+        if known:
+            out[known] = [self.words[words[k]] for k in known]
+        grams = self.grams
+        parts, ends, rest = [], [], []
+        for k, w in enumerate(words):
+            if w in self.words:
+                continue
+            marked, i, before = f"<{w}>", 0, len(parts)
+            while i < len(marked):
+                for n in range(MAX_N, 0, -1):
+                    found = grams.get(marked[i:i + n])
+                    if found is not None:
+                        parts.append(found)
+                        break
+                i += n
+            if len(parts) > before:
+                rest.append(k)
+                ends.append(len(parts))
+        if rest:
+            ends = np.array(ends)
+            starts = np.concatenate([[0], ends[:-1]])
+            sums = np.add.reduceat(np.array(parts), starts, axis=0)
+            out[rest] = _normal(sums / (ends - starts)[:, None])
+        return out
 
     def scorer(self):
         """A function from texts to ([language], [score])."""
+        size = len(self.languages)
         rows: dict[str, int] = {}
-        store = np.zeros((1024, len(self.languages)))
+        store = np.zeros((0, size))
+        chances = np.zeros((0, size))
+
+        def group(texts):
+            nonlocal store, chances
+            lists = [_LETTERS.findall(t.lower()) if t and size else [] for t in texts]
+            new = set().union(*lists).difference(rows)
+            if len(rows) + len(new) > _KEEP:
+                rows.clear()
+                store, chances = store[:0], chances[:0]
+                new = set().union(*lists)
+            if new:
+                words = list(new)
+                rows.update(zip(words, range(len(store), len(store) + len(words))))
+                logs = self.logs(words)
+                store = np.concatenate([store, logs])
+                chances = np.concatenate([chances, np.exp(logs)])
+            for words in lists:
+                if not any(map(str.isalpha, words)):
+                    yield "und", 0.0
+                    continue
+                at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+                best = int(store[at].sum(axis=0).argmax())
+                yield self.languages[best], float(min(1.0, chances[at, best].mean()))
 
         def score(texts):
-            nonlocal store
-            names, scores = [], []
+            found, some, held = [], [], 0
             for t in texts:
-                words = _LETTERS.findall(t.lower()) if t and self.languages else []
-                if not any(map(str.isalpha, words)):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                at = list(map(rows.get, words))
-                if None in at:
-                    if len(rows) > _KEEP:
-                        rows.clear()
-                    for w in dict.fromkeys(words):
-                        if w not in rows:
-                            if len(rows) == len(store):
-                                store = np.concatenate([store, np.zeros_like(store)])
-                            store[len(rows)] = self.word(w)
-                            rows[w] = len(rows)
-                    at = list(map(rows.__getitem__, words))
-                logs = store[np.array(at)]
-                best = int(logs.sum(axis=0).argmax())
-                names.append(self.languages[best])
-                scores.append(float(min(1.0, np.exp(logs[:, best]).mean())))
-            return names, scores
+                some.append(t)
+                held += len(t or "")
+                if held >= _GROUP_CHARS:
+                    found += group(some)
+                    some, held = [], 0
+            found += group(some)
+            return [x for x, _ in found], [y for _, y in found]
 
         return score
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
-    top = logs.max()
-    logs = logs - (top + np.log(np.exp(logs - top).sum()))
-    logs = np.maximum(logs, FLOOR)
-    return logs - np.log(np.exp(logs).sum())
+    """Log probabilities along the last axis, none under FLOOR by much."""
+    def scaled(x):
+        top = x.max(axis=-1, keepdims=True)
+        return x - (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))
+
+    return scaled(np.maximum(scaled(logs), FLOOR))
 
 
 def _top(counts: DataFrame, item: str, k: int) -> dict[str, dict[str, int]]:
