@@ -4,10 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from threatframe.plans.ingest import ingest
-from threatframe.schemas import TABLE_ORDER
+from threatframe.plans.ingest import ingest_into
 from threatframe.sources.scan import scan_pages, scan_threats
-from threatframe.sources.store import read_table, write_table
+from threatframe.sources.store import read_table
 
 AS_OF = "2024-02-01 00:00:00"
 SHA_A = "a" * 64
@@ -59,12 +58,7 @@ def _land(tmp_path, docs, name="docs"):
 
 
 def _run(spark, path, root):
-    store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
-    tables, rejects = ingest(scan_threats(spark, path), store, AS_OF)
-    for t in ("tenants", "endpoints", "threats", "threat_notes", "threat_indicators",
-              "indicator_tactics", "tactic_techniques", "deepvis_events"):
-        write_table(tables[t], root, t)
-    return rejects
+    return ingest_into(spark, root, scan_threats(spark, path), AS_OF)
 
 
 def test_ingest_edges_and_idempotence(spark, tmp_path):
@@ -172,3 +166,21 @@ def test_store_raises_on_other_errors(spark, tmp_path):
     (bad / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         current_version(spark, root, "tenants")
+
+
+def test_untouched_files_stay_in_place(spark, tmp_path):
+    """A second batch rewrites only the months it touches and appends child rows."""
+    root = str(tmp_path / "store")
+    first = [doc("1", notes=["a"]), doc("2", sha="e" * 64)]
+    first[1]["threatInfo"]["createdAt"] = "2024-03-01T00:00:00Z"
+    _run(spark, _land(tmp_path, first, "a"), root)
+    before = {t: set(read_table(spark, root, t).inputFiles()) for t in ("threats", "threat_notes")}
+    third = doc("3", sha="f" * 64, notes=["b"])
+    third["threatInfo"]["createdAt"] = "2024-03-09T00:00:00Z"
+    _run(spark, _land(tmp_path, [third], "b"), root)
+    after = {t: set(read_table(spark, root, t).inputFiles()) for t in before}
+    assert before["threat_notes"] < after["threat_notes"]
+    kept = before["threats"] & after["threats"]
+    assert {f for f in before["threats"] if "2024-01" in f} == kept != before["threats"]
+    assert sorted(r.threat_id for r in read_table(spark, root, "threats").collect()) == [1, 2, 3]
+    assert read_table(spark, root, "threat_notes").count() == 2

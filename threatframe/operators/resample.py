@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from threatframe.functions.scalars import hash_fraction, sq_dist
 from threatframe.operators.joins import cap_per_group
 from threatframe.operators.rank import global_rank
+from threatframe.session import cut_lineage
 
 
 def _projection(df: DataFrame, vec: str) -> DataFrame:
@@ -43,7 +44,8 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = No
     first = cap_per_group(cand, ["id"], [F.col("d2"), F.col("nn_id")], k)
     bound = first.groupBy("id").agg(F.max("d2").alias("_dk2"), F.first("pa").alias("pa"),
                                     F.first("va").alias("va"))
-    bound = bound.withColumn("_dk", F.sqrt("_dk2"))
+    # read twice (bucket width, second pass): kept once by a reliable checkpoint
+    bound = cut_lineage(bound.withColumn("_dk", F.sqrt("_dk2")))
     # bucket width: median bound radius (a runtime statistic, one number)
     width = bound.agg(F.percentile_approx("_dk", 0.5).alias("w")).first()["w"] or 1.0
     width = max(float(width), 1e-9)

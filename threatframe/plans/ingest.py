@@ -125,8 +125,44 @@ def _ts(col: str):
 
 
 def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
-    """One batch of alert documents (with `_ordinal` = batch order)
-    merged into the stored tables.  Returns (new tables, rejects).
+    """One batch of alert documents merged into the stored tables.  Returns
+    (new tables, rejects)."""
+    merged, fresh, rejects, _ids = ingest_parts(docs, store, as_of)
+    return dict(store, **merged, **{t: store[t].unionByName(rows) for t, rows in fresh.items()}), \
+        rejects
+
+
+def ingest_into(spark, root: str, docs: DataFrame, as_of: str) -> DataFrame:
+    """T16 + K1: ingest a batch into the stored tables under `root`.  New rows of
+    the child tables are appended; of the threats only the months that the batch
+    touches are rewritten; tenants and endpoints are small and written whole.
+    Returns the rejects."""
+    from threatframe.schemas import TABLE_ORDER
+    from threatframe.session import cut_lineage
+    from threatframe.sources.store import append_table, read_table, replace_buckets, write_table
+
+    store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
+    merged, fresh, rejects, ids = ingest_parts(docs, store, as_of)
+    fresh = {t: cut_lineage(rows) for t, rows in fresh.items()}
+    rejects = cut_lineage(rejects)
+    month = F.date_format("created_at", "yyyy-MM")
+    changed = merged["threats"].join(ids, "threat_id", "left_semi")
+    old = store["threats"].join(ids, "threat_id", "left_semi")
+    # one row per month
+    touched = [r[0] for r in changed.select(month).unionAll(old.select(month)).distinct().collect()]
+    for t in ("tenants", "endpoints"):
+        write_table(merged[t], root, t)
+    if touched:
+        replace_buckets(merged["threats"], root, "threats", month, touched)
+    for t, rows in fresh.items():
+        append_table(rows, root, t)
+    return rejects
+
+
+def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
+    """One batch of alert documents (with `_ordinal` = batch order) against the
+    stored tables.  Returns (merged tenants, endpoints and threats; new rows of the
+    child tables; rejects; ids of the inserted or updated threats).
 
     Each table step reads materialised parents: the documents and every
     finished table are cut from the lineage by a reliable checkpoint (the
@@ -230,9 +266,8 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     fresh = notes_ok.join(stored_notes.select("threat_id", "note", "occurrence"),
                           ["threat_id", "note", "occurrence"], "left_anti")
     fresh = _number_after(fresh, stored_notes, "note_id", ["threat_id", "note", "occurrence"])
-    threat_notes = stored_notes.unionByName(
-        fresh.withColumn("ingested_at", F.to_timestamp(F.lit(as_of))).select(
-            *TABLES["threat_notes"]["schema"].names))
+    note_rows = fresh.withColumn("ingested_at", F.to_timestamp(F.lit(as_of))).select(
+        *TABLES["threat_notes"]["schema"].names)
     # indicators → tactics → techniques (T7-T9) and events (T10) of accepted threats
     th_docs = docs.select(
         X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))
@@ -249,16 +284,14 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                             F.col("tech_pos").cast("int").alias("position"), "name", "link")
     events, r = insert_events(th_docs, store["deepvis_events"], as_of)
     rejects.append(r)
-    out = dict(store, tenants=tenants, endpoints=endpoints, threats=threats,
-               threat_notes=threat_notes,
-               threat_indicators=store["threat_indicators"].unionByName(ind_rows),
-               indicator_tactics=store["indicator_tactics"].unionByName(tac_rows),
-               tactic_techniques=store["tactic_techniques"].unionByName(tech_rows),
-               deepvis_events=store["deepvis_events"].unionByName(events))
+    merged = {"tenants": tenants, "endpoints": endpoints, "threats": threats}
+    new_rows = {"threat_notes": note_rows, "threat_indicators": ind_rows,
+                "indicator_tactics": tac_rows, "tactic_techniques": tech_rows,
+                "deepvis_events": events}
     from functools import reduce
 
     all_rejects = reduce(lambda a, b: a.unionByName(b), rejects)
-    return out, all_rejects
+    return merged, new_rows, all_rejects, th_ok.select("threat_id")
 
 
 def _against_stored(batch: DataFrame, stored: DataFrame, key: str, unique: list[str],
@@ -296,4 +329,4 @@ def _reject_rows(df: DataFrame, table: str, key: list[str], as_of: str) -> DataF
                      F.to_timestamp(F.lit(as_of)).alias("as_of"))
 
 
-__all__ = ["ingest", "normalise_indicators", "notes_text_per_key", "LABEL_COLUMNS"]
+__all__ = ["ingest", "ingest_into", "ingest_parts", "normalise_indicators", "notes_text_per_key", "LABEL_COLUMNS"]

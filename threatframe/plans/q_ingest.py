@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from threatframe.functions import scalars as X
 from threatframe.operators.rank import global_rank
-from threatframe.plans.ingest import ingest
+from threatframe.plans.ingest import ingest_into
 from threatframe.plans.registry import load, register
-from threatframe.schemas import TABLE_ORDER
 from threatframe.session import ensure_utc, scratch_path
 from threatframe.sources.scan import scan_pages, scan_threats
 from threatframe.sources.store import read_table, write_table
@@ -125,10 +124,7 @@ def q_ingest(spark, sf_dir):
     stored threats after validation, references and unique-key arbitration."""
     path = land_documents(alert_documents(spark, sf_dir), scratch_path(spark, "alerts"))
     root = scratch_path(spark, "store")
-    store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
-    tables, rejects = ingest(scan_threats(spark, path), store, AS_OF)
-    for t in INGEST_TABLES:
-        write_table(tables[t], root, t)
+    rejects = ingest_into(spark, root, scan_threats(spark, path), AS_OF)
     write_table(rejects, root, "rejects")
     return _threat_view(read_table(spark, root, "threats"))
 

@@ -9,7 +9,7 @@ from threatframe.operators import agg, filters, joins, metrics, project, upsert,
 from threatframe.plans import roles as R
 from threatframe.plans.q_ingest import AS_OF, INGEST_TABLES, alert_documents
 from threatframe.plans.registry import load, register
-from threatframe.schemas import NOTE_PAGE, TABLE_ORDER
+from threatframe.schemas import NOTE_PAGE
 from threatframe.session import ensure_utc, scratch_path
 from threatframe.sources import sinks, store
 from threatframe.sources.scan import scan_events, scan_feature_csv, scan_notes, scan_threats
@@ -270,7 +270,7 @@ UNION ALL SELECT 'deepvis_events', CAST(o_orderkey AS VARCHAR), o_orderstatus FR
 def q_ingest_children(spark, sf_dir):
     """The child tables after two overlapping batches, the
     second with every alert twice; keys in natural form, ids followed by joins."""
-    from threatframe.plans.ingest import ingest
+    from threatframe.plans.ingest import ingest_into
 
     docs = alert_documents(spark, sf_dir)
     info = F.col("threatInfo")
@@ -292,10 +292,7 @@ def q_ingest_children(spark, sf_dir):
     for batch in (early, late.unionByName(late)):
         path = scratch_path(spark, "alerts")
         batch.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key").write.json(path)
-        tables, _rejects = ingest(scan_threats(spark, path), {
-            t: store.read_table(spark, root, t) for t in TABLE_ORDER}, AS_OF)
-        for t in INGEST_TABLES:
-            store.write_table(tables[t], root, t)
+        ingest_into(spark, root, scan_threats(spark, path), AS_OF)
     t = {name: store.read_table(spark, root, name) for name in INGEST_TABLES}
     ind = t["threat_indicators"].select("indicator_id", F.concat_ws(
         "|", "threat_id", "position").alias("ik"), "category")

@@ -77,9 +77,9 @@ def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: st
     """Landed alert documents (JSON Lines) → ingest per micro-batch into
     the versioned store.  The checkpoint lies beside the store by default, so a
     second run reads no file again; even if it did, nothing would change."""
-    from threatframe.plans.ingest import ingest
-    from threatframe.schemas import ALERT, TABLE_ORDER
-    from threatframe.sources.store import read_table, write_table
+    from threatframe.plans.ingest import ingest_into
+    from threatframe.schemas import ALERT
+    from threatframe.sources.store import write_table
 
     src = spark.readStream.schema(schema or ALERT).json(docs_dir)
 
@@ -88,11 +88,7 @@ def ingest_stream(spark: SparkSession, docs_dir: str, store_root: str, as_of: st
         bdf = bdf.withColumn("_ordinal", F.struct(
             F.lit(epoch).cast("long").alias("epoch"), F.input_file_name().alias("file"),
             F.monotonically_increasing_id().alias("pos")))
-        store = {t: read_table(spark, store_root, t) for t in TABLE_ORDER}
-        tables, rejects = ingest(bdf, store, as_of)
-        for t in ("tenants", "endpoints", "threats", "threat_notes", "threat_indicators",
-                  "indicator_tactics", "tactic_techniques", "deepvis_events"):
-            write_table(tables[t], store_root, t)
+        rejects = ingest_into(spark, store_root, bdf, as_of)
         write_table(rejects, store_root, f"rejects_epoch_{epoch}")
 
     run_available_now(src, "ingest", foreach_batch=batch,
