@@ -49,13 +49,20 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = No
     # bucket width: median bound radius (a runtime statistic, one number)
     width = bound.agg(F.percentile_approx("_dk", 0.5).alias("w")).first()["w"] or 1.0
     width = max(float(width), 1e-9)
-    lo = F.floor((F.col("pa") - F.col("_dk")) / width).cast("long")
-    hi = F.floor((F.col("pa") + F.col("_dk")) / width).cast("long")
-    left = bound.select("id", "va", "pa", "_dk", F.explode(F.sequence(lo, hi)).alias("_q"))
+    # bucket widths double per level, so a band of any radius touches ≤ 3 buckets
+    bound = bound.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(
+        F.greatest("_dk", F.lit(width)) / width))).cast("int"))
+    levels = [r[0] for r in bound.select("_level").distinct().collect()]  # one row per doubling
+    size = F.lit(width) * F.pow(F.lit(2.0), "_level")
+    lo = F.floor((F.col("pa") - F.col("_dk")) / size).cast("long")
+    hi = F.floor((F.col("pa") + F.col("_dk")) / size).cast("long")
+    left = bound.select("id", "va", "pa", "_dk", "_level",
+                        F.explode(F.sequence(lo, hi)).alias("_q"))
     right = pts.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("vb"),
                        F.col("_p").alias("pb"),
-                       F.floor(F.col("_p") / width).cast("long").alias("_q"))
-    band = (left.join(right, "_q")
+                       F.explode(F.array(*[F.lit(x) for x in levels])).alias("_level"))
+    right = right.withColumn("_q", F.floor(F.col("pb") / size).cast("long"))
+    band = (left.join(right, ["_level", "_q"])
             .filter((F.col("id") != F.col("nn_id"))
                     & (F.abs(F.col("pb") - F.col("pa")) <= F.col("_dk") + 1e-9))
             .withColumn("d2", sq_dist("va", "vb")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.scalars import hash_fraction_sql
 from threatframe.functions.stopwords import german_english, sql_list
 from threatframe.operators import text
+from threatframe.plans.q_events import _SQL_MATCHED
 from threatframe.plans.registry import load_spread, register
 
 VOCAB = 500
@@ -58,6 +59,43 @@ def q_tfidf(spark, sf_dir):
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@register("q_feature_matrix", sql=_SQL_MATCHED + _sql_terms().replace("WITH stop", ",stop", 1) + """,
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT tc.doc_id, tc.term, tc.tf * (ln((1 + n.n) / (1 + v.df)) + 1) AS w
+      FROM tc JOIN vocab v USING (term) CROSS JOIN n),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z, sum(w) AS s, count(*) AS nnz FROM w GROUP BY doc_id),
+prof AS (SELECT alert_id, count(*) AS n_events, max(value) AS top FROM matched GROUP BY alert_id)
+SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(coalesce(p.n_events, 0) AS DOUBLE) AS n_events,
+       round(coalesce(p.top, 0), 4) AS max_severity, coalesce(nrm.nnz, 0) AS text_nnz,
+       round(coalesce(nrm.s / nrm.z, 0), 4) AS text_sum
+FROM documents d LEFT JOIN prof p ON p.alert_id = d.doc_id LEFT JOIN nrm ON nrm.doc_id = d.doc_id""")
+def q_feature_matrix(spark, sf_dir):
+    """P15 + P16 + M7: numeric column, event profile and sparse text weights of each
+    document in one vector, read back from it."""
+    from pyspark.ml.functions import vector_to_array
+
+    from threatframe.operators import agg
+    from threatframe.plans import roles
+    from threatframe.plans.features import feature_matrix, fit_vocabulary
+    from threatframe.plans.q_events import matched_events
+
+    docs = load_spread(spark, sf_dir, "documents").select("doc_id", "text",
+                                                          F.col("n_chars").cast("double"))
+    profile = agg.event_profile(matched_events(spark, sf_dir), "alert_id", "event_type",
+                                roles.EVENT_TYPES, "value").withColumnRenamed("alert_id", "doc_id")
+    vocab, n = fit_vocabulary(docs, "doc_id", "text", VOCAB)
+    x = feature_matrix(docs, profile, "doc_id", ["n_chars"], ["n_events", "max_severity"], "text",
+                       vocab, n)
+    v = x.select("doc_id", vector_to_array("features").alias("v"))
+    words = F.slice("v", 4, VOCAB)
+    return v.select("doc_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_events"),
+                    F.round(F.col("v")[2], 4).alias("max_severity"),
+                    F.size(F.filter(words, lambda w: w > 0)).cast("long").alias("text_nnz"),
+                    F.round(F.aggregate(words, F.lit(0.0), lambda a, w: a + w), 4)
+                    .alias("text_sum"))
+
+
 @register("q_tfidf_apply", sql=_sql_terms().replace(
     "stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term)",
     "train AS (SELECT doc_id FROM documents WHERE " + hash_fraction_sql(42, "doc_id") + " >= 0.2),\n"
