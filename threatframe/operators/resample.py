@@ -60,7 +60,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = No
                         F.explode(F.sequence(lo, hi)).alias("_q"))
     right = pts.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("vb"),
                        F.col("_p").alias("pb"),
-                       F.explode(F.array(*[F.lit(x) for x in levels])).alias("_level"))
+                       F.explode(F.array(*[F.lit(x) for x in levels or [0]])).alias("_level"))
     right = right.withColumn("_q", F.floor(F.col("pb") / size).cast("long"))
     band = (left.join(right, ["_level", "_q"])
             .filter((F.col("id") != F.col("nn_id"))
