@@ -59,3 +59,22 @@ def test_forest_scores_independent_of_row_order(spark):
          novelty.novelty(df.orderBy(F.rand(5)).repartition(3), df, "id", "v", n_trees=20).collect()}
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
     assert a[999] == min(a.values())
+
+
+def test_final_fit_saved_and_loaded(spark, tmp_path):
+    """M12 + K5: the model fitted on all rows scores alike after saving and loading."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from threatframe.operators import model
+    from threatframe.plans.train import final_fit
+    from threatframe.sources.sinks import save_model
+
+    rows = [(i, [float(i % 7), float(i)], int(i % 9 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    m = final_fit(df, "id", "v", "label", rounds=2, depth=2)
+    save_model(m, str(tmp_path / "model"))
+    x = model.vectorize(df, array_col="v")
+    again = GBTClassificationModel.load(str(tmp_path / "model"))
+    a = [r.p_class1 for r in model.score(m, x).orderBy("id").collect()]
+    assert a == [r.p_class1 for r in model.score(again, x).orderBy("id").collect()]
+    assert m.getNumTrees == 2

@@ -84,30 +84,3 @@ def unique_arbitration(df: DataFrame, unique: list[str], order: list[str],
     kept = ranked.filter(F.col("_rn") == 1).drop("_rn").unionByName(df.filter(has_null))
     rejected = ranked.filter(F.col("_rn") > 1).drop("_rn").withColumn("rule", F.lit(rule))
     return kept, rejected
-
-
-def assign_surrogate(new_rows: DataFrame, stored: DataFrame | None, natural: list[str],
-                     id_col: str, order: list | None = None) -> DataFrame:
-    """Reuse the stored id for a known natural key; number new keys
-    after max(stored id) in natural-key order (exact, via global_rank)."""
-    from threatframe.operators.rank import global_rank
-
-    order = order or natural
-    if stored is not None:
-        known = stored.select(*natural, id_col)
-        joined = new_rows.join(known, natural, "left")
-        fresh = joined.filter(F.col(id_col).isNull()).drop(id_col)
-        old = joined.filter(F.col(id_col).isNotNull())
-        base = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_base"))
-    else:
-        fresh, old = new_rows, None
-        base = None
-    ranked = global_rank(fresh, order, name="_r")
-    if base is not None:
-        from threatframe.operators.agg import attach_one_row
-
-        ranked = attach_one_row(ranked, base).withColumn(id_col, F.col("_base") + F.col("_r")) \
-            .drop("_base", "_r")
-    else:
-        ranked = ranked.withColumn(id_col, F.col("_r")).drop("_r")
-    return ranked if old is None else ranked.unionByName(old)

@@ -140,6 +140,29 @@ def q_nested_events(spark, sf_dir):
                       F.array_join("types", ",").alias("types"))
 
 
+@register("q_audit_counts", sql=f"""
+WITH ev AS ({R.EVENTS_SQL}), alerts AS ({R.ALERTS_SQL})
+SELECT 'events' AS stage, count(*) AS n FROM ev
+UNION ALL SELECT 'alerts', count(*) FROM alerts
+UNION ALL SELECT 'guarded', count(*) FROM alerts
+  WHERE created_at >= TIMESTAMP '{R.AS_OF}' - INTERVAL {R.LOOKBACK_DAYS} DAY""")
+def q_audit_counts(spark, sf_dir):
+    """Rows per stage of the event match."""
+    from threatframe.plans.q_events import guarded_alerts
+
+    ev = R.events(spark, sf_dir)
+    return agg.audit_counts({"events": ev, "alerts": R.alerts(ev), "guarded": guarded_alerts(ev)})
+
+
+@register("q_events_of", sql="""
+SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND user_id = 1""")
+def q_events_of(spark, sf_dir):
+    """The events of one type and agent; both predicates reach the scan."""
+    ev = load(spark, sf_dir, "events")
+    return store.events_of(ev, "event_type", "error", "user_id", 1) \
+        .select("event_id", "user_id", "value")
+
+
 def _scored_orders(spark, sf_dir):
     o = load(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P"))
     return o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"),
