@@ -31,7 +31,7 @@ WORDS = 40_000
 GRAMS = 40_000
 MAX_N = 4
 FLOOR = -8.0
-_KEEP = 500_000
+_KEEP = 250_000
 _GROUP_CHARS = 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 

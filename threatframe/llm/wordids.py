@@ -27,7 +27,7 @@ _STEMS = 200
 class WordIds:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
