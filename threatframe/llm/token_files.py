@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
      .option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.create.index", "true")
      .option("orc.row.index.stride", ROW_INDEX_STRIDE)
-     .option("compression", "zstd")
+     .option("compression", "lz4")
      .orc(path))
 
 
