@@ -75,9 +75,9 @@ class PairTable:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file; `limit` bounds the pieces kept per worker."""
+    """Encoder and decoder of one rank file; `limit` bounds the pieces kept per worker (twice)."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         import regex
 
         with open(path, "rb") as f:
