@@ -4,14 +4,14 @@ Each stage takes the documents its predecessor kept and decides over all of
 them; `run` writes every stage's result as Parquet in the shared folder and reads
 it back.  All stages but the last return the columns of `documents`; the last
 returns the packed pieces.  Nulls: a null text is `und` and goes in the first
-stage, a null doc_id stays alone in the third.  Rows that repeat a doc_id count
-as one document there.  Further columns are dropped.  An empty table passes
-through as empty.
+stage, a null doc_id stays alone in the third.  Rows that repeat a doc_id and its
+text count as one document there; different texts of one doc_id are documents of
+their own.  Further columns are dropped.  An empty table passes through as empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatframe.llm import language_id, packing, quality, shingle_join
 from threatframe.llm.common import table, written
@@ -40,15 +40,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates:
-    five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Keep the text with the smallest doc_id of each group of near duplicates:
+    five-word shingles, Jaccard similarity of 0.8 or more.  Rows are told apart by
+    doc_id and text, so different texts of one doc_id are decided one by one."""
     docs = docs.select(*COLUMNS)
-    groups = shingle_join.jaccard_components(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return (docs.join(gone, "doc_id", "left_anti")
-            .withColumn("_copy", F.row_number().over(same))
-            .filter((F.col("_copy") == 1) | F.col("doc_id").isNull()).select(*COLUMNS))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    row = F.min(F.struct(*COLUMNS)).alias("row")
+    # repeats go first, by partial aggregation: no id or text fills one task
+    signed = shingle_join.with_signature(docs.filter(words & F.col("doc_id").isNotNull())) \
+        .groupBy("doc_id", "sig").agg(row)
+    worded = signed.join(shingle_join.representatives(docs), ["doc_id", "sig"], "left_semi")
+    blank = docs.filter(~words & F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(row)
+    return worded.select("row.*").unionByName(blank.select("row.*")) \
+        .unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,3 +173,15 @@ def test_pipeline_hard_cases(spark, edge, empty):
     left = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, edge, "").collect()]
     assert sorted(left, key=lambda i: i or -1) == [None, 10, *range(13, 25)]
     assert corpus_pipeline.pack_sequences(spark, edge, "").count() >= len(cases())
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    """A repeated id loses only its copies, not the other texts it holds."""
+    one, two, three = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(3, one), (5, one), (5, two), (5, two), (9, three), (9, None), (9, None)]
+    rows += [(7, prose(40 + i, 60)) for i in range(12)] + [(7, prose(40, 60)), (8, prose(41, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "").collect()
+    want = {(3, one), (5, two), (9, three), (9, None)} | {(7, prose(40 + i, 60)) for i in range(12)}
+    assert len(got) == len(want) and {(r.doc_id, r.text) for r in got} == want

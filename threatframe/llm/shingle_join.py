@@ -33,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threatframe.llm.common import query, table, whole_text, written
 from threatframe.operators.graph import components
@@ -102,6 +102,11 @@ def text_sets(texts: list[bytes], k: int):
             some, held = [], 0
 
 
+def signature(items: bytes) -> bytes | None:
+    """Name of a class: digest of the set's bytes; none for the empty set."""
+    return hashlib.blake2b(items, digest_size=16).digest() if items else None
+
+
 def cells(found: np.ndarray) -> bytes:
     """Counts of the set per cell of hash space: a power of two of about n/4 cells."""
     bits = max(3, int(len(found) // 4).bit_length())
@@ -137,8 +142,7 @@ def _scan(k: int):
             held: list[np.ndarray] = []
             for s in text_sets(b.column("text").cast(pa.binary()).to_pylist(), k):
                 n.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                           if len(s) else None)
+                sig.append(signature(s.tobytes()))
                 held.append(s)
                 if len(s) > 1 << 16 or len(held) > 500:
                     _count(sketch, held)
@@ -184,8 +188,7 @@ def _prefixes(k: int, num: int, den: int, sketch):
                 n.append(len(s))
                 pre.append(s[order[:keep]].view(np.int64))
                 cell.append(cells(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                           if len(s) else None)
+                sig.append(signature(s.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
                  pa.array(pre, pa.list_(pa.int64())), pa.array(cell, pa.binary())],
@@ -198,11 +201,28 @@ def _whole_sets(k: int):
         for b in batches:
             sets = [s.tobytes() for s in text_sets(
                 b.column("text").cast(pa.binary()).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())],
-                                             names=["id", "items"])
+            sig = [signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()),
+                                              pa.array(sets, pa.binary())], names=["sig", "items"])
+    return run
+
+
+def _signed(k: int, text_col: str):
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
+            sig = [signature(s.tobytes()) for s in text_sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.binary())],
+                                             names=[*b.schema.names, "sig"])
     return run
 
 
+def with_signature(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
+    """Add `sig`, the name of the row's class: a digest of its shingle set, null if empty."""
+    schema = T.StructType([*docs.schema, T.StructField("sig", T.BinaryType())])
+    return docs.mapInArrow(_signed(k, text_col), schema)
+
+
 def _suffix_filter(num: int, den: int):
     def run(batches):
         for b in batches:
@@ -211,7 +231,8 @@ def _suffix_filter(num: int, den: int):
             for i, (x, y) in enumerate(zip(b.column("ca").to_pylist(), b.column("cb").to_pylist())):
                 most = overlap_bound(x, y)
                 keep.append(most is None or (num + den) * most >= num * (na[i] + nb[i]))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]) \
+            names = ["a", "b", "ga", "gb"]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names=names) \
                 .filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -244,38 +265,51 @@ class JaccardJoin:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                 whole_text(text_col).alias("text"))
 
-    def run(self) -> DataFrame:
+    def solve(self) -> DataFrame:
+        """One row per class: node, sig, rep (smallest doc_id), copies (rows) and group,
+        the smallest node of its component of links between texts."""
         scan = written(self.docs.mapInArrow(
             _scan(self.k), "doc_id long, n long, sig binary, chunk int, counts binary"), "sets")
-        docs = scan.filter(F.col("chunk").isNull()).select("doc_id", "n", "sig")
-        classes = docs.filter("sig is not null and doc_id is not null").groupBy("sig") \
-            .agg(F.min("doc_id").alias("rep"))
+        self.rows = scan.filter(F.col("chunk").isNull()).select("doc_id", "n", "sig")
+        classes = written(
+            self.rows.filter("sig is not null and doc_id is not null").groupBy("sig")
+            .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+            .withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
         reps = self._prefix_table(self._sketch(scan), classes)
         shared = self._shared(reps)
         centre = shared.filter("pos * 4294967296 + n = least").groupBy("h") \
-            .agg(F.min("rep").alias("c")).select(F.col("h").alias("ch"), "c")
-        centre = shared.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"),
+            .agg(F.min("node").alias("c")).select(F.col("h").alias("ch"), "c")
+        centre = shared.select(F.col("h").alias("h2"), F.col("node").alias("node2"),
                                F.col("n").alias("n2"), F.col("pos").alias("pos2")) \
-            .join(centre, (F.col("h2") == F.col("ch")) & (F.col("rep2") == F.col("c"))) \
-            .select("h2", "rep2", "n2", "pos2")
+            .join(centre, (F.col("h2") == F.col("ch")) & (F.col("node2") == F.col("c"))) \
+            .select("h2", "node2", "n2", "pos2")
         first = self._links(shared.join(centre, F.col("h") == F.col("h2")), reps, "jaccard-star")
-        found = written(components(first, "a", "b"), "jaccard-components")
-        named = (shared.join(found, F.col("rep") == F.col("node"), "left")
-                 .select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("label")))
+        found = written(components(first, "a", "b").select(F.col("node").alias("found"), "component"),
+                        "jaccard-components")
+        named = (shared.join(found, F.col("node") == F.col("found"), "left")
+                 .select("h", "node", "n", "pos", F.coalesce("component", "node").alias("label")))
         named = written(named, "jaccard-labelled")
         open_ = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
             .filter("lo <> hi").select("h")
         rest = named.join(open_, "h", "left_semi")
-        other = rest.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"),
-                            F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+        other = rest.select(F.col("h").alias("h2"), F.col("node").alias("node2"),
+                            F.col("n").alias("n2"), F.col("pos").alias("pos2"),
+                            F.col("label").alias("label2"))
         second = self._links(rest.join(other, (F.col("h") == F.col("h2"))
                                        & (F.col("label") < F.col("label2"))
                                        & _fits(self.num, self.den)), reps, "jaccard-rest")
-        final = components(first.unionByName(second), "a", "b")
-        of_class = (classes.join(final, F.col("rep") == F.col("node"), "left")
-                    .select(F.col("sig").alias("_sig"),
-                            F.coalesce("component", "rep").alias("component_id")))
-        return (docs.join(of_class, F.col("sig") == F.col("_sig"), "left")
+        final = components(first.unionByName(second), "a", "b") \
+            .select(F.col("node").alias("found"), "component")
+        return written(classes.join(final, F.col("node") == F.col("found"), "left")
+                       .select("node", "sig", "rep", "copies",
+                               F.coalesce("component", "node").alias("group")), "jaccard-groups")
+
+    def run(self) -> DataFrame:
+        groups = self.solve()
+        least = groups.groupBy("group").agg(F.min("rep").alias("component_id"))
+        of_class = groups.join(least, "group").select(F.col("sig").alias("_sig"), "component_id")
+        key = F.when(F.col("doc_id").isNotNull(), F.col("sig"))
+        return (self.rows.join(of_class, key == F.col("_sig"), "left")
                 .select("doc_id", F.col("n").alias("n_shingles"),
                         F.coalesce("component_id", "doc_id").alias("component_id")))
 
@@ -292,15 +326,15 @@ class JaccardJoin:
         rows = self.docs.filter("doc_id is not null").mapInArrow(
             _prefixes(self.k, self.num, self.den, sketch),
             "doc_id long, n long, sig binary, prefix array<long>, cells binary")
-        mine = classes.select(F.col("rep").alias("doc_id"), "sig")
-        return written(rows.join(mine, ["doc_id", "sig"], "left_semi")
+        mine = classes.select(F.col("rep").alias("doc_id"), "sig", "node")
+        return written(rows.join(mine, ["doc_id", "sig"])
                        .dropDuplicates(["doc_id", "sig"])
-                       .select(F.col("doc_id").alias("rep"), "n", "prefix", "cells"),
+                       .select("node", F.col("doc_id").alias("rep"), "sig", "n", "prefix", "cells"),
                        "jaccard-prefixes")
 
     def _shared(self, reps: DataFrame) -> DataFrame:
-        """The prefix entries (h, rep, n, pos) of shingles that two or more classes have."""
-        rows = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+        """The prefix entries (h, node, n, pos) of shingles that two or more classes have."""
+        rows = reps.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
         many = rows.groupBy("h").agg(
             F.count(F.lit(1)).alias("c"),
             F.min(F.col("pos") * F.lit(4294967296) + F.col("n")).alias("least")) \
@@ -309,29 +343,42 @@ class JaccardJoin:
 
     def _links(self, met: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """Verified links (a, b) of met prefix entries."""
-        pairs = (met.filter(_fits(self.num, self.den) & (F.col("rep") != F.col("rep2")))
-                 .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        pairs = (met.filter(_fits(self.num, self.den) & (F.col("node") != F.col("node2")))
+                 .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
                  .distinct())
-        side = reps.select("rep", "n", "cells")
-        wide = (pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("na"),
-                                       F.col("cells").alias("ca")), "a")
-                .join(side.select(F.col("rep").alias("b"), F.col("n").alias("nb"),
-                                  F.col("cells").alias("cb")), "b"))
-        pairs = written(wide.select("a", "b", "na", "nb", "ca", "cb")
-                        .mapInArrow(_suffix_filter(self.num, self.den), "a long, b long")
-                        .distinct(), f"{name}-pairs")
+        side = reps.select("node", "sig", "n", "cells")
+        wide = (pairs.join(side.select(F.col("node").alias("a"), F.col("sig").alias("ga"),
+                                       F.col("n").alias("na"), F.col("cells").alias("ca")), "a")
+                .join(side.select(F.col("node").alias("b"), F.col("sig").alias("gb"),
+                                  F.col("n").alias("nb"), F.col("cells").alias("cb")), "b"))
+        pairs = written(wide.select("a", "b", "ga", "gb", "na", "nb", "ca", "cb")
+                        .mapInArrow(_suffix_filter(self.num, self.den),
+                                    "a long, b long, ga binary, gb binary"), f"{name}-pairs")
         if pairs.isEmpty():
-            return pairs
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            return pairs.select("a", "b")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = reps.select("node", "rep").join(nodes, "node", "left_semi") \
+            .select(F.col("rep").alias("doc_id")).distinct()
+        # rows of the same doc_id but another class are read too; sig tells them apart
         sets = written(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates()
-                       .mapInArrow(_whole_sets(self.k), "id long, items binary"), f"{name}-sets")
-        whole = (pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
-                 .join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a"))
+                       .mapInArrow(_whole_sets(self.k), "sig binary, items binary")
+                       .filter("sig is not null"), f"{name}-sets")
+        whole = (pairs.join(sets.select(F.col("sig").alias("gb"), F.col("items").alias("sb")), "gb")
+                 .join(sets.select(F.col("sig").alias("ga"), F.col("items").alias("sa")), "ga"))
         return written(whole.select("a", "b", "sa", "sb")
                        .mapInArrow(_verify(self.num, self.den), "a long, b long").distinct(),
                        f"{name}-links")
 
 
+def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, sig: of each component of texts, the smallest doc_id and its class.
+    Texts are told apart even where they share a doc_id."""
+    groups = JaccardJoin(docs, k, num, den, id_col, text_col).solve()
+    return groups.groupBy("group").agg(F.min(F.struct("rep", "sig")).alias("least")) \
+        .select(F.col("least.rep").alias("doc_id"), "least.sig")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents are linked when the Jaccard
