@@ -175,6 +175,24 @@ def test_pipeline_hard_cases(spark, edge, empty):
     assert corpus_pipeline.pack_sequences(spark, edge, "").count() >= len(cases())
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_shingle_join_loses_no_link(spark, monkeypatch, block):
+    """Every link of a family of near copies is counted, and listed once per pair of sets."""
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    rows = family(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    near = {(i, j) for i in sets for j in sets if i < j
+            and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    got = shingle_join.jaccard_components(docs, 5, 8, 10).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(i in p for p in near) for i in sets}
+    links, members = shingle_join.jaccard_links(docs, 5, 8, 10)
+    node = {r.doc_id: r.node for r in members.collect()}
+    found = [(r.a, r.b) for r in links.collect()]
+    assert len(found) == len(set(found)) > 0
+    assert set(found) == {tuple(sorted((node[i], node[j]))) for i, j in near if sets[i] != sets[j]}
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark):
     """A repeated id loses only its copies, not the other texts it holds."""
     one, two, three = prose(31, 60), prose(32, 60), prose(33, 60)

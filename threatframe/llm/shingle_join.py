@@ -13,12 +13,17 @@ first n - ceil(t n) + 1, and a candidate must pass
 * the suffix filter: the sets' counts per cell of hash space differ by no more
   than two sets of enough overlap can differ (about n/4 cells, a byte each).
 
-Candidates are verified once per pair on their whole sets.  Links are gathered
-in two rounds, neither of which emits all pairs of a group: first every member
-of a prefix group meets one centre, the member in which the shingle stands
-earliest (the text with the fewest rare shingles of its own); then only pairs
-whose members are still in different components are made and verified.  A link
-inside a component cannot change it, so the components are those of all links.
+Components come first, in two rounds, neither of which emits all pairs of a
+group: first every member of a prefix group meets one centre, the member in which
+the shingle stands earliest (the text with the fewest rare shingles of its own);
+then only pairs whose members are still in different components are made and
+verified on their whole sets.  A link inside a component cannot change it, so the
+components are those of all links, and no link leaves one.  All links are then
+found inside the components: their classes are dealt to blocks of bounded bytes,
+and every pair of classes meets once, in one pair of blocks, where whole sets are
+compared.  Blocks return counts of links, a row per class, unless the links
+themselves are asked for.  `n_links` of a row is the number of other rows it is
+linked to; rows of one class are linked.
 
 Null or empty texts, and texts without words, have empty sets and link with
 nothing; a null doc_id stays alone.  Repeated rows are one class.  Rows that
@@ -32,6 +37,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -41,6 +47,9 @@ from threatframe.operators.graph import components
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
 _GROUP_BYTES = 1_000_000
+BLOCK_BYTES = 4_000_000  # of whole sets
+BLOCK = 1024
+_WIDTH = 4096
 _U = np.uint64
 
 
@@ -250,6 +259,61 @@ def _verify(num: int, den: int):
     return run
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y (or with each other)."""
+    flat = [np.concatenate(s) for s in ([x] if y is None else [x, y])]
+    if y is None:
+        words, many = np.unique(flat[0], return_counts=True)
+        words = words[many > 1]
+    else:
+        words = np.intersect1d(*flat)
+    spots = []
+    for sets, all_ in zip([x, y], flat):
+        at = np.searchsorted(words, all_)
+        hit = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == all_) if len(words) else at[:0]
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        spots.append((at[hit][order], row[order], len(sets)))
+    both = np.zeros((len(x), len(x if y is None else y)), dtype=np.int64)
+    for lo in range(0, len(words), _WIDTH):
+        sides = []
+        for at, row, n in spots:
+            i, j = np.searchsorted(at, [lo, lo + _WIDTH])
+            m = np.zeros((n, min(_WIDTH, len(words) - lo)), dtype=np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            sides.append(m)
+        both += (sides[0] @ sides[-1].T).astype(np.int64)
+    return both
+
+
+def _block_links(num: int, den: int, as_pairs: bool):
+    """Links between the classes of two blocks of a component, or of one block:
+    pairs, or the number of linked rows per class."""
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        left, right = rows[rows["block"] == lo], rows[rows["block"] == hi]
+        out = {"a": [], "b": []} if as_pairs else {"node": [], "found": []}
+        if len(left) and len(right):
+            x, y = ([np.frombuffer(s, np.uint64) for s in part["items"]] for part in (left, right))
+            both = overlaps(x) if lo == hi else overlaps(x, y)
+            every = np.add.outer([len(s) for s in x], [len(s) for s in y]) - both
+            hit = den * both >= num * every
+            if lo == hi:
+                np.fill_diagonal(hit, False)
+            a, b = left["node"].to_numpy(), right["node"].to_numpy()
+            if as_pairs:
+                i, j = np.nonzero(np.triu(hit) if lo == hi else hit)
+                out = {"a": [np.minimum(a[i], b[j])], "b": [np.maximum(a[i], b[j])]}
+            else:
+                out = {"node": [a], "found": [hit @ right["copies"].to_numpy()]}
+                if lo != hi:
+                    out["node"].append(b)
+                    out["found"].append(hit.T @ left["copies"].to_numpy())
+        empty = np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({k: np.concatenate(v) if v else empty for k, v in out.items()})
+    return run
+
+
 def _fits(num: int, den: int) -> Column:
     """Length and positional filter of the pair (n, pos), (n2, pos2)."""
     left = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
@@ -264,6 +328,7 @@ class JaccardJoin:
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                 whole_text(text_col).alias("text"))
+        self.sets: list[DataFrame] = []
 
     def solve(self) -> DataFrame:
         """One row per class: node, sig, rep (smallest doc_id), copies (rows) and group,
@@ -307,11 +372,55 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         groups = self.solve()
         least = groups.groupBy("group").agg(F.min("rep").alias("component_id"))
-        of_class = groups.join(least, "group").select(F.col("sig").alias("_sig"), "component_id")
+        found = self._inside(groups, False)
+        of_class = groups.join(least, "group")
+        if found is not None:
+            found = found.groupBy("node").agg(F.sum("found").alias("found"))
+            of_class = of_class.join(found, "node", "left")
+        else:
+            of_class = of_class.withColumn("found", F.lit(0))
+        of_class = of_class.select(
+            F.col("sig").alias("_sig"), "component_id",
+            (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("_links"))
         key = F.when(F.col("doc_id").isNotNull(), F.col("sig"))
         return (self.rows.join(of_class, key == F.col("_sig"), "left")
                 .select("doc_id", F.col("n").alias("n_shingles"),
-                        F.coalesce("component_id", "doc_id").alias("component_id")))
+                        F.coalesce("component_id", "doc_id").alias("component_id"),
+                        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")))
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """All links between classes (a < b), each once, and the rows of the classes
+        (doc_id, n_shingles, node).  Links grow with the square of a family's size."""
+        groups = self.solve()
+        pairs = self._inside(groups, True)
+        if pairs is None:
+            pairs = self.spark.createDataFrame([], "a long, b long")
+        rows = self.rows.filter("doc_id is not null").join(groups.select("sig", "node"), "sig")
+        return pairs, rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
+
+    def _inside(self, groups: DataFrame, as_pairs: bool) -> DataFrame | None:
+        """Every pair of classes of a component, compared once; None without links."""
+        if not self.sets:
+            return None
+        sets = self.sets[0] if len(self.sets) == 1 else self.sets[0].unionByName(self.sets[1])
+        held = groups.groupBy("group").agg(F.count(F.lit(1)).alias("classes")) \
+            .filter("classes > 1")
+        members = (groups.join(held, "group").join(sets, "sig").dropDuplicates(["sig"])
+                   .select("group", "node", "copies", "items"))
+        members = written(members, "jaccard-members")
+        blocks = members.groupBy("group").agg(F.greatest(
+            F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK))
+            .cast("int").alias("blocks"))
+        dealt = (members.join(blocks, "group")
+                 .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .withColumn("lo", F.least("block", "other"))
+                 .withColumn("hi", F.greatest("block", "other")))
+        return written(dealt.select("group", "lo", "hi", "block", "node", "copies", "items")
+                       .groupBy("group", "lo", "hi")
+                       .applyInPandas(_block_links(self.num, self.den, as_pairs),
+                                      "a long, b long" if as_pairs else "node long, found long"),
+                       "jaccard-inside")
 
     def _sketch(self, scan: DataFrame):
         rows = (scan.filter(F.col("chunk").isNotNull()).select("chunk", "counts")
@@ -363,6 +472,7 @@ class JaccardJoin:
         sets = written(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates()
                        .mapInArrow(_whole_sets(self.k), "sig binary, items binary")
                        .filter("sig is not null"), f"{name}-sets")
+        self.sets.append(sets)
         whole = (pairs.join(sets.select(F.col("sig").alias("gb"), F.col("items").alias("sb")), "gb")
                  .join(sets.select(F.col("sig").alias("ga"), F.col("items").alias("sa")), "ga"))
         return written(whole.select("a", "b", "sa", "sb")
@@ -381,11 +491,17 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: documents are linked when the Jaccard
+    """doc_id, n_shingles, component_id, n_links: documents are linked when the Jaccard
     similarity of their k-word shingle sets is at least num/den."""
     return JaccardJoin(docs, k, num, den, id_col, text_col).run()
 
 
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
+                  id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links of different shingle sets as pairs of nodes, and the rows of the nodes."""
+    return JaccardJoin(docs, k, num, den, id_col, text_col).links()
+
+
 @query("op5_shingle_join")
 def op5_shingle_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
