@@ -193,6 +193,17 @@ def test_shingle_join_loses_no_link(spark, monkeypatch, block):
     assert set(found) == {tuple(sorted((node[i], node[j]))) for i, j in near if sets[i] != sets[j]}
 
 
+def test_shingle_join_ids_with_different_texts(spark):
+    """Rows of one doc_id are one node, which joins what its texts are linked to."""
+    one, two = prose(31, 60), prose(32, 60)
+    rows = [(3, one), (5, one), (5, two), (9, two), (5, None), (6, None), (7, prose(33, 60)),
+            (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingle_join.jaccard_components(docs.repartition(3), 3, 90, 100).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_links) for r in got) == [
+        (0, 0, 0), (3, 3, 1), (5, 3, 0), (5, 3, 1), (5, 3, 1), (6, 6, 0), (7, 7, 0), (9, 3, 1)]
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark):
     """A repeated id loses only its copies, not the other texts it holds."""
     one, two, three = prose(31, 60), prose(32, 60), prose(33, 60)

@@ -371,8 +371,9 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         groups = self.solve()
-        least = groups.groupBy("group").agg(F.min("rep").alias("component_id"))
         found = self._inside(groups, False)
+        groups, of_doc = self._one_node_per_id(groups)
+        least = groups.groupBy("group").agg(F.min("rep").alias("component_id"))
         of_class = groups.join(least, "group")
         if found is not None:
             found = found.groupBy("node").agg(F.sum("found").alias("found"))
@@ -383,11 +384,42 @@ class JaccardJoin:
             F.col("sig").alias("_sig"), "component_id",
             (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("_links"))
         key = F.when(F.col("doc_id").isNotNull(), F.col("sig"))
-        return (self.rows.join(of_class, key == F.col("_sig"), "left")
+        rows = self.rows.join(of_class, key == F.col("_sig"), "left")
+        if of_doc is not None:  # texts without words follow the others of their doc_id
+            of_doc = of_doc.join(least.withColumnRenamed("component_id", "_of_doc"), "group") \
+                .select(F.col("doc_id").alias("_doc"), "_of_doc")
+            blank = F.when(F.col("sig").isNull(), F.col("doc_id"))
+            rows = rows.join(of_doc, blank == F.col("_doc"), "left") \
+                .withColumn("component_id", F.coalesce("component_id", "_of_doc"))
+        return (rows
                 .select("doc_id", F.col("n").alias("n_shingles"),
                         F.coalesce("component_id", "doc_id").alias("component_id"),
                         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")))
 
+    def _one_node_per_id(self, groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """`groups` with those joined that a doc_id of different texts has rows in, and
+        the group of each such doc_id; None if there is none."""
+        rows = self.rows.filter("doc_id is not null")
+        mixed = written(rows.groupBy("doc_id").agg(
+            F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("sig").alias("worded"),
+            F.count(F.lit(1)).alias("held"))
+            .filter("lo <> hi or (worded > 0 and worded < held)").select("doc_id"), "jaccard-mixed")
+        if mixed.isEmpty():
+            return groups, None
+        places = written(rows.filter("sig is not null").join(mixed, "doc_id", "left_semi")
+                         .select("doc_id", "sig").distinct()
+                         .join(groups.select("sig", "group"), "sig")
+                         .select("doc_id", "group").distinct(), "jaccard-places")
+        first = places.groupBy("doc_id").agg(F.min("group").alias("first"))
+        merged = components(places.join(first, "doc_id"), "group", "first") \
+            .select(F.col("node").alias("found"), "component")
+
+        def renamed(df: DataFrame) -> DataFrame:
+            return df.join(merged, F.col("group") == F.col("found"), "left") \
+                .withColumn("group", F.coalesce("component", "group")).drop("found", "component")
+
+        return renamed(groups), renamed(first.withColumnRenamed("first", "group"))
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """All links between classes (a < b), each once, and the rows of the classes
         (doc_id, n_shingles, node).  Links grow with the square of a family's size."""
