@@ -73,6 +73,14 @@ def test_cap_per_group(spark):
     assert sorted((r.g, r.v) for r in got.collect()) == [(1, 0), (1, 1), (2, 0)]
 
 
+def test_event_cap_is_the_setting_of_the_feature(spark):
+    from threatframe.plans import roles
+
+    df = spark.range(1005).selectExpr("1L AS g", "id AS v")
+    assert joins.cap_per_group(df, ["g"], [F.col("v")], roles.EVENT_CAP).count() == 1000
+    assert joins.cap_per_group(df, ["g"], [F.col("v")], 2).count() == 2
+
+
 def test_reference_check_and_cascade(spark):
     parent = spark.createDataFrame([(1,), (2,)], "tenant_id long")
     child = spark.createDataFrame([(10, 1), (11, 3), (12, None)], "endpoint_id long, tenant_id long")

@@ -18,7 +18,7 @@ from threatframe.session import ensure_utc
 AS_OF = "2024-01-31 00:00:00"
 LOOKBACK_DAYS = 20
 WINDOW_S = 3600          # ±60 min in oracle queries (the operator default is ±60 s)
-EVENT_CAP = 2         # the cap of q_event_cap only
+EVENT_CAP = 1000
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
