@@ -84,6 +84,21 @@ def test_merkle_keeps_repeats_and_null_ids(spark, edge, empty):
         [1.0, 0.0, 1 / 3]
 
 
+def test_merkle_locates_edits(spark):
+    base = "a b c d e\nf g\n\nh i j\nk l\n\nm n"
+    pairs = [(base, base, []), (base, base.replace("k", "K"), [(1, 1, 0)]),
+             (base, base.replace("e\n", "E\n"), [(0, 0, 1)]),
+             (base, "new\n\n" + base, [(0, 0, 0)]),
+             (base, base.replace("h i j\n", "h i j\nx y\n"), [(1, 1, 0)]),
+             ("p\n\nq", "q\n\np", [(0, 0, 0), (1, 0, 0)]), ("p", "p\n\np", [(1, 0, 0)]),
+             ("", "w", [(0, 0, 0)])]
+    df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
+    at = merkle.edit_positions(F.col("x"), F.col("y"))
+    got = df.withColumn("x", merkle.branches(merkle.sections(F.col("a")))) \
+        .withColumn("y", merkle.branches(merkle.sections(F.col("b")))).select(at).collect()
+    assert [[tuple(p) for p in r[0]] for r in got] == [p[2] for p in pairs]
+
+
 def test_license_scan_against_brute_force(spark, edge, empty):
     extra = [(90, "cc by cc by-nc 4.0 gnu\ngnu GENERAL public license"), (91, "mit  License, mit"),
              (92, "license mit apache"), (93, "Permission is hereby granted, free of charge, to")]

@@ -8,6 +8,12 @@ roots, and since the cuts keep every character, different texts have different
 ones (but for hash collisions).  `likeness` is the Jaccard similarity of the
 leaf sets: the branches that two trees share; two empty texts are alike (1).
 
+`edit_positions` descends from differing roots to the differing branches of two
+trees: among sections and then among paragraphs, what both have in common at the
+start and at the end is passed over by digest, the rest is met place by place, and
+each differing paragraph is given with its first differing leaf.  Leaves after an
+inserted word shift, so a paragraph's later leaves are not told apart.
+
 `fingerprint_edits` also builds each document's edited text from the document
 that follows it in (doc_id, xxhash64 of the text) order, the first one after the
 last.  Rows are dealt by ranges of doc_id with literal bounds; the first document
@@ -47,6 +53,67 @@ def root(tree: Column) -> Column:
         s, lambda p: digest(p.cast("array<string>"))))))
 
 
+def branches(tree: Column) -> Column:
+    """Digests of sections and paragraphs with what is below them, for `edit_positions`."""
+    def digest(parts):
+        return F.sha2(F.array_join(parts, ",").cast("binary"), 256)
+
+    def section(s):
+        parts = F.transform(s, lambda p: F.struct(
+            digest(p.cast("array<string>")).alias("digest"), p.alias("below")))
+        return _let(parts, lambda x: F.struct(digest(x["digest"]).alias("digest"),
+                                              x.alias("below")))
+
+    return F.transform(tree, section)
+
+
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_difference(a: Column, b: Column) -> Column:
+    """Place of the first item that differs or is missing; -1: none."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """(place, a, b) of differing branches between the common start and the common end."""
+    def found(v):
+        def end(x):
+            return F.size(x) - v["tail"]
+
+        places = F.transform(F.sequence(v["start"], F.greatest(end(a), end(b)) - 1),
+                             lambda k: F.struct(k.alias("place"),
+                                                F.when(k < end(a), F.get(a, k)).alias("a"),
+                                                F.when(k < end(b), F.get(b, k)).alias("b")))
+        return F.when(v["start"] < 0, F.slice(places, 1, 0)).otherwise(
+            F.filter(places, lambda x: ~x["a"]["digest"].eqNullSafe(x["b"]["digest"])))
+
+    start = _first_difference(a["digest"], b["digest"])
+    back = _first_difference(F.reverse(a["digest"]), F.reverse(b["digest"]))
+    return _let(start, lambda s: _let(
+        F.struct(s.alias("start"), F.least(back, F.size(a) - s, F.size(b) - s).alias("tail")),
+        found))
+
+
+def edit_positions(a: Column, b: Column) -> Column:
+    """Array of (section, paragraph, leaf), from 0, where the trees of two `branches` differ;
+    empty if their roots are equal.  A branch that one tree lacks counts as empty there."""
+    def below(x, kind):
+        return F.coalesce(x["below"], F.array().cast(kind))
+
+    part = "array<struct<digest:string,below:array<bigint>>>"
+
+    def in_section(s):
+        return F.transform(_differing(below(s["a"], part), below(s["b"], part)), lambda p: F.struct(
+            s["place"].alias("section"), p["place"].alias("paragraph"),
+            F.greatest(F.lit(0), _first_difference(below(p["a"], "array<bigint>"),
+                                                   below(p["b"], "array<bigint>"))).alias("leaf")))
+
+    return F.flatten(F.transform(_differing(a, b), in_section))
+
+
 def leaves(tree: Column) -> Column:
     return F.array_distinct(F.flatten(F.flatten(tree)))
 
@@ -67,7 +134,8 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """doc_id, text, edited, fingerprint, edited_fingerprint, leaves, edited_leaves, next_leaves."""
+    """doc_id, text, edited, fingerprint, edited_fingerprint, leaves, edited_leaves, next_leaves,
+    edited_at (the places where text and edited differ)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -109,8 +177,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id",
         F.substring(F.col("_next"), F.lit(1), cut)))
     edited = edited.withColumn("_tree", sections(F.col("edited")))
     return (edited.withColumn("edited_fingerprint", root(F.col("_tree")))
-            .withColumn("edited_leaves", leaves(F.col("_tree"))).drop("_tree", "_next", "_range",
-                                                                      "_guest"))
+            .withColumn("edited_leaves", leaves(F.col("_tree")))
+            .withColumn("_old", branches(sections(F.col("text"))))
+            .withColumn("_new", branches(F.col("_tree")))
+            .withColumn("edited_at", edit_positions(F.col("_old"), F.col("_new")))
+            .drop("_tree", "_next", "_range", "_guest", "_old", "_new"))
 
 
 @query("op3_merkle")
@@ -120,4 +191,5 @@ def op3_merkle(spark, sf_dir):
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"))
+        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        "edited_at")
