@@ -13,8 +13,7 @@ def fit_vocabulary(train: DataFrame, id_col: str, text_col: str,
                    size: int = 500) -> tuple[DataFrame, int]:
     """M6: the stored part of the text features: (term, df, rank) and the number of
     training documents."""
-    counts = text.term_counts(text.tokens(train, id_col, text_col), id_col)
-    return text.vocabulary(counts, size), train.count()
+    return text.vocabulary(text.term_stats(train, text_col), size), train.count()
 
 
 def feature_matrix(rows: DataFrame, profile: DataFrame, id_col: str, numeric: list[str],

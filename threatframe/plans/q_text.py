@@ -41,8 +41,7 @@ def q_topk(spark, sf_dir):
     """L3 + A11: the 500 most frequent uni/bigrams after stop words, with
     corpus and document frequency."""
     docs = load_spread(spark, sf_dir, "documents")
-    tc = text.term_counts(text.tokens(docs, "doc_id", "text"), "doc_id")
-    v = text.vocabulary(tc, VOCAB)
+    v = text.vocabulary(text.term_stats(docs, "text"), VOCAB)
     return v.select("term", F.col("cf").cast("long").alias("cf"), "df", "rank")
 
 
@@ -114,8 +113,7 @@ def q_tfidf_apply(spark, sf_dir):
 
     docs = SP.random_split(load_spread(spark, sf_dir, "documents"), "doc_id", 0.2)
     train, test = docs.filter(F.col("split") == "train"), docs.filter(F.col("split") == "test")
-    tc = text.term_counts(text.tokens(train, "doc_id", "text"), "doc_id")
-    vocab = text.vocabulary(tc, VOCAB).select("term", "df")
+    vocab = text.vocabulary(text.term_stats(train, "text"), VOCAB).select("term", "df")
     n_docs = train.agg(F.count(F.lit(1)).alias("n"))
     out = text.tfidf_long(test, "doc_id", "text", VOCAB, vocab=vocab, n_docs=n_docs)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
