@@ -5,6 +5,14 @@ the space itself.  The tokens of both cover the same bytes, so byte offsets wher
 either ends cut a text into segments that lie in one A and one B token each: the
 segments are the links, and offsets where both end close the groups.
 
+Neither tokenizer joins bytes across a single space between two characters that are
+not white space (A's pattern starts a match there, B has no piece with an inner
+space), so a text's tokens, links and groups are those of its units, which start at
+such spaces; where no piece of B joins a letter and a sign after it, the signs at the
+end of a word are a unit too.  A worker keeps the alignment of the units it has met and
+asks the tokenizers for new ones only.  Tests compare with both tokenizers on whole
+texts.
+
 Inverted index: documents are numbered inside chunks (at most CHUNK_DOCS documents
 or about CHUNK_ENTRIES postings, a part of one task).  A chunk holds, for each pair
 of ids linked in it, a compressed bitmap of its documents (16-bit numbers, or plain
@@ -30,7 +38,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +45,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threatframe.llm.common import query, table, whole_text, written
+from threatframe.llm.wordids import LETTER, PAD, SIGN, UnitRows, classes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CHUNK_DOCS = 1 << 15
 CHUNK_ENTRIES = 4_000_000
-#: Bytes of text that are encoded and aligned together.
-GROUP_BYTES = 1_000_000
+#: Bytes of text that are aligned together, and units a worker keeps.
+GROUP_BYTES = 1 << 20
+KEPT_UNITS = 600_000
 _ORD = 16  # bits of a document's number in its chunk
 
 _DOC = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(),
@@ -73,6 +82,9 @@ class _Side:
         self.pieces, self.encode = pieces, encode
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
 
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.pieces.__getitem__, ids)) == raw
+
 
 def _byte_level(path: str) -> _Side:
     from tokenizers import Tokenizer
@@ -100,87 +112,209 @@ def _sentence_pieces(path: str) -> _Side:
     return _Side(pieces, lambda texts: sp.encode(texts, num_threads=1))
 
 
-_OPEN: dict[tuple[str, str], tuple] = {}
-
-
-def _tokenizers(a_path: str, b_path: str) -> tuple:
-    """Both tokenizers and the strings of ids with the sign that follows them."""
-    key = (a_path, b_path)
-    if key not in _OPEN:
-        a, b = _byte_level(a_path), _sentence_pieces(b_path)
-        words = [f"{i}{sign}".encode() for side, signs in ((a, ",|"), (b, ",;"))
-                 for sign in signs for i in range(len(side.pieces))]
-        _OPEN.clear()
-        _OPEN[key] = a, b, words
-    return _OPEN[key]
-
-
-# --- one group of texts ----------------------------------------------------------
-
-def _tokens(side: _Side, texts: list[str], raw: list[bytes]) -> list[list[int]]:
-    """Ids of each text; None where the joined tokens are not the text."""
-    ids = side.encode(texts)
-    piece = side.pieces.__getitem__
-    return [x if b"".join(map(piece, x)) == t else None for x, t in zip(ids, raw)]
-
-
-def _flat(rows: list[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=sum(map(len, rows)))
-
-
-class _Aligned:
-    """Groups and links of texts whose tokens are right, by common byte offsets."""
-
-    def __init__(self, a: _Side, b: _Side, words: list[bytes], a_rows, b_rows, sizes):
-        ia, ib = _flat(a_rows), _flat(b_rows)
-        ends_a, ends_b = np.cumsum(a.sizes[ia]), np.cumsum(b.sizes[ib])
-        doc_ends = np.cumsum(sizes)
-        cuts = np.union1d(ends_a, ends_b)
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_cut = np.searchsorted(cuts, doc_ends, "right")
-        last_group = np.searchsorted(both, doc_ends, "right")
-        self.n_links = np.diff(last_cut, prepend=0)
-        self.n_groups = np.diff(last_group, prepend=0)
-        self.a = ia[np.searchsorted(ends_a, cuts)]
-        self.b = ib[np.searchsorted(ends_b, cuts)]
+# --- units -------------------------------------------------------------------------
+
+#: White space beyond ASCII in UTF-8, by its first byte.
+_WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + \
+    [chr(c).encode() for c in range(0x2000, 0x200B)]
+
+
+def unit_starts(raw: bytes, data: np.ndarray) -> np.ndarray:
+    """Places of single spaces between two characters that are neither white space nor
+    control characters; `raw` starts with a space, which counts."""
+    space = data == 32
+    plain = data > 32  # bytes of other characters
+    if any(w in raw for w in _WIDE_SPACES):
+        for w in _WIDE_SPACES:
+            at = raw.find(w)
+            while at >= 0:
+                plain[at:at + len(w)] = False
+                at = raw.find(w, at + 1)
+    start = np.zeros(len(data), dtype=bool)
+    start[1:-1] = space[1:-1] & plain[:-2] & plain[2:]
+    start[0] = True
+    return np.flatnonzero(start)
+
+
+def with_tails(us: np.ndarray, end: int, data: np.ndarray) -> np.ndarray:
+    """Starts of units, and of the signs that end a unit of a space, letters and signs."""
+    kind = classes(data)
+    kind[(data >= 65) & (data <= 90)] = LETTER
+    letter, sign = kind == LETTER, kind == SIGN
+    ue = np.append(us[1:], end)
+
+    def inside(flags):
+        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        return total[ue] - total[us]
+
+    back = np.zeros(len(data), dtype=bool)
+    back[1:] = sign[:-1] & letter[1:]
+    letters, signs = inside(letter), inside(sign)
+    tail = (signs > 0) & (1 + letters + signs == ue - us) & (inside(back) == 0) & \
+        letter[np.minimum(us + 1, len(data) - 1)] & (data[us] == 32)
+    return np.sort(np.concatenate([us, (us + 1 + letters)[tail]]))
+
+
+class _Flat:
+    """Rows of variable length in one growing array."""
+
+    def __init__(self, dtype):
+        self.data = np.empty(0, dtype=dtype)
+        self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.n = self.used = 0
+
+    def append(self, sizes: np.ndarray, data: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(data)
+        if n > len(self.start):
+            self.start, self.size = (np.resize(x, 2 * n) for x in (self.start, self.size))
+        if used > len(self.data):
+            self.data = np.resize(self.data, 2 * used)
+        self.start[self.n:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n:n] = sizes
+        self.data[self.used:used] = data
+        self.n, self.used = n, used
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the rows, and their values in a row."""
+        n = self.size[rows]
+        total = np.cumsum(n)
+        at = np.repeat(self.start[rows] - total + n, n)
+        at += np.arange(len(at))
+        return n, self.data[at]
+
+
+class Aligner:
+    """Both tokenizers, and the alignment of the units met so far."""
+
+    def __init__(self, a_path: str, b_path: str, limit: int = KEPT_UNITS):
+        self.a, self.b = _byte_level(a_path), _sentence_pieces(b_path)
+        self.b_bits = len(self.b.pieces).bit_length()
+        # ids with the sign that follows them in the text of groups
+        self.words = [f"{i}{sign}".encode() for side, signs in ((self.a, ",|"), (self.b, ",;"))
+                      for sign in signs for i in range(len(side.pieces))]
+        self.tails = not any(x.isalpha() and 32 < ord(y) < 127 and not y.isalnum()
+                             for p in self.b.pieces for x, y in _pairs(p))
+        self.known = UnitRows(limit)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.links = _Flat(np.int64)
+        self.figures = np.empty((4, 0), dtype=np.int64)  # wrong, n_a, n_b, n_groups
+        self.groups: list[bytes] = []
+
+    def _encoded(self, units: list[bytes]):
+        """Ids of A and B for all units in a row, and the units that either gets wrong
+        (these without ids)."""
+        whole = b"".join(units)
+        text = whole.decode()[1:]
+        (ia,), (ib,) = self.a.encode([text]), self.b.encode([text])
+        wrong = np.zeros(len(units), dtype=bool)
+        if units and not (self.a.spells(ia, whole) and self.b.spells(ib, whole)):
+            for k, u in enumerate(units):
+                if u.startswith(b" "):  # the others are ASCII signs
+                    t = [u.decode()[1:]]
+                    wrong[k] = not (self.a.spells(self.a.encode(t)[0], u)
+                                    and self.b.spells(self.b.encode(t)[0], u))
+            ia, ib, _ = self._encoded([u for u, w in zip(units, wrong) if not w])
+        return np.array(ia, dtype=np.int64), np.array(ib, dtype=np.int64), wrong
+
+    def _learn(self, new: list[bytes], _at) -> np.ndarray:
+        """Rows of new units: encoded as one text, signs after a word of one letter."""
+        units = [p for u in new for p in ((u,) if u.startswith(b" ") else (b" a", u))]
+        ia, ib, wrong = self._encoded(units)
+        sizes = np.array([len(u) for u in units])
+        ends = np.cumsum(sizes[~wrong])
+        ends_a, ends_b = np.cumsum(self.a.sizes[ia]), np.cumsum(self.b.sizes[ib])
+        in_a, in_b = np.zeros((2, int(sizes.sum()) + 1), dtype=bool)
+        in_a[ends_a] = in_b[ends_b] = True
+        cuts, both = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
+
+        def per_unit(places):
+            return np.diff(np.searchsorted(places, ends, "right"), prepend=0)
+
+        pairs = ia[np.searchsorted(ends_a, cuts)] << self.b_bits | ib[np.searchsorted(ends_b, cuts)]
         # each group's A ids, then its B ids, in one row of words
         group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         until_a, until_b = (np.searchsorted(e, both, "right") for e in (ends_a, ends_b))
         row = np.empty(len(ia) + len(ib), dtype=np.int64)
+        size_a, size_b = len(self.a.pieces), len(self.b.pieces)
         row[np.arange(len(ia)) + np.concatenate([[0], until_b])[group_a]] = \
-            ia + (both[group_a] == ends_a) * len(a.pieces)
+            ia + (both[group_a] == ends_a) * size_a if len(ia) else 0
         row[np.arange(len(ib)) + until_a[group_b]] = \
-            ib + (both[group_b] == ends_b) * len(b.pieces) + 2 * len(a.pieces)
-        ends = np.cumsum([len(x) + len(y) for x, y in zip(a_rows, b_rows)]).tolist()
-        text = [words[k] for k in row.tolist()]
-        self.digests = [hashlib.sha256(b"".join(text[i:j])[:-1]).hexdigest()
-                        for i, j in zip([0, *ends[:-1]], ends)]
-
-
-def _align(a: _Side, b: _Side, words: list[bytes], ids: list, texts: list[str],
-           first: int, b_bits: int):
-    """Figures of each text, and its postings as (pair, number of the document) keys
-    in order with their numbers of links."""
-    raw = [b" " + t.encode() for t in texts]
-    full = [k for k, t in enumerate(texts) if t]
-    some, want = [texts[k] for k in full], [raw[k] for k in full]
-    rows = [(k, x, y, len(t)) for k, x, y, t in zip(full, _tokens(a, some, want),
-                                                    _tokens(b, some, want), want)
-            if x is not None and y is not None]
-    n = len(texts)
-    out = {c: [0] * n for c in ("n_a", "n_b", "n_groups", "n_links")}
-    out |= {"doc_id": ids, "groups_sha256": [""] * n}
-    if not rows:
-        return out, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    at, a_rows, b_rows, sizes = zip(*rows)
-    x = _Aligned(a, b, words, a_rows, b_rows, sizes)
-    for i, k in enumerate(at):
-        out["n_a"][k], out["n_b"][k] = len(a_rows[i]), len(b_rows[i])
-        out["n_groups"][k], out["n_links"][k] = int(x.n_groups[i]), int(x.n_links[i])
-        out["groups_sha256"][k] = x.digests[i]
-    doc = np.repeat(np.array(at, dtype=np.int64) + first, x.n_links)
-    keys, links = np.unique((x.a << b_bits | x.b) << _ORD | doc, return_counts=True)
-    return out, keys, links
+            ib + (both[group_b] == ends_b) * size_b + 2 * size_a if len(ib) else 0
+        text = [self.words[k] for k in row.tolist()]
+        right = np.flatnonzero(~wrong)
+        n = np.zeros((5, len(units)), dtype=np.int64)
+        n[0] = wrong
+        for k, places in enumerate((ends_a, ends_b, both, cuts), 1):
+            n[k, right] = per_unit(places)
+        until = np.cumsum(n[1] + n[2]).tolist()
+        self.groups += [b"".join(text[i:j]) for i, j in zip([0, *until[:-1]], until)]
+        self.links.append(n[4], pairs)
+        before = self.figures.shape[1]
+        self.figures = np.concatenate([self.figures, n[:4]], axis=1)
+        # the letters before signs have rows of their own that nothing refers to
+        return before + np.cumsum([1 if u.startswith(b" ") else 2 for u in new]) - 1
+
+    def align(self, ids: list, texts: list[str], first: int):
+        """Figures of each text, and its postings as (pair, number of the document) keys
+        in order with their numbers of links."""
+        out = {c: [0] * len(texts) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        out |= {"doc_id": ids, "groups_sha256": [""] * len(texts)}
+        full = [k for k, t in enumerate(texts) if t]
+        none = np.empty(0, dtype=np.int64)
+        if not full:
+            return out, none, none
+        # a line end keeps texts apart: the space after it starts no unit
+        parts = [b" " + texts[k].encode() for k in full]
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes)
+        raw = b"".join([*parts, b"\n" * PAD])
+        starts = []
+        for p, at in zip(parts, (ends - sizes).tolist()):
+            data = np.frombuffer(p, np.uint8)
+            us = unit_starts(p, data)
+            starts.append((with_tails(us, len(p), data) if self.tails else us) + at)
+        us = np.concatenate(starts)
+        rows = self.known.find(raw, us, np.append(us[1:], ends[-1]), self._learn, self._clear)
+        until = np.cumsum([len(s) for s in starts])
+        begin = until - [len(s) for s in starts]
+        figures = np.add.reduceat(self.figures[:, rows], begin, axis=1)
+        n_links = np.add.reduceat(self.links.size[rows], begin)
+        right = figures[0] == 0
+        groups = [self.groups[r] for r in rows.tolist()]
+        for d, k in enumerate(full):
+            if right[d]:
+                for c, v in zip(("n_a", "n_b", "n_groups"), figures[1:, d].tolist()):
+                    out[c][k] = v
+                out["n_links"][k] = int(n_links[d])
+                out["groups_sha256"][k] = hashlib.sha256(
+                    b"".join(groups[begin[d]:until[d]])[:-1]).hexdigest()
+        counts, keys = self.links.take(rows)
+        doc = np.repeat(np.array(full, dtype=np.int64) + first, until - begin)
+        keys = keys << _ORD | np.repeat(doc, counts)
+        if not right.all():
+            keys = keys[np.repeat(np.repeat(right, until - begin), counts)]
+        keys.sort()
+        starts = _runs(keys)
+        return out, keys[starts[:-1]], np.diff(starts)
+
+
+def _pairs(piece: bytes) -> list[tuple[str, str]]:
+    """Neighbouring characters of a piece of B; none of a single byte."""
+    text = piece.decode(errors="replace")
+    return list(zip(text, text[1:]))
+
+
+_OPEN: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this worker process."""
+    if (a_path, b_path) not in _OPEN:
+        _OPEN.clear()
+        _OPEN[a_path, b_path] = Aligner(a_path, b_path)
+    return _OPEN[a_path, b_path]
 
 
 # --- chunks ----------------------------------------------------------------------
@@ -291,15 +425,14 @@ def _grouped(batches, chunk_docs: int):
 
 def _index(a_path: str, b_path: str, chunk_docs: int, chunk_entries: int):
     def run(batches):
-        a, b, words = _tokenizers(a_path, b_path)
-        b_bits = len(b.pieces).bit_length()
+        tool = aligner(a_path, b_path)
         number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for ids, texts in _grouped(batches, chunk_docs):
             held = len(chunk.docs["doc_id"])
             if held and (held + len(ids) > chunk_docs or chunk.entries >= chunk_entries):
                 yield chunk.batch(number)
                 number, chunk, held = number + 1, _Chunk(), 0
-            chunk.add(*_align(a, b, words, ids, texts, held, b_bits))
+            chunk.add(*tool.align(ids, texts, held))
         if chunk.docs["doc_id"]:
             yield chunk.batch(number)
     return run
