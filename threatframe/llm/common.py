@@ -35,6 +35,23 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def sliced(batches, column: str | int, most: int = 4 << 20):
+    """Arrow batches cut so that the texts of `column` take about `most` bytes each (one
+    row at least): what a task holds of a batch does not grow with its rows."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(size, dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
+            end = max(end, at + 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
     """Add the columns `fields` (a DDL list), computed from whole texts by Arrow batch.
 
@@ -55,7 +72,7 @@ def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataF
 
     def run(batches):
         score = make()
-        for b in batches:
+        for b in sliced(batches, at):
             values = score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *(pa.array(v, t) for v, t in zip(values, types))],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threatframe.llm.common import query, table, whole_text, written
+from threatframe.llm.common import query, sliced, table, whole_text, written
 from threatframe.llm.wordids import encoder
 
 WINDOW = 4096
@@ -33,7 +33,7 @@ def _encode(tokenizer: str, end_id: int):
         kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         task, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches, "text"):
             ids = [np.frombuffer(x + end, "<u4").astype(kind)
                    for x in enc.encode(b.column("text").cast(pa.binary()).to_pylist())]
             sizes = np.array([len(x) for x in ids], dtype=np.int64)

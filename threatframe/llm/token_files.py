@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatframe.llm.common import query, table, whole_text, written
+from threatframe.llm.common import query, sliced, table, whole_text, written
 from threatframe.llm.wordids import encoder
 from threatframe.operators.rank import running_total, with_range_bucket
 from threatframe.session import scratch_path
@@ -36,7 +36,7 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches, "text"):
             raw = [x + end for x in enc.encode(b.column("text").cast(pa.binary()).to_pylist())]
             sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
             flat = np.frombuffer(b"".join(raw), dtype="<i4")
