@@ -57,9 +57,8 @@ def _describe(batches):
         usable, sig, unit, near = [], [], [], []
         for k, (i, j) in enumerate(zip(at[:-1], at[1:])):
             v = values[i:j]
-            size = np.sqrt((v / max(1.0, np.abs(v).max(initial=0))) @ v) if len(v) else 0.0
             ok = vectors[k].is_valid and len(v) > 0 and np.isfinite(v).all() and (v != 0).any() \
-                and b.column("label")[k].is_valid and np.isfinite(size)
+                and b.column("label")[k].is_valid
             if not ok:
                 continue
             v = v / np.abs(v).max()
@@ -77,11 +76,20 @@ def _describe(batches):
             names=["row", "vec_id", "label", "sig", "unit", "near"])
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of shared pivots and the smallest shared one of aligned rows."""
-    same = a[:, :, None] == b[:, None, :]
-    least = np.where(same.any(2), a, np.iinfo(np.int32).max).min(1)
-    return same.sum((1, 2)), least
+def _shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of shared pivots of all rows of a with all of b."""
+    sides = []
+    for near in (a, b):
+        m = np.zeros((len(near), PIVOTS), dtype=np.float32)
+        m[np.arange(len(near))[:, None], near] = 1
+        sides.append(m)
+    return sides[0] @ sides[1].T
+
+
+def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest shared pivot of aligned rows."""
+    same = (a[:, :, None] == b[:, None, :]).any(2)
+    return np.where(same, a, np.iinfo(np.int32).max).min(1)
 
 
 def _compare(least_cosine: float):
@@ -93,17 +101,22 @@ def _compare(least_cosine: float):
             right = part[part["block"] == hi]
             if len(left) == 0 or len(right) == 0:
                 continue
-            x = np.frombuffer(b"".join(left["unit"]), np.float64).reshape(len(left), -1)
-            y = np.frombuffer(b"".join(right["unit"]), np.float64).reshape(len(right), -1)
-            i, j = np.nonzero(x @ y.T >= least_cosine)
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
+            # candidates: pairs with enough shared pivots, met in the list of the least one
             px, py = np.stack(left["near"].to_list()), np.stack(right["near"].to_list())
+            enough = _shared_counts(px, py) >= SHARED
+            if lo == hi:
+                enough = np.triu(enough, 1)
+            rows_, cols = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
+            if not len(rows_):
+                continue
+            x = np.frombuffer(b"".join(left["unit"].iloc[rows_]), np.float64).reshape(len(rows_), -1)
+            y = np.frombuffer(b"".join(right["unit"].iloc[cols]), np.float64).reshape(len(cols), -1)
+            i, j = np.nonzero(enough[np.ix_(rows_, cols)] & (x @ y.T >= least_cosine))
+            i, j = rows_[i], cols[j]
             keep = np.zeros(len(i), dtype=bool)
             for s in range(0, len(i), 1 << 18):
                 part_ = slice(s, s + (1 << 18))
-                n, least = _shared(px[i[part_]], py[j[part_]])
-                keep[part_] = (n >= SHARED) & (least == pivot)
+                keep[part_] = _least_shared(px[i[part_]], py[j[part_]]) == pivot
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -159,6 +172,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float, id_col: str = "vec_
              .withColumn("hi", F.greatest("block", "other")))
     part = written(dealt.select("label", "pivot", "lo", "hi", "block", "node", "copies", "unit",
                                 "near")
+                   # without this the grouping would keep a partitioning by (label, pivot)
+                   .repartition("label", "pivot", "lo", "hi")
                    .groupBy("label", "pivot", "lo", "hi")
                    .applyInPandas(_compare(least_cosine), "node long, n_links long, root long"),
                    "pivot-links")

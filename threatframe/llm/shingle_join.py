@@ -448,8 +448,9 @@ class JaccardJoin:
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .withColumn("lo", F.least("block", "other"))
                  .withColumn("hi", F.greatest("block", "other")))
+        # without this the grouping would keep the partitioning by `group` of the join
         return written(dealt.select("group", "lo", "hi", "block", "node", "copies", "items")
-                       .groupBy("group", "lo", "hi")
+                       .repartition("group", "lo", "hi").groupBy("group", "lo", "hi")
                        .applyInPandas(_block_links(self.num, self.den, as_pairs),
                                       "a long, b long" if as_pairs else "node long, found long"),
                        "jaccard-inside")
