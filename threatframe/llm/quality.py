@@ -7,13 +7,14 @@ weighs the passages, and a logistic layer scores the weighted representation:
 attention-based multiple-instance learning with labels on documents only.
 
 Training uses a bounded sample: the TRAIN_DOCS labelled documents first in hash
-order among those whose crc32(doc_id as text) mod 5 is not 0, without bags of
-over MAX_BAG passages.  Their encodings come to the driver, which fits the
-layers by full-batch Adam; scoring runs over all documents.
+order among those whose crc32(doc_id as text) mod 5 is not 0; of a longer bag
+MAX_BAG passages at even distances over the whole text are learned from.  Their
+encodings come to the driver, which fits the layers by full-batch Adam; scoring
+runs over all passages of all documents.
 
 A null or empty text is a bag of one passage without words and gets that bag's
-score.  A doc_id with several labels has the smallest; null labels and ids are
-not learned from.  Repeated rows get equal scores.  Without labels of both
+score.  A doc_id with several labels or texts is learned with the smallest of each;
+null labels and ids are not learned from.  Repeated rows get equal scores.  Without labels of both
 classes every score is the share of label 1 (0.5 without labels).
 """
 
@@ -154,23 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .agg(F.min(label_col).cast("int").alias("_label"))
             .orderBy(F.xxhash64("_id"), "_id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    # `sample` rows at most
-    chosen = texts.join(F.broadcast(rows), "_id")
+    # `sample` rows at most; rows that share an id meet in partial aggregates first
+    chosen = texts.join(F.broadcast(rows), "_id") \
+        .groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             bags = [encode_text(t) for t in b.column("text").to_pylist()]
-            fits = [len(x) <= MAX_BAG for x in bags]
+            bags = [x[np.linspace(0, len(x) - 1, MAX_BAG).astype(int)] if len(x) > MAX_BAG else x
+                    for x in bags]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id").filter(pa.array(fits)), b.column("_label").filter(pa.array(fits)),
-                 pa.array([x.ravel() for x, f in zip(bags, fits) if f], pa.list_(pa.float64()))],
+                [b.column("_id"), b.column("_label"),
+                 pa.array([x.ravel() for x in bags], pa.list_(pa.float64()))],
                 names=["_id", "_label", "bag"])
 
     got = chosen.select("_id", "_label", "text").mapInArrow(
-        run, "_id long, _label int, bag array<double>").dropDuplicates(["_id"]) \
-        .toPandas().sort_values("_id")
+        run, "_id long, _label int, bag array<double>").toPandas().sort_values("_id")
     bags = [np.asarray(b).reshape(-1, FEATURES) for b in got["bag"]]
     return train(bags, got["_label"].to_numpy(dtype=float))
 
