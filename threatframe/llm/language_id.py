@@ -11,8 +11,8 @@ of the whole text (ties: first by name); the score is the mean probability that
 the words give this language.
 
 Texts that are null or have no letter are `und` with score 0, as is every text
-when no language was learned.  A null doc_id is never learned from.  Repeated
-rows count as often as they are sampled and get equal results.
+when no language was learned.  A null doc_id is never learned from.  Rows equal in
+doc_id and text are learned from once and get equal results.
 """
 
 from __future__ import annotations
@@ -143,15 +143,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Learn from a bounded sample of the rows of `docs` for which `learn` holds."""
     rows = docs.filter(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
                        & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
+                       F.lower(whole_text(text_col)).alias("text"),
+                       F.xxhash64(id_col, text_col).alias("h"))
+    # a bound on the hash leaves about 4 * sample rows per language to rank
+    share = rows.groupBy("lang").agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share"))
+    drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31)) \
+        .groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = (rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
-                       F.xxhash64(F.col(id_col)).alias("h"))
-           .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample)
-           .select("doc_id").distinct())
-    # at most `sample` ids per language
-    texts = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
-                        F.lower(whole_text(text_col)).alias("text")) \
-        .join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample)
     words = cut_lineage(texts.select("lang", F.explode(F.regexp_extract_all(
         "text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")) \
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
