@@ -2,6 +2,7 @@
 
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from threatframe.operators import metrics, novelty, resample
@@ -63,9 +64,8 @@ def test_forest_scores_independent_of_row_order(spark):
 
 def test_final_fit_saved_and_loaded(spark, tmp_path):
     """M12 + K5: the model fitted on all rows scores alike after saving and loading."""
-    from pyspark.ml.classification import GBTClassificationModel
-
     from threatframe.operators import model
+    from threatframe.operators.boosting import BoostedTreesModel
     from threatframe.plans.train import final_fit
     from threatframe.sources.sinks import save_model
 
@@ -74,7 +74,27 @@ def test_final_fit_saved_and_loaded(spark, tmp_path):
     m = final_fit(df, "id", "v", "label", rounds=2, depth=2)
     save_model(m, str(tmp_path / "model"))
     x = model.vectorize(df, array_col="v")
-    again = GBTClassificationModel.load(str(tmp_path / "model"))
+    again = BoostedTreesModel.load(str(tmp_path / "model"))
     a = [r.p_class1 for r in model.score(m, x).orderBy("id").collect()]
     assert a == [r.p_class1 for r in model.score(again, x).orderBy("id").collect()]
-    assert m.getNumTrees == 2
+    assert len(again.trees.features) == 2 and again.names == ["v_0", "v_1"]
+
+
+def test_smote_with_few_minority_rows(spark):
+    for m in (2, 3, 5):
+        rows = [(i, [float(i), float(i % 5)], 0 if i < m else 1) for i in range(m + 50)]
+        df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+        assert resample.smote(df, "id", "v", "y", 0, ratio=Fraction(3, 10)).count() == 15 - m
+    one = spark.createDataFrame([(i, [float(i)], int(i > 0)) for i in range(20)],
+                                "id long, v array<double>, y int")
+    with pytest.raises(ValueError):
+        resample.smote(one, "id", "v", "y", 0, ratio=Fraction(3, 10))
+
+
+def test_forest_without_training_rows_or_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, 3.0])], "id long, v array<double>")
+    got = {r.id: (r.novelty_score, r.is_novel) for r in
+           novelty.novelty(df.filter("id < 0"), df, "id", "v", n_trees=5).collect()}
+    assert got == {k: (None, False) for k in (1, 2, 3)}
+    got = {r.id: r.novelty_score for r in novelty.novelty(df, df, "id", "v", n_trees=5).collect()}
+    assert got[2] is None and got[1] is not None and got[3] is not None

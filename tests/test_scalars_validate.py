@@ -79,3 +79,25 @@ def test_enum_domain(spark):
                                                              ["unresolved", "in_progress",
                                                               "resolved"])]).collect()}
     assert counts["enum_incident_status"] == 1 and counts["accepted"] == 2
+
+
+def test_ids_and_ints_of_the_whole_range(spark):
+    rows = [("9223372036854775807",), ("9223372036854775808",), ("1409534255853270482",), ("-9223372036854775808",)]
+    assert _one(spark, rows, "x string", X.to_id("x")) == [
+        9223372036854775807, None, 1409534255853270482, -9223372036854775808]
+    assert _one(spark, rows, "x string", X.id_format_ok("x")) == [True, False, True, True]
+    rows = [(["2147483647", "2147483648", " 2000000000", "x", None, "1.5"],)]
+    assert _one(spark, rows, "x array<string>", X.int_array("x")) == [
+        [2147483647, None, 2000000000, None, None, None]]
+
+
+def test_paths_of_any_depth(spark):
+    from threatframe.operators.project import project_paths
+
+    df = spark.createDataFrame(
+        [(1, ((1, 2), [(3, 4)], 5), "z"), (2, None, "y")],
+        "id int, a struct<b:struct<c:int,d:int>,e:array<struct<f:int,g:int>>,h:int>, k string")
+    got = project_paths(df, ["id", "a.b.d", "a.e.f", "a.b.nope", "nope.x"])
+    assert got.schema.simpleString() == "struct<id:int,a:struct<b:struct<d:int>,e:array<struct<f:int>>>>"
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, ((2,), [(3,)])), (2, None)]
+    assert project_paths(df, ["a", "a.h"]).schema["a"].dataType == df.schema["a"].dataType

@@ -9,6 +9,7 @@ UUID_PATTERN = (r"^([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-
                 r"|[0-9A-Fa-f]{32})$")
 # Unicode letters, digits and underscore; `\w` in Java regex is ASCII only.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 WS_EDGES = r"^\s+|\s+$"
 
 
@@ -62,13 +63,14 @@ def to_id(x) -> Column:
 
 
 def _try_long(c: Column) -> Column:
-    return F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.cast("long"))
+    """Digits that fit the type; NULL for other text and beyond its range."""
+    return F.when(c.rlike(INTEGER_PATTERN), c.try_cast("long"))
 
 
 def id_format_ok(x) -> Column:
     c = _c(x)
     t = F.trim(c)
-    return c.isNull() | (t == "") | t.rlike(r"^[+-]?[0-9]{1,18}$")
+    return c.isNull() | (t == "") | _try_long(t).isNotNull()
 
 
 def is_uuid(x) -> Column:
@@ -142,9 +144,9 @@ def first_hash(sha256, sha1, md5) -> tuple[Column, Column]:
 
 
 def int_array(x) -> Column:
-    """Array of text to array of int; items that are not integers give NULL."""
-    return F.transform(_c(x), lambda s: F.when(F.trim(s).rlike(r"^[+-]?[0-9]{1,9}$"),
-                                              F.trim(s).cast("int")))
+    """Array of text to array of int; items that are no integers of that range give NULL."""
+    return F.transform(_c(x), lambda s: F.when(F.trim(s).rlike(INTEGER_PATTERN),
+                                              F.trim(s).try_cast("int")))
 
 
 def hash_fraction(seed: int | str, x) -> Column:

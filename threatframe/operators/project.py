@@ -92,25 +92,37 @@ def note_text(body, text) -> Column:
 
 
 def project_paths(df: DataFrame, paths: list[str]) -> DataFrame:
-    """Keep only the listed top-level / nested paths (others dropped),
-    nested structs rebuilt with only their kept fields."""
-    tree: dict[str, list[str]] = {}
+    """Keep only the listed paths, of any depth (others and unknown ones dropped).
+
+    Structs, also those inside arrays, are rebuilt with only their kept fields; a path
+    that ends at a struct keeps it whole, as does one that goes on below a plain value.
+    A struct none of whose listed fields exists is dropped."""
+    tree: dict = {}
     for p in paths:
-        head, _, rest = p.partition(".")
-        if head in df.columns:
-            tree.setdefault(head, [])
-            if rest:
-                tree[head].append(rest)
-    cols = []
-    for head, subs in tree.items():
-        typ = df.schema[head].dataType
-        if subs and isinstance(typ, T.StructType):
-            names = [f.name for f in typ.fields]
-            kept = [s for s in subs if s in names]
-            cols.append(F.struct(*[F.col(f"{head}.{s}").alias(s) for s in kept]).alias(head))
-        else:
-            cols.append(F.col(head))
-    return df.select(*cols)
+        at = tree
+        for name in p.split("."):
+            at = at.setdefault(name, {})
+        at[""] = {}  # the path ends here
+    cols = [_kept(F.col(f"`{n}`"), df.schema[n].dataType, sub) for n, sub in tree.items()
+            if n in df.columns]
+    names = [n for n in tree if n in df.columns]
+    return df.select(*[c.alias(n) for c, n in zip(cols, names) if c is not None])
+
+
+def _kept(value: Column, kind: T.DataType, sub: dict) -> Column | None:
+    """`value` with only the fields that `sub` names."""
+    if "" in sub:
+        return value
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        if not any(n in kind.elementType.names for n in sub):
+            return None
+        return F.transform(value, lambda x: _kept(x, kind.elementType, sub))
+    if not isinstance(kind, T.StructType):
+        return value
+    fields = [(n, _kept(value.getField(n), kind[n].dataType, s)) for n, s in sub.items()
+              if n in kind.names]
+    fields = [c.alias(n) for n, c in fields if c is not None]
+    return F.when(value.isNotNull(), F.struct(*fields)) if fields else None
 
 
 def drop_paths(df: DataFrame, fields: list[str], nested: list[str]) -> DataFrame:

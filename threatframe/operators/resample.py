@@ -79,7 +79,7 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, minority, n_majority
     """Synthetic minority points: n_new = floor(ratio · majority) − minority.
 
     Synthetic j takes base point (j mod m) in id order, neighbour number
-    1 + floor(k · h1(j)) of that point, and u = h2(j) from seeded hashes:
+    1 + floor(min(k, m - 1) · h1(j)) of that point, and u = h2(j) from seeded hashes:
     x = base + u · (nn − base).  Every base point emits its share through
     `explode(sequence)` — no driver loop, no sampling of rows."""
     minor = df.filter(F.col(label) == minority).select(id_col, vec)
@@ -89,8 +89,11 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, minority, n_majority
     n_new = int(ratio * big) - m
     if n_new < 0:
         raise ValueError("minority already exceeds the requested ratio")
+    if n_new > 0 and m == 1:
+        raise ValueError("a single minority row has no neighbour to interpolate with")
     if n_new == 0 or m == 0:
         return df.sparkSession.createDataFrame([], f"synth_id long, base_id long, nn_id long, u double, {vec} array<double>")
+    k = min(k, m - 1)  # a smaller minority has fewer neighbours
     ranked = global_rank(minor, [F.col(id_col)], name="_i")  # 1..m
     reps = F.floor(F.lit(n_new) / m) + F.when((F.col("_i") - 1) < (n_new % m), 1).otherwise(0)
     gen = ranked.withColumn("_t", F.explode(F.sequence(F.lit(0), (reps - 1).cast("int")))) \

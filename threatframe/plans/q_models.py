@@ -7,12 +7,10 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from threatframe.functions.scalars import hash_fraction_sql
+from threatframe.functions.scalars import hash_fraction, hash_fraction_sql
 from threatframe.operators import agg, metrics, model, novelty, resample, split
 from threatframe.plans.registry import load, load_spread, register
 
-GBT_ROUNDS = 20   # queries fit few rounds; the training plan takes the full setting
-
 
 def _scored_docs(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -206,32 +204,89 @@ def q_smote(spark, sf_dir):
 
 
 def _embedding_frame(spark, sf_dir):
+    """Named vectors with a test part, and a validation part of the training rows."""
     e = load_spread(spark, sf_dir, "embeddings").withColumn(
         "label", (F.col("label") == 0).cast("int"))
     e = split.random_split(e, "vec_id", 0.2)
+    e = e.withColumn("held", hash_fraction("42:held", F.col("vec_id")) < 0.2)
     return model.vectorize(e, array_col="embedding")
 
 
 def _fit(spark, sf_dir):
-    """The frame and a model fitted on its train split, anew for each query."""
+    """The frame and a model fitted on its train split, anew for each query, at the full
+    settings: up to 1000 rounds, stopped by the AUC of the held part."""
     e = _embedding_frame(spark, sf_dir)
-    return e, model.fit_gbt(e.filter(F.col("split") == "train"), rounds=GBT_ROUNDS, depth=4)
+    return e, model.fit_gbt(e.filter(F.col("split") == "train"), validation_col="held")
 
 
 @register("q_gbt_score")
 def q_gbt_score(spark, sf_dir):
-    """M10 + M13 + F7: weighted GBT on the train split, scored on the test split."""
+    """M10 + M13 + F7: weighted boosted trees on the train split, scored on the test split."""
     e, m = _fit(spark, sf_dir)
     s = model.score(m, e.filter(F.col("split") == "test"))
     return s.select("vec_id", "label", F.round("p_class1", 6).alias("prob"), "pred_label")
 
 
+def _first_tree_sql() -> str:
+    """The first tree of the weighted fit level by level: from margin 0 every row has
+    gradient w (0.5 - y) and Hessian w / 4."""
+    sums = "0.5 * sum(n0) - 0.5 * any_value(w) * sum(n1)", "0.25 * sum(n0) + 0.25 * any_value(w) * sum(n1)"
+    ctes = ["""
+rows AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, unnest(embedding) AS v,
+                generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
+wt AS (SELECT count(*) FILTER (WHERE label <> 0) / count(*) FILTER (WHERE label = 0) AS w FROM embeddings),
+qs AS (SELECT f, unnest(quantile_disc(CAST(v AS DOUBLE), [""" + ", ".join(
+        f"{k}.0 / {model.BORDERS + 1}.0" for k in range(1, model.BORDERS + 1)) + """])) AS b FROM rows GROUP BY f),
+cand AS (SELECT f, b, row_number() OVER (PARTITION BY f ORDER BY b) - 1 AS c FROM (SELECT DISTINCT f, b FROM qs)),
+binned AS (SELECT r.vec_id, r.y, r.f, count(k.b) AS bin FROM rows r
+           LEFT JOIN cand k ON k.f = r.f AND k.b < CAST(r.v AS DOUBLE) GROUP BY r.vec_id, r.y, r.f),
+n0 AS (SELECT vec_id, 0 AS node FROM embeddings)"""]
+    for d in range(model.DEPTH):
+        ctes.append(f"""
+h{d} AS (SELECT b.f, n.node, b.bin, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1
+         FROM binned b JOIN n{d} n USING (vec_id) GROUP BY b.f, n.node, b.bin),
+s{d} AS (SELECT h.f, k.c, h.node, h.bin <= k.c AS low, {sums[0]} AS g, {sums[1]} AS h
+         FROM h{d} h JOIN cand k ON k.f = h.f CROSS JOIN wt GROUP BY h.f, k.c, h.node, h.bin <= k.c),
+p{d} AS (SELECT f, c, node, sum(g) AS g, sum(h) AS h FROM s{d} GROUP BY f, c, node),
+a{d} AS (SELECT f, c, sum(x) AS gain FROM (
+           SELECT f, c, g * g / (h + {model.L2}) AS x FROM s{d} UNION ALL
+           SELECT f, c, -g * g / (h + {model.L2}) AS x FROM p{d}) GROUP BY f, c),
+t{d} AS (SELECT f, c, gain FROM a{d} ORDER BY round(gain, 9) DESC, f, c LIMIT 1),
+n{d + 1} AS (SELECT b.vec_id, n.node + CASE WHEN b.bin > t.c THEN {1 << d} ELSE 0 END AS node
+             FROM binned b JOIN t{d} t ON t.f = b.f JOIN n{d} n ON n.vec_id = b.vec_id)""")
+    last = f"n{model.DEPTH}"
+    ctes.append(f"""
+leaf AS (SELECT node, {sums[0]} AS g, {sums[1]} AS h FROM (
+           SELECT n.node, count(*) FILTER (WHERE e.label <> 0) AS n0, count(*) FILTER (WHERE e.label = 0) AS n1
+           FROM {last} n JOIN embeddings e USING (vec_id) GROUP BY n.node) CROSS JOIN wt GROUP BY node)""")
+    splits = " UNION ALL ".join(
+        f"SELECT 'split' AS part, {d} AS idx, CAST(t.f AS INTEGER) AS feature, round(k.b, 6) AS threshold, "
+        f"round(t.gain, 4) AS value FROM t{d} t JOIN cand k ON k.f = t.f AND k.c = t.c"
+        for d in range(model.DEPTH))
+    return ("WITH " + ",".join(ctes) + "\n" + splits + f"""
+UNION ALL
+SELECT 'leaf', CAST(node AS INTEGER), -1, 0.0, round(-{model.LEARNING_RATE} * g / (h + {model.L2}), 6) FROM leaf
+WHERE g <> 0""")
+
+
+@register("q_gbt_first_tree", sql=_first_tree_sql())
+def q_gbt_first_tree(spark, sf_dir):
+    """Splits (feature, border, gain) and leaves of the first tree over all rows."""
+    e = load_spread(spark, sf_dir, "embeddings").withColumn(
+        "label", (F.col("label") == 0).cast("int"))
+    t = model.fit_gbt(model.vectorize(e, array_col="embedding"), rounds=1).trees
+    rows = [("split", d, int(f), round(float(t.borders[f][c]), 6), round(float(g), 4))
+            for d, (f, c, g) in enumerate(zip(t.features[0], t.cuts[0], t.gains[0]))]
+    rows += [("leaf", i, -1, 0.0, round(float(x), 6)) for i, x in enumerate(t.leaves[0]) if x]
+    return spark.createDataFrame(
+        rows, "part string, idx int, feature int, threshold double, value double")
+
+
 @register("q_importance")
 def q_importance(spark, sf_dir):
-    """M14 + L1: top-20 feature importances (× 100, 3 decimals)."""
+    """M14 + L1: top-20 feature importances (× 100, 3 decimals), by the tracked names."""
     _e, m = _fit(spark, sf_dir)
-    names = [f"emb_{i}" for i in range(len(m.featureImportances))]
-    return model.importances(spark, m, names, 20)
+    return model.importances(spark, m, k=20)
 
 
 @register("q_iforest")
@@ -274,7 +329,7 @@ def q_cv_auc(spark, sf_dir):
     from threatframe.plans.train import cross_validate
 
     e = load_spread(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") == 0).cast("int"))
-    per, summary = cross_validate(e, "vec_id", "embedding", "label", k=5, rounds=5, depth=3)
+    per, summary = cross_validate(e, "vec_id", "embedding", "label", k=5)
     return per.select(F.col("fold").cast("string").alias("fold"), F.round("auc", 6).alias("auc")) \
         .unionByName(summary.select(F.lit("mean").alias("fold"),
                                     F.round("auc_mean", 6).alias("auc")))

@@ -168,9 +168,10 @@ def _rules_sql(rows: list[tuple[str, str]], src: str) -> str:
 
 def _id_sql(raw: str, name: str) -> list[tuple[str, str]]:
     t = f"trim({raw})"
-    fmt = f"({raw} IS NULL OR {t} = '' OR regexp_full_match({t}, '[+-]?[0-9]{{1,18}}'))"
-    val = (f"(CASE WHEN {raw} IS NULL OR {t} = '' THEN 0 WHEN regexp_full_match({t}, "
-           f"'[+-]?[0-9]{{1,18}}') THEN CAST({t} AS BIGINT) END)")
+    whole = (f"(CASE WHEN regexp_full_match({t}, '[+-]?[0-9]+') "
+             f"THEN TRY_CAST({t} AS BIGINT) END)")
+    fmt = f"({raw} IS NULL OR {t} = '' OR {whole} IS NOT NULL)"
+    val = f"(CASE WHEN {raw} IS NULL OR {t} = '' THEN 0 ELSE {whole} END)"
     return [(f"{name}_format", fmt), (f"{name}_positive", f"{val} > 0")]
 
 

@@ -1,10 +1,10 @@
 """Training plan.
 
-Stratified folds by seeded hash rank; inside each training fold the minority
-is oversampled with SMOTE (so no synthetic neighbour of a validation row
-leaks into training), the positive class is weighted neg/pos, a GBT is fitted
-and the validation fold is scored by AUC.  The fold loop is k driver-side
-iterations of Spark jobs over a checkpointed frame (k is a small constant).
+Stratified folds by seeded hash rank; inside each training part the minority is
+oversampled with SMOTE (so no synthetic neighbour of a validation row leaks into
+training).  All folds are fitted at once: every original row trains the models of the
+other folds and stops that of its own, a synthetic row trains the one model it was
+made for.  Each model weighs the positive class neg/pos of its own rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from threatframe.operators import metrics, model, resample, split
+from threatframe.operators import boosting, metrics, model, resample, split
 from threatframe.session import cut_lineage
 
 
@@ -32,28 +32,30 @@ def oversample(train: DataFrame, id_col: str, vec: str, label: str, minority: in
 
 
 def cross_validate(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5,
-                   seed: int = 42, rounds: int = model.ROUNDS, depth: int = model.DEPTH,
-                   resample_minority: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-fold AUC, mean/std summary)."""
+                   seed: int = 42, resample_minority: bool = True,
+                   **options) -> tuple[DataFrame, DataFrame]:
+    """(per-fold AUC, mean/std summary); `options` are those of the boosted trees."""
     folds = cut_lineage(split.stratified_folds(df.select(id_col, vec, label), id_col, label,
                                                k, seed))
-    per = []
-    for f in range(k):
-        train = folds.filter(F.col("fold") != f).drop("fold")
-        valid = folds.filter(F.col("fold") == f).drop("fold")
-        if resample_minority:
-            train = oversample(train, id_col, vec, label, seed=seed)
-        m = model.fit_gbt(model.vectorize(train, array_col=vec), label=label, rounds=rounds,
-                          depth=depth, seed=seed)
-        scored = model.score(m, model.vectorize(valid, array_col=vec))
-        per.append(metrics.auc(scored, "p_class1", label).withColumn("fold", F.lit(f)))
-    per_fold = cut_lineage(reduce(lambda a, b: a.unionByName(b), per))
+    rows = folds.select(F.transform(vec, lambda v: v.cast("double")).alias("x"), label, "fold",
+                        F.lit(None).cast("int").alias("made_for"))
+    if resample_minority:
+        for f in range(k):
+            made = oversample(folds.filter(F.col("fold") != f).drop("fold"), id_col, vec, label,
+                              seed=seed).filter("is_synthetic")
+            rows = rows.unionByName(made.select(F.col(vec).alias("x"), label,
+                                                F.lit(None).cast("int").alias("fold"),
+                                                F.lit(f).alias("made_for")))
+    trees = boosting.fit_folds(rows, label, "x", k=k, only="made_for", **options)
+    scored = [model.score(boosting.BoostedTreesModel(trees[f]), model.vectorize(
+        folds.filter(F.col("fold") == f), array_col=vec)).select("fold", label, "p_class1")
+        for f in range(k)]
+    per_fold = cut_lineage(metrics.auc(reduce(lambda a, b: a.unionByName(b), scored),
+                                       "p_class1", label, ["fold"]))
     return per_fold, metrics.fold_summary(per_fold)
 
 
-def final_fit(df: DataFrame, id_col: str, vec: str, label: str, rounds: int = model.ROUNDS,
-              depth: int = model.DEPTH, seed: int = 42):
+def final_fit(df: DataFrame, id_col: str, vec: str, label: str, seed: int = 42, **options):
     """Fit on all (oversampled) rows with every round."""
     data = oversample(df.select(id_col, vec, label), id_col, vec, label, seed=seed)
-    return model.fit_gbt(model.vectorize(data, array_col=vec), label=label, rounds=rounds,
-                         depth=depth, seed=seed)
+    return model.fit_gbt(model.vectorize(data, array_col=vec), label=label, **options)
