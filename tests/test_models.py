@@ -37,6 +37,53 @@ def test_knn_matches_brute_force(spark):
         assert [got[(i, k)] for k in (1, 2, 3)] == [j for _d, j in d[:3]]
 
 
+def _brute_knn(rows, k):
+    out = {}
+    for i, v in rows:
+        d = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in rows if j != i)
+        for r, (_, j) in enumerate(d[:k], 1):
+            out[i, r] = j
+    return out
+
+
+def test_knn_without_spread_along_one_axis(spark):
+    """Points around many centres in 12 dimensions, repeated points and ties among them."""
+    import random
+
+    r = random.Random(3)
+    centres = [[r.uniform(-9, 9) for _ in range(12)] for _ in range(20)]
+    rows = [(i, [c + r.gauss(0, 0.4) for c in centres[i % 20]]) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(x.id, x.nn_rank): x.nn_id for x in resample.knn(df, "id", "v", 4).collect()}
+    assert got == _brute_knn(rows, 4)
+    pairs = resample.candidates(df.select("id", "v"), 4).count()
+    assert pairs < len(rows) ** 2 / 8
+
+
+def test_knn_of_sparse_text_like_vectors(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for i in range(150):
+        v = [0.0] * 60
+        for _ in range(5):
+            v[min(59, int(r.expovariate(0.1)))] += r.choice([0.25, 0.5])
+        rows.append((i, v))
+    df = spark.createDataFrame([*rows, (999, None)], "id long, v array<double>")
+    got = {(x.id, x.nn_rank): x.nn_id for x in resample.knn(df, "id", "v", 5).collect()}
+    assert got == _brute_knn(rows, 5)
+
+
+def test_knn_of_few_points(spark):
+    for n in (0, 1, 2, 4):
+        rows = [(i, [float(i * i)]) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, v array<double>")
+        got = {(x.id, x.nn_rank): x.nn_id for x in resample.knn(df, "id", "v", 5).collect()}
+        assert got == _brute_knn(rows, 5)
+
+
 def test_smote_points_between_minority_points(spark):
     rows = [(i, [float(i), float(i % 5)], 0 if i < 10 else 1) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>, y int")

@@ -1,16 +1,26 @@
 """Exact k nearest neighbours and SMOTE oversampling.
 
-kNN without all pairs: every point is projected on the first principal
-component p (|p(x) - p(y)| ≤ ‖x - y‖).  Pass 1 compares each point with its
-neighbours in p-order (blocks of the exact p-rank) and gives an upper bound
-d_k(x) on its k-th neighbour distance.  Pass 2 joins each point with exactly
-the points whose p lies within d_k(x) — a banded equi-join on p-buckets —
-and keeps the k nearest.  The result is exact; the band prunes pairs as far
-as the data's spread along p allows.
+kNN without all pairs, by a metric index of several reference points: each point
+belongs to the cell of its nearest reference point and knows its distance to all of
+them.  Pass 1 compares each point with its neighbours in (cell, distance) order, which
+bounds its k-th neighbour distance by t.  Pass 2 visits the cells that can hold a
+point within t:
+
+* d(x, q) - t does not exceed the cell's largest distance to its reference point q, nor
+  d(x, q) + t fall short of its smallest,
+* (d(x, q) - d(x, p)) / 2 <= t for x's own reference point p, as the cell's points are
+  nearer to q than to p,
+
+and in a cell the points whose distance to q differs from x's by t at most (an
+equi-join on bands); a pair that some reference point tells to be further apart than t
+is not measured.  The result is exact for any data; more reference points, taken with
+the square root of the number of points, keep cells small as the table grows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threatframe.functions.scalars import hash_fraction, sq_dist
@@ -19,54 +29,96 @@ from threatframe.operators.rank import global_rank
 from threatframe.session import cut_lineage
 
 
-def _projection(df: DataFrame, vec: str) -> DataFrame:
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+#: Most reference points, and those that a pair is tested against before it is measured.
+REFERENCES = 256
+TESTED = 8
+#: Relative slack of the bounds, for rounding.
+SLACK = 1e-9
 
-    x = df.withColumn("_v", array_to_vector(F.transform(vec, lambda v: v.cast("double"))))
-    model = PCA(k=1, inputCol="_v", outputCol="_pc").fit(x)
-    return (model.transform(x).withColumn("_p", vector_to_array("_pc")[0])
-            .drop("_v", "_pc"))
 
+def _references(pts: DataFrame, n: int) -> np.ndarray:
+    """About sqrt(n) points, the first in hash order; the driver holds REFERENCES at most."""
+    size = int(min(REFERENCES, max(1, n ** 0.5)))
+    rows = pts.orderBy(F.xxhash64("id"), "id").limit(size).select("v").collect()
+    return np.array([r.v for r in rows], dtype=np.float64)
 
-def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = None) -> DataFrame:
-    """(id, nn_id, nn_rank, dist) for the k nearest other points (ties by id)."""
+
+def _distances(refs: np.ndarray):
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        x = np.stack(rows.to_numpy())
+        out = np.empty((len(x), len(refs)))
+        for k, r in enumerate(refs):
+            out[:, k] = np.sqrt(((x - r) ** 2).sum(axis=1))
+        return pd.Series(list(out))
+    return run
+
+
+def candidates(pts: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """Pairs (id, nn_id, d2) that hold the k nearest other points of every `pts` (id, v)."""
     block = block or 4 * k
-    pts = _projection(df.select(id_col, vec), vec)
-    pts = global_rank(pts, [F.col("_p"), F.col(id_col)], name="_r") \
+    n = pts.count()
+    refs = _references(pts, n)
+    if not len(refs):
+        return pts.sparkSession.createDataFrame([], "id long, nn_id long, d2 double")
+    known = pts.withColumn("ds", _distances(refs)("v"))
+    # the nearest reference point, the first of equals
+    known = known.withColumn("cell", (F.array_position("ds", F.array_min("ds")) - 1).cast("int")) \
+        .withColumn("d", F.array_min("ds")).withColumn("seen", F.slice("ds", 1, TESTED))
+    known = cut_lineage(known)
+    ranked = global_rank(known.select("id", "v", "cell", "d"), ["cell", "d", "id"], name="_r") \
         .withColumn("_b", F.floor((F.col("_r") - 1) / block).cast("long"))
-    a = pts.select(F.col(id_col).alias("id"), F.col(vec).alias("va"), F.col("_p").alias("pa"),
-                   F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
-    b = pts.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("vb"), F.col("_p").alias("pb"),
-                   "_b")
-    cand = (a.join(b, "_b").filter(F.col("id") != F.col("nn_id"))
-            .withColumn("d2", sq_dist("va", "vb")))
-    first = cap_per_group(cand, ["id"], [F.col("d2"), F.col("nn_id")], k)
-    bound = first.groupBy("id").agg(F.max("d2").alias("_dk2"), F.first("pa").alias("pa"),
-                                    F.first("va").alias("va"))
-    # read twice (bucket width, second pass): kept once by a reliable checkpoint
-    bound = cut_lineage(bound.withColumn("_dk", F.sqrt("_dk2")))
-    # bucket width: median bound radius (a runtime statistic, one number)
-    width = bound.agg(F.percentile_approx("_dk", 0.5).alias("w")).first()["w"] or 1.0
-    width = max(float(width), 1e-9)
-    # bucket widths double per level, so a band of any radius touches ≤ 3 buckets
-    bound = bound.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(
-        F.greatest("_dk", F.lit(width)) / width))).cast("int"))
-    levels = [r[0] for r in bound.select("_level").distinct().collect()]  # one row per doubling
-    size = F.lit(width) * F.pow(F.lit(2.0), "_level")
-    lo = F.floor((F.col("pa") - F.col("_dk")) / size).cast("long")
-    hi = F.floor((F.col("pa") + F.col("_dk")) / size).cast("long")
-    left = bound.select("id", "va", "pa", "_dk", "_level",
-                        F.explode(F.sequence(lo, hi)).alias("_q"))
-    right = pts.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("vb"),
-                       F.col("_p").alias("pb"),
-                       F.explode(F.array(*[F.lit(x) for x in levels or [0]])).alias("_level"))
-    right = right.withColumn("_q", F.floor(F.col("pb") / size).cast("long"))
-    band = (left.join(right, ["_level", "_q"])
-            .filter((F.col("id") != F.col("nn_id"))
-                    & (F.abs(F.col("pb") - F.col("pa")) <= F.col("_dk") + 1e-9))
-            .withColumn("d2", sq_dist("va", "vb")))
-    best = cap_per_group(band, ["id"], [F.col("d2"), F.col("nn_id")], k)
+    a = ranked.select("id", F.col("v").alias("va"),
+                      F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
+    b = ranked.select(F.col("id").alias("nn_id"), F.col("v").alias("vb"), "_b")
+    near = a.join(b, "_b").filter("id <> nn_id").withColumn("d2", sq_dist("va", "vb")) \
+        .select("id", "nn_id", "d2")
+    first = cap_per_group(near, ["id"], [F.col("d2"), F.col("nn_id")], k)
+    bound = first.groupBy("id").agg(F.sqrt(F.max("d2")).alias("t")) \
+        .withColumn("t", F.col("t") * (1 + SLACK) + F.lit(1e-12))
+    bound = cut_lineage(known.join(bound, "id"))  # read three times
+    width = max(float(bound.agg(F.percentile_approx("t", 0.5).alias("w")).first()["w"] or 0), 1e-9)
+    # band widths double per level, so a band of any radius touches three bands at most
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("t", F.lit(width)) / width))).cast("int")
+    bound = bound.withColumn("level", level)
+    levels = [r[0] for r in bound.select("level").distinct().collect()]  # one row per doubling
+    cells = {r.cell: r for r in known.groupBy("cell").agg(
+        F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}  # one row per reference point
+    lo = F.array(*[F.lit(cells[q].lo if q in cells else float("inf")) for q in range(len(refs))])
+    hi = F.array(*[F.lit(cells[q].hi if q in cells else float("-inf")) for q in range(len(refs))])
+
+    def visit(x, q):
+        return F.struct(q.alias("cell"), x.alias("dq"),
+                        (((x - hi[q]) <= F.col("t")) & ((lo[q] - x) <= F.col("t"))
+                         & ((x - F.col("d")) / 2 <= F.col("t"))).alias("go"))
+
+    size = F.lit(width) * F.pow(F.lit(2.0), "level")
+    left = bound.select("id", F.col("v").alias("va"), F.col("seen").alias("sa"), "t", "level", "d",
+                        F.explode(F.filter(F.transform("ds", visit), lambda s: s.go)).alias("to")) \
+        .select("id", "va", "sa", "t", "level", "to.cell", "to.dq")
+    left = left.withColumn("band", F.explode(F.sequence(
+        F.floor((F.col("dq") - F.col("t")) / size).cast("long"),
+        F.floor((F.col("dq") + F.col("t")) / size).cast("long"))))
+    right = known.select(F.col("id").alias("nn_id"), F.col("v").alias("vb"), F.col("seen").alias("sb"),
+                         "cell", F.col("d").alias("dn"),
+                         F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")) \
+        .withColumn("band", F.floor(F.col("dn") / size).cast("long"))
+    apart = F.exists(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), lambda x: x > F.col("t"))
+    return left.join(right, ["cell", "level", "band"]) \
+        .filter((F.col("id") != F.col("nn_id")) & (F.abs(F.col("dq") - F.col("dn")) <= F.col("t"))
+                & ~apart) \
+        .select("id", "nn_id", sq_dist("va", "vb").alias("d2"))
+
+
+def knn(df: DataFrame, id_col: str, vec: str, k: int = 5, block: int | None = None) -> DataFrame:
+    """(id, nn_id, nn_rank, dist) for the k nearest other points (ties by id).
+
+    Rows without a vector are no points.  With k points or fewer, each has all others."""
+    pts = df.filter(F.col(vec).isNotNull()).select(
+        F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"))
+    best = cap_per_group(candidates(pts, k, block), ["id"], [F.col("d2"), F.col("nn_id")], k)
     from pyspark.sql import Window
 
     w = Window.partitionBy("id").orderBy(F.col("d2"), F.col("nn_id"))  # ≤ k rows per id

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from threatframe.functions.scalars import hash_fraction, hash_fraction_sql
 from threatframe.operators import agg, metrics, model, novelty, resample, split
 from threatframe.plans.registry import load, load_spread, register
+from threatframe.session import scratch_path
+from threatframe.sources.sinks import save_model
 
 
 def _scored_docs(spark, sf_dir):
@@ -337,11 +340,46 @@ def q_cv_auc(spark, sf_dir):
 
 @register("q_novelty_encoded")
 def q_novelty_encoded(spark, sf_dir):
-    """M17 + M15 + M16: customers encoded (numeric balance, one-hot market
-    segment, nation by frequency), isolation forest fitted on all, scored."""
+    """M17 + M15 + M16 + K5: customers encoded (numeric balance, one-hot market segment,
+    nation by frequency), isolation forest fitted on all; the stored pipeline scores."""
+    from threatframe.operators.stored import CategoryEncoder, IsolationForest
+
+    c = load(spark, sf_dir, "customer")
+    encoder = CategoryEncoder(["c_acctbal"], ["c_mktsegment"], ["c_nationkey"])
+    fitted = Pipeline(stages=[encoder, IsolationForest("c_custkey", "iso_features")]).fit(c)
+    return _stored(spark, fitted).transform(c).select(
+        "c_custkey", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")
+
+
+def _stored(spark, fitted):
+    """The pipeline model as loaded from where it was saved."""
+    path = scratch_path(spark, "model")
+    save_model(fitted, path)
+    return PipelineModel.load(path)
+
+
+_TRAIN_SQL = hash_fraction_sql(42, "{id}") + " >= 0.2"
+
+
+@register("q_stored_encoders", sql=f"""
+WITH train AS (SELECT * FROM customer WHERE c_acctbal > 0 AND {_TRAIN_SQL.format(id="c_custkey")}),
+freq AS (SELECT c_nationkey, count(*) / (SELECT count(*) FROM train) AS share FROM train GROUP BY c_nationkey)
+SELECT c.c_custkey, round(CAST(c.c_acctbal AS DOUBLE), 4) AS c_acctbal, round(coalesce(f.share, 0), 6) AS nation_share,
+       CASE WHEN c.c_mktsegment IN (SELECT c_mktsegment FROM train) THEN 'c_mktsegment=' || c.c_mktsegment
+            ELSE '' END AS segment
+FROM customer c LEFT JOIN freq f USING (c_nationkey)""")
+def q_stored_encoders(spark, sf_dir):
+    """M17 + K5: encoders fitted on the train split, stored, loaded, applied to all."""
+    from threatframe.operators.stored import CategoryEncoder
+
     c = load(spark, sf_dir, "customer")
-    fmap = {"c_nationkey": agg.frequency_map(c, "c_nationkey")}
-    enc = novelty.encode_for_forest(c, ["c_acctbal"], ["c_mktsegment"], ["c_nationkey"], fmap)
-    enc = enc.select("c_custkey", "iso_features")
-    nov = novelty.novelty(enc, enc, "c_custkey", "iso_features")
-    return nov.select("c_custkey", F.round("novelty_score", 6).alias("novelty_score"), "is_novel")
+    train = split.random_split(c, "c_custkey", 0.2).filter("split = 'train' and c_acctbal > 0")
+    loaded = _stored(spark, Pipeline(stages=[CategoryEncoder(
+        ["c_acctbal"], ["c_mktsegment"], ["c_nationkey"], "x")]).fit(train))
+    names = F.array(*[F.lit(n) for n in loaded.stages[0].names])
+    hot = F.filter(F.arrays_zip(names.alias("name"), F.col("x")), lambda e: (e["x"] == 1) &
+                   e["name"].startswith("c_mktsegment="))
+    return loaded.transform(c).select(
+        "c_custkey", F.round(F.col("x")[0], 4).alias("c_acctbal"),
+        F.round(F.col("x")[1], 6).alias("nation_share"),
+        F.coalesce(F.get(hot, F.lit(0))["name"], F.lit("")).alias("segment"))

@@ -74,6 +74,17 @@ def q_feature_matrix(spark, sf_dir):
     document in one vector, read back from it."""
     from pyspark.ml.functions import vector_to_array
 
+    v = document_matrix(spark, sf_dir).select("doc_id", vector_to_array("features").alias("v"))
+    words = F.slice("v", 4, VOCAB)
+    return v.select("doc_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_events"),
+                    F.round(F.col("v")[2], 4).alias("max_severity"),
+                    F.size(F.filter(words, lambda w: w > 0)).cast("long").alias("text_nnz"),
+                    F.round(F.aggregate(words, F.lit(0.0), lambda a, w: a + w), 4)
+                    .alias("text_sum"))
+
+
+def document_matrix(spark, sf_dir):
+    """Documents with `features`: length, event profile and text weights, all named."""
     from threatframe.operators import agg
     from threatframe.plans import roles
     from threatframe.plans.features import feature_matrix, fit_vocabulary
@@ -84,18 +95,22 @@ def q_feature_matrix(spark, sf_dir):
     profile = agg.event_profile(matched_events(spark, sf_dir), "alert_id", "event_type",
                                 roles.EVENT_TYPES, "value").withColumnRenamed("alert_id", "doc_id")
     vocab, n = fit_vocabulary(docs, "doc_id", "text", VOCAB)
-    x = feature_matrix(docs, profile, "doc_id", ["n_chars"], ["n_events", "max_severity"], "text",
-                       vocab, n)
-    v = x.select("doc_id", vector_to_array("features").alias("v"))
-    words = F.slice("v", 4, VOCAB)
-    return v.select("doc_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_events"),
-                    F.round(F.col("v")[2], 4).alias("max_severity"),
-                    F.size(F.filter(words, lambda w: w > 0)).cast("long").alias("text_nnz"),
-                    F.round(F.aggregate(words, F.lit(0.0), lambda a, w: a + w), 4)
-                    .alias("text_sum"))
+    return feature_matrix(docs, profile, "doc_id", ["n_chars"], ["n_events", "max_severity"],
+                          "text", vocab, n)
 
 
-@register("q_tfidf_apply", sql=_sql_terms().replace(
+@register("q_feature_names", sql=_sql_terms() + """
+SELECT CAST(idx AS INTEGER) AS idx, name FROM (
+  SELECT 0 AS idx, 'n_chars' AS name UNION ALL SELECT 1, 'n_events' UNION ALL SELECT 2, 'max_severity'
+  UNION ALL SELECT rank + 2, 'text_features_' || term FROM vocab)""")
+def q_feature_names(spark, sf_dir):
+    """P15 + M14: the tracked names of the assembled matrix."""
+    from threatframe.operators.model import entry_names
+
+    return entry_names(document_matrix(spark, sf_dir))
+
+
+_APPLIED_SQL = _sql_terms().replace(
     "stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY term)",
     "train AS (SELECT doc_id FROM documents WHERE " + hash_fraction_sql(42, "doc_id") + " >= 0.2),\n"
     "stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc "
@@ -104,7 +119,32 @@ n AS (SELECT count(*) AS n FROM train),
 test AS (SELECT * FROM tc WHERE doc_id NOT IN (SELECT doc_id FROM train)),
 w AS (SELECT t.doc_id, t.term, t.tf * (ln((1 + n.n) / (1 + v.df)) + 1) AS w
       FROM test t JOIN vocab v USING (term) CROSS JOIN n),
-nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)"""
+
+
+@register("q_stored_terms", sql=_APPLIED_SQL + """
+SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
+def q_stored_terms(spark, sf_dir):
+    """M6 + M7 + K5: terms fitted on the train split in a pipeline that is stored, loaded
+    and applied to the test split; entries are read back by their names."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from threatframe.operators import split as SP
+    from threatframe.operators.boosting import feature_names
+    from threatframe.operators.stored import TermWeights
+    from threatframe.plans.q_models import _stored
+
+    docs = SP.random_split(load_spread(spark, sf_dir, "documents"), "doc_id", 0.2)
+    fitted = Pipeline(stages=[TermWeights("text", size=VOCAB)]).fit(docs.filter("split = 'train'"))
+    x = _stored(spark, fitted).transform(docs.filter("split = 'test'"))
+    names = F.array(*[F.lit(n) for n in feature_names(x, "text_features")])
+    return x.select("doc_id", F.posexplode(vector_to_array("text_features")).alias("at", "w")) \
+        .filter("w <> 0").select("doc_id", F.element_at(names, F.col("at") + 1).alias("term"),
+                                 F.round("w", 6).alias("weight"))
+
+
+@register("q_tfidf_apply", sql=_APPLIED_SQL + """
 SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
 def q_tfidf_apply(spark, sf_dir):
     """M6 on the train split, M7 on the test split: the stored vocabulary and
