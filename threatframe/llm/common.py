@@ -52,6 +52,22 @@ def sliced(batches, column: str | int, most: int = 4 << 20):
             at = end
 
 
+def tidy(batches):
+    """The batches; afterwards what a task has freed goes back to the system, so that a
+    worker which the next stages use again does not hold it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
     """Add the columns `fields` (a DDL list), computed from whole texts by Arrow batch.
 
@@ -70,7 +86,7 @@ def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataF
     types = [to_arrow_type(f.dataType) for f in added]
     at = base.columns.index(text_col)
 
-    def run(batches):
+    def scored(batches):
         score = make()
         for b in sliced(batches, at):
             values = score(b.column(at).to_pylist())
@@ -78,4 +94,4 @@ def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataF
                 [*b.columns, *(pa.array(v, t) for v, t in zip(values, types))],
                 names=[*b.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lambda batches: tidy(scored(batches)), schema)

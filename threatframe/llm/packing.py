@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threatframe.llm.common import query, sliced, table, whole_text, written
+from threatframe.llm.common import query, sliced, table, tidy, whole_text, written
 from threatframe.llm.wordids import encoder
 
 WINDOW = 4096
@@ -78,8 +78,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     sequence_id, offset (in the sequence) and ids (little-endian unsigned 32-bit)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         whole_text(text_col).alias("text"))
+    encode = _encode(tokenizer, end_id)
     coded = written(plain.mapInArrow(
-        _encode(tokenizer, end_id),
+        lambda batches: tidy(encode(batches)),
         "doc_id long, task int, task_start long, doc_tokens long, ids binary"), "packing-ids")
     totals = coded.groupBy("task").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -41,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from threatframe.llm.common import query, table, whole_text, written
+from threatframe.llm.common import query, table, tidy, whole_text, written
 from threatframe.operators.graph import components
 
 SKETCH_BITS = 22
@@ -135,6 +135,10 @@ def overlap_bound(a: bytes, b: bytes) -> int | None:
     return int(np.minimum(x, y).sum())
 
 
+def _tidy(run):
+    return lambda batches: tidy(run(batches))
+
+
 def _scan(k: int):
     """Per document: set size and signature; per task: the sketch of its shingles."""
     def run(batches):
@@ -229,7 +233,7 @@ def _signed(k: int, text_col: str):
 def with_signature(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
     """Add `sig`, the name of the row's class: a digest of its shingle set, null if empty."""
     schema = T.StructType([*docs.schema, T.StructField("sig", T.BinaryType())])
-    return docs.mapInArrow(_signed(k, text_col), schema)
+    return docs.mapInArrow(_tidy(_signed(k, text_col)), schema)
 
 
 def _suffix_filter(num: int, den: int):
@@ -334,7 +338,7 @@ class JaccardJoin:
         """One row per class: node, sig, rep (smallest doc_id), copies (rows) and group,
         the smallest node of its component of links between texts."""
         scan = written(self.docs.mapInArrow(
-            _scan(self.k), "doc_id long, n long, sig binary, chunk int, counts binary"), "sets")
+            _tidy(_scan(self.k)), "doc_id long, n long, sig binary, chunk int, counts binary"), "sets")
         self.rows = scan.filter(F.col("chunk").isNull()).select("doc_id", "n", "sig")
         classes = written(
             self.rows.filter("sig is not null and doc_id is not null").groupBy("sig")
@@ -466,7 +470,7 @@ class JaccardJoin:
 
     def _prefix_table(self, sketch, classes: DataFrame) -> DataFrame:
         rows = self.docs.filter("doc_id is not null").mapInArrow(
-            _prefixes(self.k, self.num, self.den, sketch),
+            _tidy(_prefixes(self.k, self.num, self.den, sketch)),
             "doc_id long, n long, sig binary, prefix array<long>, cells binary")
         mine = classes.select(F.col("rep").alias("doc_id"), "sig", "node")
         return written(rows.join(mine, ["doc_id", "sig"])
@@ -503,7 +507,7 @@ class JaccardJoin:
             .select(F.col("rep").alias("doc_id")).distinct()
         # rows of the same doc_id but another class are read too; sig tells them apart
         sets = written(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates()
-                       .mapInArrow(_whole_sets(self.k), "sig binary, items binary")
+                       .mapInArrow(_tidy(_whole_sets(self.k)), "sig binary, items binary")
                        .filter("sig is not null"), f"{name}-sets")
         self.sets.append(sets)
         whole = (pairs.join(sets.select(F.col("sig").alias("gb"), F.col("items").alias("sb")), "gb")
