@@ -77,8 +77,10 @@ def land_documents(docs: DataFrame, path: str) -> str:
     return path
 
 
-def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE) -> str:
-    """Write page envelopes of `page_size` documents (bounded arrays)."""
+def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE, batch: str | None = None,
+               shuffled: bool = False) -> str:
+    """Write page envelopes of `page_size` documents (bounded arrays); with `shuffled`,
+    cursors and files say nothing of the order."""
     ranked = global_rank(docs, [F.col("_key")], name="_r")
     paged = ranked.withColumn("_page", F.floor((F.col("_r") - 1) / page_size).cast("long"))
     total = docs.agg(F.count(F.lit(1)).alias("_total"))
@@ -87,12 +89,18 @@ def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE) -> str:
     pages = (paged.groupBy("_page")
              .agg(F.sort_array(F.collect_list(F.struct("_r", F.struct(
                  *[c for c in docs.columns if c != "_key"]).alias("d")))).alias("_l")))
+    def cursor(page):
+        return F.md5(page.cast("string")) if shuffled else page.cast("string")
+
     pages = attach_one_row(pages, total).select(
         F.transform("_l", lambda e: e["d"]).alias("data"),
         F.struct(F.when((F.col("_page") + 1) * page_size < F.col("_total"),
-                        (F.col("_page") + 1).cast("string")).alias("nextCursor"),
+                        cursor(F.col("_page") + 1)).alias("nextCursor"),
                  F.col("_total").alias("totalItems")).alias("pagination"),
-        F.lit(None).cast("string").alias("nextPageToken"))
+        F.lit(None).cast("string").alias("nextPageToken"), F.lit(batch).alias("batch"),
+        F.when(F.col("_page") > 0, cursor(F.col("_page"))).alias("cursor"))
+    if shuffled:
+        pages = pages.repartition(4, F.md5("cursor"))
     pages.write.mode("overwrite").json(path)
     return path
 
@@ -154,6 +162,32 @@ def q_scan_pages(spark, sf_dir):
                          F.col("threatInfo.createdAt").alias("created_at_raw"))
 
 
+@register("q_scan_cursor", sql="""
+SELECT o.o_orderkey AS threat_id,
+       CASE WHEN o.o_orderkey % 5 = 0 THEN 'revised' WHEN o.o_orderstatus = 'F' THEN 'true_positive'
+            WHEN o.o_orderstatus = 'P' THEN 'false_positive' ELSE 'undefined' END AS analyst_verdict,
+       CAST((SELECT count(*) + count(*) FILTER (WHERE o_orderkey % 5 = 0) FROM orders) AS BIGINT) AS total_items
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey""")
+def q_scan_cursor(spark, sf_dir):
+    """S3 + U1 + A1: pages in shuffled files with meaningless cursors; the last version of
+    a threat in page order wins, found by following the cursors."""
+    from threatframe.operators.agg import attach_one_row, dedupe_last
+
+    docs = alert_documents(spark, sf_dir)
+    last = docs.agg(F.max("_key").alias("_last"))
+    revised = attach_one_row(docs.filter("_key % 5 = 0"), last) \
+        .withColumn("_key", F.col("_key") + F.col("_last") + 1).drop("_last") \
+        .withColumn("threatInfo", F.col("threatInfo").withField("analystVerdict", F.lit("revised")))
+    path = land_pages(docs.unionByName(revised), scratch_path(spark, "pages"), batch="run-1",
+                      shuffled=True)
+    alerts, audit = scan_pages(spark, path, by_cursor=True)
+    flat = alerts.select(F.col("threatInfo.threatId").cast("long").alias("threat_id"),
+                         F.col("threatInfo.analystVerdict").alias("analyst_verdict"), "_ordinal")
+    total = audit.agg(F.max("total_items").cast("long").alias("total_items"))
+    return attach_one_row(dedupe_last(flat, ["threat_id"], ["_ordinal"]).drop("_ordinal"), total)
+
+
 # ---------------------------------------------------------------- P8-P16, X15, L2
 # The document paths that the classifier may read.
 WHITELIST = ["threatInfo.threatId", "threatInfo.storyline", "threatInfo.createdAt",

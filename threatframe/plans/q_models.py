@@ -383,3 +383,68 @@ def q_stored_encoders(spark, sf_dir):
         "c_custkey", F.round(F.col("x")[0], 4).alias("c_acctbal"),
         F.round(F.col("x")[1], 6).alias("nation_share"),
         F.coalesce(F.get(hot, F.lit(0))["name"], F.lit("")).alias("segment"))
+
+
+_NUMERIC = ["n_chars", "toxic"]
+_PROFILE = ["n_events", "max_severity"]
+
+
+def _labelled_documents(spark, sf_dir):
+    """Documents with a label (quality), completed with the event profile of their id; the
+    toxic mark stands for an input that comes from the verdict."""
+    from threatframe.plans import classify
+    from threatframe.plans.q_events import matched_events
+    from threatframe.plans.roles import EVENT_TYPES
+
+    d = load_spread(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    lab = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
+    rows = split.random_split(d.join(lab, "doc_id"), "doc_id", 0.2) \
+        .withColumn("held", hash_fraction("42:held", F.col("doc_id")) < 0.2)
+    profile = agg.event_profile(matched_events(spark, sf_dir), "alert_id", "event_type", EVENT_TYPES,
+                                "value").withColumnRenamed("alert_id", "doc_id")
+    return classify.complete(rows, profile, "doc_id", _NUMERIC, _PROFILE, "text")
+
+
+def _document_model(spark, sf_dir):
+    """The completed rows, and the stored pipeline fitted on their train split."""
+    from threatframe.plans import classify
+
+    rows = _labelled_documents(spark, sf_dir)
+    fitted = classify.pipeline([*_NUMERIC, *_PROFILE], "text", validation_col="held") \
+        .fit(rows.filter("split = 'train'"))
+    return rows, _stored(spark, fitted)
+
+
+@register("q_evaluate_inputs")
+def q_evaluate_inputs(spark, sf_dir):
+    """M19 + P10 + K5: the stored classifier over the whole matrix, evaluated on the test
+    split with all inputs, without notes, and without notes and verdict."""
+    from functools import reduce
+
+    from threatframe.plans import classify
+
+    rows, fitted = _document_model(spark, sf_dir)
+    test = rows.filter("split = 'test'")
+    parts = [classify.evaluate(test, fitted, "text", ["toxic"], ignore_notes=notes, ignore_verdict=verdict)
+             .withColumn("hidden", F.lit(name))
+             for name, notes, verdict in (("nothing", False, False), ("notes", True, False),
+                                          ("notes and verdict", True, True))]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.round("value", 4))
+
+
+@register("q_score_documents")
+def q_score_documents(spark, sf_dir):
+    """M18 + K5: test documents by the hash of their text among training documents, the
+    rest by the stored classifier and the stored forest."""
+    from threatframe.operators.stored import CategoryEncoder, IsolationForest
+    from threatframe.plans.score import two_stage
+
+    rows, fitted = _document_model(spark, sf_dir)
+    rows = rows.withColumn("sha256", F.sha2("text", 256))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    forest = _stored(spark, Pipeline(stages=[
+        CategoryEncoder([*_NUMERIC, *_PROFILE], [], []),
+        IsolationForest("doc_id", "iso_features")]).fit(train))
+    lookup = train.groupBy("sha256").agg(F.avg("label").alias("p"))
+    return two_stage(test, lookup, fitted, None, id_col="doc_id", key="sha256", vec="iso_features",
+                     forest=forest)

@@ -641,18 +641,23 @@ SELECT 'tenant_window', t.threat_id FROM t JOIN customer c ON c.c_custkey = t.en
 WHERE c.c_nationkey = 7 AND t.created_at >= TIMESTAMP '1998-01-01'
   AND t.created_at < TIMESTAMP '1999-01-01'""")
 def q_access_paths(spark, sf_dir):
-    """Lookup by hash (semi join) and tenant + time range (pushed-down
-    range filter, then the tenant join)."""
-    from threatframe.sources.store import find_by_hash, tenant_window
+    """T17 on threats laid out for lookups: by a table of hashes (semi join), and by
+    tenant and time range (the days' folders, then row groups of the tenant)."""
+    from threatframe.session import scratch_path
+    from threatframe.sources.lookup import in_window, read_lookup, write_lookup
+    from threatframe.sources.store import find_by_hash
 
-    t = R.threats_from_orders(spark, sf_dir)
     c = load(spark, sf_dir, "customer")
+    path = scratch_path(spark, "lookup")
+    write_lookup(R.threats_from_orders(spark, sf_dir).withColumn(
+        "created_at", F.col("created_at").cast("timestamp")).join(
+        c.select("c_custkey", F.col("c_nationkey").alias("tenant_id")),
+        F.col("c_custkey") == F.col("endpoint_id"), "left").drop("c_custkey"), path, period="month")
+    t = read_lookup(spark, path)
     hashes = c.filter(F.col("c_acctbal") > 9000).select(
         F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"))
     by_hash = find_by_hash(t, hashes, "sha256").select(F.lit("by_hash").alias("path"), "threat_id")
-    tt = t.join(c.select("c_custkey", F.col("c_nationkey").alias("tenant_id")),
-                F.col("c_custkey") == F.col("endpoint_id"))
-    win = tenant_window(tt, "tenant_id", 7, "created_at", "1998-01-01", "1999-01-01") \
+    win = in_window(t, "1998-01-01", "1999-01-01", 7, period="month") \
         .select(F.lit("tenant_window").alias("path"), "threat_id")
     return by_hash.unionByName(win)
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from threatframe.functions import scalars as X
+from threatframe.operators.chains import chain_places
 from threatframe.operators.project import map_columns, note_text
-from threatframe.schemas import ALERT, ALERT_PAGE, EVENT_COLUMNS, EXPORT, NOTE_PAGE
+from threatframe.schemas import ALERT, ALERT_PAGE, EVENT_COLUMNS, EXPORT, LANDED_PAGE, NOTE_PAGE
 
 
 def _with_ordinal(df: DataFrame) -> DataFrame:
@@ -33,19 +35,34 @@ def scan_threats(spark: SparkSession, path: str, envelope: bool = False) -> Data
                                                 .alias("_ordinal"))
 
 
-def scan_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_pages(spark: SparkSession, path: str, by_cursor: bool = False,
+               strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """S3 + U1 + A9: landed alert pages → (alerts, page audit).  The audit
-    compares the reported `totalItems` with the rows seen per page file."""
-    pages = spark.read.schema(ALERT_PAGE).json(path).withColumn("_file", F.input_file_name()) \
-        .withColumn("_page", F.monotonically_increasing_id())
-    alerts = pages.select("_file", "_page", F.posexplode(F.coalesce("data", F.array().cast(
-        T.ArrayType(ALERT)))).alias("_i", "a")).select(
-        "a.*", F.struct(F.col("_file").alias("file"), F.col("_page").alias("page"),
-                        F.col("_i").cast("long").alias("pos")).alias("_ordinal"))
+    compares the reported `totalItems` with the rows seen per page file.
+
+    The batch order is that of the files, or with `by_cursor` that of the pages' cursors
+    (each page says which cursor it was asked with), whatever the files are called; a
+    broken or cyclic chain raises, or with `strict` off its pages are left out and shown
+    in the audit's `fault`."""
+    pages = spark.read.schema(LANDED_PAGE if by_cursor else ALERT_PAGE).json(path) \
+        .withColumn("_file", F.input_file_name())
+    token = F.coalesce(X.nonempty("pagination.nextCursor"), X.nonempty("nextPageToken"))
+    if by_cursor:
+        pages = chain_places(pages.withColumn("_next", token), "cursor", "_next", "batch", strict) \
+            .withColumnRenamed("place", "_page")
+        order = F.struct(F.col("batch").alias("file"), F.col("_page").alias("page"))
+    else:
+        pages = pages.withColumn("_page", F.monotonically_increasing_id())
+        order = F.struct(F.col("_file").alias("file"), F.col("_page").alias("page"))
+    alerts = pages.filter(F.col("_page").isNotNull()).select(order.alias("_o"), F.posexplode(
+        F.coalesce("data", F.array().cast(T.ArrayType(ALERT)))).alias("_i", "a")).select(
+        "a.*", F.struct("_o.file", "_o.page", F.col("_i").cast("long").alias("pos")).alias("_ordinal"))
     audit = pages.select("_file", F.col("pagination.totalItems").alias("total_items"),
                          F.size(F.coalesce("data", F.array())).alias("seen"),
                          F.col("pagination.nextCursor").alias("next_cursor"),
-                         F.col("nextPageToken").alias("next_page_token"))
+                         F.col("nextPageToken").alias("next_page_token"),
+                         *([F.col("batch"), F.col("_page").alias("place"), F.col("fault")]
+                           if by_cursor else []))
     return alerts, audit
 
 

@@ -150,15 +150,6 @@ def find_by_hash(threats: DataFrame, hashes: DataFrame, col: str) -> DataFrame:
     return threats.join(hashes.select(col).distinct(), col, "left_semi")
 
 
-def tenant_window(threats: DataFrame, tenant_col: str, tenant, time_col: str,
-                  start: str, end: str) -> DataFrame:
-    """Threats of one tenant in [start, end): plain predicates, pushed into
-    the scan (partition pruning when the store is partitioned by date)."""
-    t = F.col(time_col).cast("timestamp")
-    return threats.filter((F.col(tenant_col) == tenant) & (t >= F.to_timestamp(F.lit(start)))
-                          & (t < F.to_timestamp(F.lit(end))))
-
-
 def events_of(events: DataFrame, type_col: str, event_type: str, threat_col: str | None = None,
               threat_id=None) -> DataFrame:
     """Events of one type, optionally of one threat."""
