@@ -126,10 +126,6 @@ def format_seconds(x) -> Column:
     return F.date_format(_c(x), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def minutes(n: int) -> Column:
-    return F.expr(f"INTERVAL {int(n)} MINUTES")
-
-
 def days_before(as_of: str, n: int) -> Column:
     """`as_of` minus N days, as a timestamp literal expression."""
     return F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(int(n)))

@@ -8,7 +8,7 @@ in one task, at the price of the sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -88,6 +88,32 @@ def event_profile(pairs: DataFrame, alert_id: str, type_col: str, types: list[st
     return pairs.groupBy(alert_id).agg(*aggs)
 
 
+class RunningCounts:
+    """Counts that the jobs of a run gather on the way, without a job of their own.
+
+    `watch` marks a frame that the run materialises once; `frame` is asked for after
+    that and gives (stage, metric, n), from one row per watched frame.  With `on` false
+    nothing is counted."""
+
+    def __init__(self, on: bool = True):
+        self.on = on
+        self._seen: list[tuple[str, Observation]] = []
+
+    def watch(self, stage: str, df: DataFrame, **metrics: Column) -> DataFrame:
+        """Count the rows of `df`, and further aggregates by name."""
+        if not self.on:
+            return df
+        seen = Observation()
+        self._seen.append((stage, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"),
+                          *[c.alias(n) for n, c in metrics.items()])
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = [(stage, metric, int(n or 0)) for stage, seen in self._seen
+                for metric, n in seen.get.items()]
+        return spark.createDataFrame(rows, "stage string, metric string, n long")
+
+
 def audit_counts(stage_frames: dict[str, DataFrame]) -> DataFrame:
     """Rows per stage as one long frame (stage, n)."""
     from functools import reduce

@@ -122,24 +122,6 @@ def running_total(df: DataFrame, order: list, value: str, name: str,
                          num_partitions)
 
 
-def next_in_order(df: DataFrame, key: str, name: str, cyclic: bool = False,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add `name` = the following value of the distinct column `key` in
-    ascending order; the last row gets null, or the first value if `cyclic`."""
-    b = with_range_bucket(df, [key], num_partitions)
-    w = Window.partitionBy("_bucket").orderBy(key)
-    firsts = b.groupBy("_bucket").agg(F.min(key).alias("_first"))
-    # one row per bucket
-    after = firsts.select(F.col("_bucket").alias("_ob"),
-                          F.lead("_first").over(Window.orderBy("_bucket")).alias("_after"))
-    out = (b.withColumn("_next", F.lead(key).over(w))
-           .join(F.broadcast(after), F.col("_bucket") == F.col("_ob"), "left"))
-    nxt = F.coalesce(F.col("_next"), F.col("_after"))
-    if cyclic:
-        nxt = F.coalesce(nxt, df.agg(F.min(key)).scalar())
-    return out.withColumn(name, nxt).drop("_bucket", "_next", "_ob", "_after")
-
-
 def occurrence_number(df: DataFrame, key: list[str], order: list, name: str = "occurrence"):
     """1, 2, ... among rows with the same natural key (e.g. equal notes of
     one alert), by range buckets, so a key may hold any number of rows."""
@@ -147,11 +129,6 @@ def occurrence_number(df: DataFrame, key: list[str], order: list, name: str = "o
         .withColumn(name, F.col(name).cast("int"))
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list, name: str = "_rn") -> DataFrame:
-    """Number the rows per unique key; 1 is the winner."""
-    return global_rank(df, order, partition_by=key, name=name)
-
-
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     """L1/L3: k first rows in a total order (TakeOrderedAndProject: each task
     keeps its own k best, the driver merges n·k rows)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatframe.functions.scalars import hash_fraction
+from threatframe.operators.graph import linked_groups
 from threatframe.operators.rank import global_rank
 
 
@@ -26,9 +27,18 @@ def group_key(fields: list[str]) -> Column:
 
 
 def group_split(df: DataFrame, fields: list[str], test_size: float = 0.2, seed: int = 42,
-                name: str = "split", group_col: str = "group_key") -> DataFrame:
-    """M2: M1 on the first present group field, so a group never straddles."""
-    out = df.withColumn(group_col, group_key(fields))
+                name: str = "split", group_col: str = "group_key", linked: bool = False,
+                id_col: str | None = None) -> DataFrame:
+    """M2: M1 on the first present group field, so a group never straddles.
+
+    With `linked` (and the row id `id_col`), rows that share any of the fields, directly
+    or through others, are one group (M3), named by its smallest id: two rows with equal
+    sha256 of which only one has a sha1 also stay together."""
+    if linked:
+        out = linked_groups(df, id_col, [f for f in fields if f != id_col], group_col)
+        out = out.withColumn(group_col, F.col(group_col).cast("string"))
+    else:
+        out = df.withColumn(group_col, group_key(fields))
     return out.withColumn(name, F.when(hash_fraction(seed, F.col(group_col)) < test_size, "test")
                           .otherwise("train"))
 

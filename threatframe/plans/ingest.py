@@ -132,19 +132,22 @@ def ingest(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
         rejects
 
 
-def ingest_into(spark, root: str, docs: DataFrame, as_of: str) -> DataFrame:
+def ingest_into(spark, root: str, docs: DataFrame, as_of: str,
+                counts: agg.RunningCounts | None = None) -> DataFrame:
     """T16 + K1: ingest a batch into the stored tables under `root`.  New rows of
     the child tables are appended; of the threats only the months that the batch
     touches are rewritten; tenants and endpoints are small and written whole.
-    Returns the rejects."""
+    Returns the rejects; `counts` is told the rows of each stage (A9)."""
     from threatframe.schemas import TABLE_ORDER
     from threatframe.session import cut_lineage
     from threatframe.sources.store import append_table, read_table, replace_buckets, write_table
 
     store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
-    merged, fresh, rejects, ids = ingest_parts(docs, store, as_of)
-    fresh = {t: cut_lineage(rows) for t, rows in fresh.items()}
-    rejects = cut_lineage(rejects)
+    counts = counts or agg.RunningCounts(on=False)
+    merged, fresh, rejects, ids = ingest_parts(docs, store, as_of, counts)
+    fresh = {t: cut_lineage(counts.watch(f"new {t}", rows)) for t, rows in fresh.items()}
+    rejects = cut_lineage(counts.watch("rejects", rejects, **{
+        t: F.count_if(F.col("table") == t) for t in TABLE_ORDER}))
     month = F.date_format("created_at", "yyyy-MM")
     changed = merged["threats"].join(ids, "threat_id", "left_semi")
     old = store["threats"].join(ids, "threat_id", "left_semi")
@@ -159,7 +162,8 @@ def ingest_into(spark, root: str, docs: DataFrame, as_of: str) -> DataFrame:
     return rejects
 
 
-def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
+def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
+                 counts: agg.RunningCounts | None = None):
     """One batch of alert documents (with `_ordinal` = batch order) against the
     stored tables.  Returns (merged tenants, endpoints and threats; new rows of the
     child tables; rejects; ids of the inserted or updated threats).
@@ -171,7 +175,8 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
     from threatframe.session import cut_lineage
 
     rejects = []
-    docs = cut_lineage(docs)
+    counts = counts or agg.RunningCounts(on=False)
+    docs = cut_lineage(counts.watch("documents", docs))
     # tenants (V1, A1 last wins, T1 insert if absent)
     ten = project.tenant_columns(docs)
     ten_ok, r = validate.validate(ten, validate.tenant_rules(), "tenants", ["tenant_id_raw"], as_of)
@@ -182,7 +187,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                                                                 .cast("timestamp")),
                             ["tenant_id"], update=[], as_of=as_of, insert_only=("ingested_at",),
                             origin=None)
-    tenants = cut_lineage(tenants)
+    tenants = cut_lineage(counts.watch("tenants", tenants))
     # endpoints (V2, A1, J7 tenant, T2)
     ep = project.endpoint_columns(docs).filter(F.col("endpoint_id_raw").isNotNull()
                                                & (F.trim("endpoint_id_raw") != ""))
@@ -196,7 +201,8 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
         X.to_id("site_id_raw").alias("site_id"), "agent_version",
         _ts("scan_started_raw").alias("scan_started_at"),
         _ts("scan_finished_raw").alias("scan_finished_at"), "_ordinal")
-    ep_ok = cut_lineage(agg.dedupe_last(ep_ok, ["endpoint_id"], ["_ordinal"]))
+    ep_ok = cut_lineage(counts.watch("valid endpoints", agg.dedupe_last(
+        ep_ok, ["endpoint_id"], ["_ordinal"])))
     ep_ok, r = joins.reference_check(ep_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
     ep_ok, r = _against_stored(cut_lineage(ep_ok), store["endpoints"], "endpoint_id",
@@ -206,7 +212,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                               .withColumn("ingested_at", F.lit(None).cast("timestamp")),
                               ["endpoint_id"], update="*", as_of=as_of, touch="ingested_at",
                               origin=None)
-    endpoints = cut_lineage(endpoints)
+    endpoints = cut_lineage(counts.watch("endpoints", endpoints))
     # threats (V3, V9, A1, J7, T11, T3)
     th = project.threat_columns(docs)
     # An unknown label is logged and stored as null; the threat stays
@@ -228,7 +234,8 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
         X.to_id("file_size_raw").alias("file_size"), "threat_name", "publisher_name",
         "certificate_id", "initiated_by", _ts("identified_at_raw").alias("identified_at"),
         "_ordinal")
-    th_ok = cut_lineage(agg.dedupe_last(th_ok, ["threat_id"], ["_ordinal"]))
+    th_ok = cut_lineage(counts.watch("valid threats", agg.dedupe_last(
+        th_ok, ["threat_id"], ["_ordinal"])))
     th_ok, r = joins.reference_check(th_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
     th_ok, r = joins.reference_check(th_ok, endpoints, "endpoint_id", "endpoint_id", "fk_endpoint")
@@ -246,7 +253,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str):
                                     if c not in ("threat_id", "ingested_at")],
                             as_of=as_of, touch="last_updated_at", insert_only=("ingested_at",),
                             origin=None)
-    threats = cut_lineage(threats)
+    threats = cut_lineage(counts.watch("threats", threats))
     # notes (T6: posexplode + V4 + occurrence number + insert if absent)
     # the first copy of an alert in the batch gives the notes (D3, as for indicators)
     ids = docs.select(

@@ -137,6 +137,26 @@ def q_ingest(spark, sf_dir):
     return _threat_view(read_table(spark, root, "threats"))
 
 
+@register("q_ingest_audit", sql=_INGEST_SQL.split("SELECT o_orderkey AS threat_id")[0] + """,
+st AS (SELECT * FROM u WHERE rn = 1)
+SELECT stage, metric, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'documents' AS stage, 'rows' AS metric, count(*) AS n FROM x
+  UNION ALL SELECT 'valid threats', 'rows', count(*) FILTER (WHERE o_orderkey > 0 AND c_nationkey > 0) FROM x
+  UNION ALL SELECT 'threats', 'rows', count(*) FROM st
+  UNION ALL SELECT 'new threat_notes', 'rows', count(*) FROM st
+  UNION ALL SELECT 'tenants', 'rows', count(DISTINCT c_nationkey) FROM ok
+  UNION ALL SELECT 'endpoints', 'rows', count(DISTINCT o_custkey) FROM ok)""")
+def q_ingest_audit(spark, sf_dir):
+    """A9 + T16: rows per stage of an ingest, observed while it runs."""
+    from threatframe.operators.agg import RunningCounts
+
+    path = land_documents(alert_documents(spark, sf_dir), scratch_path(spark, "alerts"))
+    counts = RunningCounts()
+    ingest_into(spark, scratch_path(spark, "store"), scan_threats(spark, path), AS_OF, counts)
+    stages = ["documents", "valid threats", "threats", "new threat_notes", "tenants", "endpoints"]
+    return counts.frame(spark).filter(F.col("stage").isin(stages))
+
+
 @register("q_stream_ingest", sql=_INGEST_SQL)
 def q_stream_ingest(spark, sf_dir):
     """The same documents as a file stream, ingested per micro-batch."""

@@ -632,6 +632,22 @@ def q_array_contains(spark, sf_dir):
                       .alias("any_1_2"))
 
 
+@register("q_bytes_lists", sql="""
+SELECT p_partkey, lower(hex(unhex(md5(CAST(p_partkey AS VARCHAR))))) AS text_bytes,
+       md5(CAST(p_partkey AS VARCHAR)) AS binary_bytes,
+       list_filter([p_type, trim(split_part(p_name, ' ', 1)), split_part(p_name, ' ', 2)], lambda x: x <> '') AS items
+FROM part""")
+def q_bytes_lists(spark, sf_dir):
+    """X2 + X7: hex text and binary columns as bytes, comma text as a list."""
+    p = load(spark, sf_dir, "part").select(
+        "p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("t"),
+        F.concat("p_type", F.lit(" , "), F.replace("p_name", F.lit(" "), F.lit(",  ")), F.lit(", ,")).alias("l"))
+    p = p.withColumn("b", F.unhex("t"))
+    return p.select("p_partkey", F.lower(F.hex(X.as_bytes(p, "t"))).alias("text_bytes"),
+                    F.lower(F.hex(X.as_bytes(p, "b"))).alias("binary_bytes"),
+                    X.split_list("l").alias("items"))
+
+
 @register("q_access_paths", sql=f"""
 WITH t AS ({T})
 SELECT 'by_hash' AS path, threat_id FROM t
@@ -719,7 +735,7 @@ def q_global_rank(spark, sf_dir):
                         "l_quantity", "l_extendedprice"])
 
 
-@register("q_linked_groups", sql=f"""
+_LINKED_SQL = f"""
 WITH RECURSIVE t AS ({T}),
 e AS (SELECT threat_id AS node, 'sha256:' || sha256 AS h FROM t
       UNION ALL SELECT threat_id, 'sha1:' || sha1 FROM t WHERE sha1 IS NOT NULL),
@@ -729,7 +745,20 @@ cc(node, label) USING KEY (node) AS (
   (SELECT e2.node, min(c.label) FROM recurring.cc c JOIN e e1 ON e1.node = c.node
      JOIN e e2 ON e2.h = e1.h
    GROUP BY e2.node
-   HAVING min(c.label) < (SELECT r.label FROM recurring.cc r WHERE r.node = e2.node)))
+   HAVING min(c.label) < (SELECT r.label FROM recurring.cc r WHERE r.node = e2.node)))"""
+
+
+@register("q_split_linked", sql=_LINKED_SQL + f"""
+SELECT node AS threat_id, CASE WHEN {X.hash_fraction_sql(42, 'label')} < 0.2 THEN 'test' ELSE 'train' END AS split
+FROM cc""")
+def q_split_linked(spark, sf_dir):
+    """M2 + M3: group split over threats linked by any hash."""
+    t = R.threats_from_orders(spark, sf_dir).select("threat_id", "sha256", "sha1")
+    return split.group_split(t, ["sha1", "sha256", "threat_id"], linked=True, id_col="threat_id") \
+        .select("threat_id", "split")
+
+
+@register("q_linked_groups", sql=_LINKED_SQL + """
 SELECT node AS threat_id, label AS group_id FROM cc""")
 def q_linked_groups(spark, sf_dir):
     """M3: threats sharing a sha256 or a sha1 are one group (components)."""

@@ -1,8 +1,7 @@
 """Scans (S1-S6) with declared schemas.
 
-JSON Lines is the scalable landing format (splittable); a multi-line
-envelope file is read whole by one task, so it is accepted for export
-files only.  Every scan adds `_ordinal` = (file, position): the batch order
+JSON Lines is the scalable landing format; a large export envelope is split too (see
+`export`).  Every scan adds `_ordinal` = (file, position): the batch order
 that last-wins and first-wins rules need.
 """
 
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from threatframe.functions import scalars as X
 from threatframe.operators.chains import chain_places
 from threatframe.operators.project import map_columns, note_text
-from threatframe.schemas import ALERT, ALERT_PAGE, EVENT_COLUMNS, EXPORT, LANDED_PAGE, NOTE_PAGE
+from threatframe.schemas import ALERT, ALERT_PAGE, EVENT_COLUMNS, LANDED_PAGE, NOTE_PAGE
+from threatframe.sources.export import scan_export
 
 
 def _with_ordinal(df: DataFrame) -> DataFrame:
@@ -26,13 +26,7 @@ def scan_threats(spark: SparkSession, path: str, envelope: bool = False) -> Data
     `{exported_at, threats: [...]}` (missing key → no rows)."""
     if not envelope:
         return _with_ordinal(spark.read.schema(ALERT).json(path))
-    env = _with_ordinal(spark.read.schema(EXPORT).option("multiLine", True).json(path))
-    return env.select("exported_at", "_ordinal",
-                      F.posexplode(F.coalesce("threats", F.array().cast(T.ArrayType(ALERT))))
-                      .alias("_i", "t")).select("t.*", "exported_at",
-                                                F.struct(F.col("_ordinal.file").alias("file"),
-                                                         F.col("_i").cast("long").alias("pos"))
-                                                .alias("_ordinal"))
+    return scan_export(spark, path)
 
 
 def scan_pages(spark: SparkSession, path: str, by_cursor: bool = False,
