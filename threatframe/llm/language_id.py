@@ -146,8 +146,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                        F.lower(whole_text(text_col)).alias("text"),
                        F.xxhash64(id_col, text_col).alias("h"))
-    # a bound on the hash leaves about 4 * sample rows per language to rank
-    share = rows.groupBy("lang").agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share"))
+    # a bound on the hash leaves about 2 * sample rows per language to rank
+    share = rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count(F.lit(1))).alias("share"))
     drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31)) \
         .groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
