@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.scalars import hash_fraction, hash_fraction_sql
 from threatframe.operators import agg, metrics, model, novelty, resample, split
 from threatframe.plans.registry import load, load_spread, register
-from threatframe.session import scratch_path
+from threatframe.session import cut_lineage, scratch_path
 from threatframe.sources.sinks import save_model
 
 
@@ -402,7 +402,7 @@ def _labelled_documents(spark, sf_dir):
         .withColumn("held", hash_fraction("42:held", F.col("doc_id")) < 0.2)
     profile = agg.event_profile(matched_events(spark, sf_dir), "alert_id", "event_type", EVENT_TYPES,
                                 "value").withColumnRenamed("alert_id", "doc_id")
-    return classify.complete(rows, profile, "doc_id", _NUMERIC, _PROFILE, "text")
+    return cut_lineage(classify.complete(rows, profile, "doc_id", _NUMERIC, _PROFILE, "text"))
 
 
 def _document_model(spark, sf_dir):
