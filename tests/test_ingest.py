@@ -184,3 +184,21 @@ def test_untouched_files_stay_in_place(spark, tmp_path):
     assert {f for f in before["threats"] if "2024-01" in f} == kept != before["threats"]
     assert sorted(r.threat_id for r in read_table(spark, root, "threats").collect()) == [1, 2, 3]
     assert read_table(spark, root, "threat_notes").count() == 2
+
+
+def test_indicator_tables_start_from_finished_ones(spark):
+    """Three nested ranks must not read the documents 27 times."""
+    from threatframe.plans.ingest import normalise_indicators
+    from threatframe.schemas import ALERT
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(1, None)], f"threat_id long, indicators {ALERT['indicators'].dataType.simpleString()}")
+    ind, tac, tech, _ = normalise_indicators(docs.mapInArrow(count, docs.schema))
+    assert (ind.count(), tac.count(), tech.count()) == (0, 0, 0)
+    assert seen.value == 1

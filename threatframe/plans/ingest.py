@@ -52,8 +52,12 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     (as the reference does), and new ids continue after the stored maximum —
     re-ingesting a batch adds nothing.  Returns (indicators, tactics,
     techniques, tactic rejects).  A NULL list is empty; a tactic with an
-    invalid technique is rejected with its techniques.
+    invalid technique is rejected with its techniques.  Each table is materialised before
+    and after its ids are given: a rank reads its input several times, and the next
+    table starts from it.
     """
+    from threatframe.session import cut_lineage
+
     stored = stored or {}
     ind_type = docs.schema["indicators"].dataType
     has_ord = "_ordinal" in docs.columns
@@ -72,9 +76,10 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
         known = stored["threat_indicators"].select(
             "threat_id", F.col("position").alias("ind_pos"))
         ind = ind.join(known, ["threat_id", "ind_pos"], "left_anti")
-    ind = global_rank(ind, [F.col("threat_id"), F.col("ind_pos")], name="_r") \
+    ind = global_rank(cut_lineage(ind), [F.col("threat_id"), F.col("ind_pos")], name="_r") \
         .withColumn("indicator_id", _max_id(stored.get("threat_indicators"), "indicator_id")
                     + F.col("_r")).drop("_r")
+    ind = cut_lineage(ind)
     tac_type = ind_type.elementType["tactics"].dataType
     tac = ind.select("indicator_id", "threat_id", "ind_pos", F.posexplode(
         F.coalesce(F.col("tactics"), F.array().cast(tac_type))).alias("tac_pos", "t"))
@@ -87,6 +92,7 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     ok = global_rank(ok, [F.col("indicator_id"), F.col("tac_pos")], name="_r") \
         .withColumn("tactic_id", _max_id(stored.get("indicator_tactics"), "tactic_id")
                     + F.col("_r")).drop("_r")
+    ok = cut_lineage(ok)
     tech = ok.select("tactic_id", F.posexplode(F.coalesce(
         F.col("techniques"), F.array().cast(tac_type.elementType["techniques"].dataType)))
         .alias("tech_pos", "x"))
@@ -111,9 +117,11 @@ def insert_events(docs: DataFrame, stored: DataFrame, as_of: str):
                    F.col("e.severity").alias("severity"),
                    F.struct("_ordinal", "_p").alias("_order"))
     key = ["threat_id", "event_time", "event_type"]
+    from threatframe.session import cut_lineage
+
     ev, rejects = validate.validate(ev, validate.not_null_rules(key), "deepvis_events", key, as_of)
     first = agg.dedupe_first(ev, key, ["_order"])
-    new = first.join(stored.select(*key), key, "left_anti")
+    new = cut_lineage(first.join(stored.select(*key), key, "left_anti"))
     new = global_rank(new, [F.col(k) for k in key], name="_r") \
         .withColumn("dvevent_id", _max_id(stored, "dvevent_id") + F.col("_r")).drop("_r") \
         .withColumn("ingested_at", F.to_timestamp(F.lit(as_of)))
@@ -172,11 +180,11 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
     finished table are cut from the lineage by a reliable checkpoint (the
     shared checkpoint directory), in dependency order, so no step recomputes
     the scan and a lost executor only repeats the current step."""
-    from threatframe.session import cut_lineage
+    from threatframe.session import cut_lineage, written
 
     rejects = []
     counts = counts or agg.RunningCounts(on=False)
-    docs = cut_lineage(counts.watch("documents", docs))
+    docs = written(counts.watch("documents", docs))  # in columns: each step reads a few
     # tenants (V1, A1 last wins, T1 insert if absent)
     ten = project.tenant_columns(docs)
     ten_ok, r = validate.validate(ten, validate.tenant_rules(), "tenants", ["tenant_id_raw"], as_of)
@@ -264,22 +272,23 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
                        .alias("pos", "note")).withColumn("note", X.strip_ws("note"))
     notes_ok, r = validate.validate(notes, validate.note_rules(), "threat_notes", ["threat_id"], as_of)
     rejects.append(r)
-    notes_ok, r = joins.reference_check(notes_ok, threats, "threat_id", "threat_id", "fk_threat")
+    notes_ok, r = joins.reference_check(cut_lineage(notes_ok), threats, "threat_id", "threat_id",
+                                        "fk_threat")
     rejects.append(_reject_rows(r, "threat_notes", ["threat_id", "pos"], as_of))
     from threatframe.operators.rank import occurrence_number
 
-    notes_ok = occurrence_number(notes_ok, ["threat_id", "note"], ["pos"]).drop("pos")
+    notes_ok = occurrence_number(cut_lineage(notes_ok), ["threat_id", "note"], ["pos"]).drop("pos")
     stored_notes = store["threat_notes"]
     fresh = notes_ok.join(stored_notes.select("threat_id", "note", "occurrence"),
                           ["threat_id", "note", "occurrence"], "left_anti")
-    fresh = _number_after(fresh, stored_notes, "note_id", ["threat_id", "note", "occurrence"])
+    fresh = _number_after(cut_lineage(fresh), stored_notes, "note_id", ["threat_id", "note", "occurrence"])
     note_rows = fresh.withColumn("ingested_at", F.to_timestamp(F.lit(as_of))).select(
         *TABLES["threat_notes"]["schema"].names)
     # indicators → tactics → techniques (T7-T9) and events (T10) of accepted threats
-    th_docs = docs.select(
+    th_docs = cut_lineage(docs.select(
         X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))
         .alias("threat_id"), "indicators", "deepvis", "_ordinal") \
-        .join(th_ok.select("threat_id"), "threat_id", "left_semi")
+        .join(th_ok.select("threat_id"), "threat_id", "left_semi"))
     ind, tac, tech, r = normalise_indicators(th_docs, store)
     rejects.append(r)
     ind_rows = ind.select("indicator_id", "threat_id", F.col("ind_pos").cast("int").alias("position"),

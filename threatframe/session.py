@@ -67,3 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def written(df: DataFrame) -> DataFrame:
+    """As `cut_lineage`, but kept in columns under the checkpoint directory: for wide
+    rows of which later steps read a few columns each."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
