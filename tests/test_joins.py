@@ -95,3 +95,55 @@ def test_reference_check_and_cascade(spark):
          ("threats", "endpoint_id", "endpoints", "endpoint_id", "cascade")],
         "tenants", spark.createDataFrame([(1,)], "tenant_id long"))
     assert [r.threat_id for r in out["threats"].collect()] == [101]
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fallback_stores_no_matches(spark):
+    """The matches of a key are not kept to find what is left."""
+    a, e = _frames(spark)
+    got = joins.fallback_join(a, e, "alert_id", [("storyline", "a_story", "story"), ("agent", "a_agent", "agent")],
+                              "created_at", "event_time", 60, 60)
+    assert "LeftSemi" in _nodes(got)
+    assert sorted((r.alert_id, r.event_id, r.match_key) for r in got.collect()) == [
+        (1, 10, "storyline"), (1, 11, "storyline"), (2, 21, "storyline")]
+
+
+def test_any_key_aggregates_only_pairs_of_shared_ids(spark):
+    a, e = _frames(spark)
+    branches = [([("a_story", "story")], "s"), ([("a_agent", "agent")], "a")]
+
+    def pairs(x, y):
+        got = joins.any_key_join(x, y, ["alert_id", "event_id"], branches, "created_at", "event_time", 60, 60)
+        return got, sorted((r.alert_id, r.event_id) for r in got.collect())
+
+    want = [(1, 10), (1, 11), (2, 20), (2, 21)]
+    got, found = pairs(a, e)
+    assert found == want
+    # copies of rows, also with another time, and null keys
+    twice = a.unionByName(a).unionByName(a.withColumn("created_at", F.expr("created_at + interval 1 second")))
+    assert set(pairs(twice, e.unionByName(e))[1]) >= set(want)
+    assert len(pairs(twice, e.unionByName(e))[1]) == len(set(pairs(twice, e.unionByName(e))[1]))
+    none = e.withColumn("story", F.lit(None).cast("string"))
+    assert pairs(a, none)[1] == want
+    # the union of the own pairs lies above no aggregate
+    top = _nodes(got).split("Union", 1)[0]
+    assert "Aggregate" not in top
+
+
+def test_stream_match_is_keyed_by_time_too(spark):
+    """An alert meets the events of its window, not all of its key."""
+    from threatframe.session import scratch_path
+    from threatframe.streaming import stream
+
+    a, e = _frames(spark)
+    paths = [scratch_path(spark, n) for n in ("alerts", "events")]
+    for df, p in zip((a, e), paths):
+        df.write.parquet(p)
+    m = stream.match_stream(stream.event_source(spark, paths[0], a.schema), stream.event_source(
+        spark, paths[1], e.schema), "a_story", "story", "created_at", "event_time", 60, 60)
+    assert "_ebucket" in m._jdf.queryExecution().analyzed().toString()
+    out = stream.run_available_now(m.select("alert_id", "event_id"), "t")
+    assert sorted((r.alert_id, r.event_id) for r in spark.read.parquet(out).collect()) == [(1, 11), (2, 21)]

@@ -13,8 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from threatframe.session import cut_lineage
-
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
@@ -23,13 +21,14 @@ def _micros(c: Column) -> Column:
 def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                   left_time: str, right_time: str, before_s: int, after_s: int,
                   bucket_s: int | None = None, truncate_bounds: bool = True,
-                  extra_condition: Column | None = None) -> DataFrame:
+                  extra_condition: Column | None = None, how: str = "inner") -> DataFrame:
     """Pairs with equal keys and right time in [lt - before, lt + after].
 
     Bounds are cut to whole seconds (closed interval).  The left row is
     exploded to the time buckets its window touches (at most 2 with the default
     bucket width), the right row carries its single bucket; a pair is produced
-    once.  Key columns must not clash between the two sides.
+    once.  Key columns must not clash between the two sides.  With `how` left_semi,
+    the left rows that have a pair, at most once per bucket.
     """
     width_us = int(bucket_s if bucket_s else max(before_s + after_s, 1)) * 1_000_000
     lt = F.col(left_time).cast("timestamp")
@@ -47,7 +46,7 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
             & (rt >= F.col("_lo")) & (rt <= F.col("_hi")))
     if extra_condition is not None:
         cond = cond & extra_condition
-    return l.join(r, cond, "inner").drop("_lo", "_hi", "_bucket", "_rbucket")
+    return l.join(r, cond, how).drop("_lo", "_hi", "_bucket", "_rbucket")
 
 
 def cap_per_group(df: DataFrame, group: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -66,22 +65,21 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str,
     """Prioritised interval join (J2): try keys in order; a later key is used
     only for left rows that no earlier key matched.  Adds column `match_key`.
 
-    `keys` is a list of (label, left_key, right_key).  The matches of every key
-    but the last are read twice (result, and what is left to match), so they are
-    kept by a reliable checkpoint and computed once.
+    `keys` is a list of (label, left_key, right_key).  What a key leaves unmatched is
+    found by a semi join, which stops at a row's first match: the matches, which may be
+    far more than the rows, are neither stored nor read again.
     """
     parts = []
     remaining = left
     for i, (label, lk, rk) in enumerate(keys):
-        part = interval_join(remaining, right, lk, rk, left_time, right_time, before_s,
-                             after_s, extra_condition=extra_condition(lk, rk)
-                             if callable(extra_condition) else extra_condition)
-        part = part.withColumn("match_key", F.lit(label))
-        if i + 1 < len(keys):
-            part = cut_lineage(part)
-        parts.append(part)
+        def match(how):
+            return interval_join(remaining, right, lk, rk, left_time, right_time, before_s,
+                                 after_s, extra_condition=extra_condition(lk, rk)
+                                 if callable(extra_condition) else extra_condition, how=how)
+
+        parts.append(match("inner").withColumn("match_key", F.lit(label)))
         if i + 1 < len(keys):
-            matched = part.select(left_id).distinct()
+            matched = match("left_semi").select(left_id).distinct()
             remaining = remaining.join(matched, left_id, "left_anti")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -90,18 +88,38 @@ def any_key_join(left: DataFrame, right: DataFrame, pair: list[str],
                  branches: list[tuple[list[tuple[str, str]], str]], left_time: str,
                  right_time: str, before_s: int, after_s: int) -> DataFrame:
     """Disjunctive match (J3): OR of equi-conditions as a union of interval
-    joins, one per branch, de-duplicated on the pair.
+    joins, one per branch, one row per `pair` (a column of each side).
 
     Each branch is ([(left_col, right_col), ...], label); the first pair is the
-    bucketed key, the rest are extra equalities.
+    bucketed key, the rest are extra equalities.  A branch leaves out what an earlier
+    one matches, so two rows meet once; only rows that share their id with another
+    row of their side can give a pair twice, and only their pairs are de-duplicated.
     """
-    outs = []
-    for cols, _label in branches:
-        (lk, rk), rest = cols[0], cols[1:]
-        extra = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in rest]) if rest else None
-        outs.append(interval_join(left, right, lk, rk, left_time, right_time, before_s,
-                                  after_s, extra_condition=extra))
-    return reduce(lambda a, b: a.unionByName(b), outs).dropDuplicates(pair)
+    def all_equal(cols):
+        return reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in cols])
+
+    def matches(l, r):
+        outs, earlier = [], None
+        for cols, _label in branches:
+            (lk, rk), rest = cols[0], cols[1:]
+            conds = ([all_equal(rest)] if rest else []) + ([~earlier] if earlier is not None else [])
+            outs.append(interval_join(l, r, lk, rk, left_time, right_time, before_s, after_s,
+                                      extra_condition=reduce(lambda a, b: a & b, conds) if conds else None))
+            mine = F.coalesce(all_equal(cols), F.lit(False))
+            earlier = mine if earlier is None else earlier | mine
+        return reduce(lambda a, b: a.unionByName(b), outs)
+
+    def by_id(df, id_col):
+        """(rows with an id of their own, the others)"""
+        shared = df.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_shared"))
+        same = F.col(id_col).eqNullSafe(F.col("_shared"))
+        return df.join(shared, same, "left_anti"), df.join(shared, same, "left_semi")
+
+    left_id, right_id = sorted(pair, key=lambda c: c not in left.columns)
+    own_l, shared_l = by_id(left, left_id)
+    own_r, shared_r = by_id(right, right_id)
+    repeated = matches(shared_l, right).unionByName(matches(own_l, shared_r))
+    return matches(own_l, own_r).unionByName(repeated.dropDuplicates(pair))
 
 
 def attach_list(parent: DataFrame, child: DataFrame, key: str, order: list[str],
