@@ -39,15 +39,27 @@ def match_stream(alerts: DataFrame, events: DataFrame, alert_key: str, event_key
                  alert_time: str, event_time: str, before_s: int, after_s: int,
                  watermark: str = "2 hours", extra=None) -> DataFrame:
     """R2: inner stream-stream interval join; events later than the
-    watermark are dropped, as in any watermarked join."""
-    a = alerts.withWatermark(alert_time, watermark)
-    e = events.withWatermark(event_time, watermark)
-    cond = ((F.col(alert_key) == F.col(event_key))
+    watermark are dropped, as in any watermarked join.
+
+    The state is kept by key and time bucket, as in the batch join (J1): an alert goes to
+    the buckets its window touches (2, or 3 at most where it ends on a bound), an event
+    has one, so an alert meets the events around it and not all of its key."""
+    width_us = max(before_s + after_s, 1) * 1_000_000
+
+    def bucket(at):
+        return F.floor(F.unix_micros(at) / width_us).cast("long")
+
+    lo = F.col(alert_time) - F.make_dt_interval(secs=F.lit(before_s))
+    hi = F.col(alert_time) + F.make_dt_interval(secs=F.lit(after_s))
+    a = alerts.withWatermark(alert_time, watermark).withColumn(
+        "_bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))
+    e = events.withWatermark(event_time, watermark).withColumn("_ebucket", bucket(F.col(event_time)))
+    cond = ((F.col(alert_key) == F.col(event_key)) & (F.col("_bucket") == F.col("_ebucket"))
             & (F.col(event_time) >= F.col(alert_time) - F.make_dt_interval(secs=F.lit(before_s)))
             & (F.col(event_time) <= F.col(alert_time) + F.make_dt_interval(secs=F.lit(after_s))))
     if extra is not None:
         cond = cond & extra
-    return a.join(e, cond, "inner")
+    return a.join(e, cond, "inner").drop("_bucket", "_ebucket")
 
 
 def run_available_now(df: DataFrame, name: str, out_path: str | None = None,
