@@ -97,3 +97,18 @@ def test_faulty_chains(spark, rows, faults):
 
 def test_no_pages(spark):
     assert chain_places(pages(spark, []).limit(0)).count() == 0
+
+
+def test_shuffled_pages_take_as_many_files_as_the_data_needs(spark):
+    """Not four tasks whatever the size."""
+    from threatframe.plans.q_ingest import alert_documents, land_pages
+    from threatframe.session import scratch_path
+
+    docs = alert_documents(spark, "/root/testdata/sf0.001").filter("_key < 400")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = land_pages(docs, scratch_path(spark, "pages"), page_size=4, shuffled=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    pages = spark.read.json(path)
+    assert len(pages.inputFiles()) > 4 and pages.count() == -(-docs.count() // 4)

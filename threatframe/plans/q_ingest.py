@@ -99,8 +99,8 @@ def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE, batch: st
                  F.col("_total").alias("totalItems")).alias("pagination"),
         F.lit(None).cast("string").alias("nextPageToken"), F.lit(batch).alias("batch"),
         F.when(F.col("_page") > 0, cursor(F.col("_page"))).alias("cursor"))
-    if shuffled:
-        pages = pages.repartition(4, F.md5("cursor"))
+    if shuffled:  # as many files as the data needs
+        pages = pages.repartition(F.md5("cursor"))
     pages.write.mode("overwrite").json(path)
     return path
 
