@@ -84,6 +84,22 @@ def test_knn_of_few_points(spark):
         assert got == _brute_knn(rows, 5)
 
 
+def test_knn_over_tiles_without_structure(spark):
+    """Random directions: whatever the bounds leave, a point brings k of a tile at most;
+    copies, ties, -0.0 and a vector that is not finite across tiles."""
+    import random
+
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(24)]) for i in range(300)]
+    rows += [(300 + i, [float(r.randint(0, 1)) for _ in range(3)] + [0.0] * 21) for i in range(60)]
+    rows += [(360 + i, rows[7][1]) for i in range(20)] + [(380, [-0.0] * 24), (381, [0.0] * 24)]
+    df = spark.createDataFrame([*rows, (999, [float("nan")] * 24)], "id long, v array<double>")
+    got = {(x.id, x.nn_rank): x.nn_id for x in resample.knn(df, "id", "v", 4, block=64).collect()}
+    assert [got.pop((999, n)) for n in (1, 2, 3, 4)] == [0, 1, 2, 3]
+    assert got == _brute_knn(rows, 4)
+    assert resample.candidates(df.select("id", "v"), 4).count() == 4 * (len(rows) + 1)
+
+
 def test_smote_points_between_minority_points(spark):
     rows = [(i, [float(i), float(i % 5)], 0 if i < 10 else 1) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>, y int")
