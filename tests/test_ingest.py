@@ -202,3 +202,25 @@ def test_indicator_tables_start_from_finished_ones(spark):
     ind, tac, tech, _ = normalise_indicators(docs.mapInArrow(count, docs.schema))
     assert (ind.count(), tac.count(), tech.count()) == (0, 0, 0)
     assert seen.value == 1
+
+
+def test_landed_pages_are_whole_and_small(spark):
+    """Pages of runs that several tasks write are whole and follow the keys, also where
+    keys repeat at a run's edge; the files are compressed."""
+    import glob
+
+    from threatframe.plans.q_ingest import land_pages
+    from threatframe.session import scratch_path
+
+    keys = [*range(50), *[50] * 9, *range(51, 120)]
+    docs = spark.createDataFrame([(k, f"d{k}") for k in keys], "_key long, name string")
+    path = land_pages(docs, scratch_path(spark, "pages"), page_size=3)
+    pages = spark.read.json(path).select(
+        F.coalesce(F.col("cursor").cast("int"), F.lit(0)).alias("n"), "data.name",
+        "pagination").orderBy("n").collect()
+    assert [p.n for p in pages] == list(range(43))
+    assert [x for p in pages for x in p.name] == [f"d{k}" for k in keys]
+    assert [len(p.name) for p in pages] == [3] * 42 + [2]
+    assert {p.pagination.totalItems for p in pages} == {128} and pages[-1].pagination.nextCursor is None
+    files = glob.glob(path.removeprefix("file:") + "/part-*")
+    assert files and all(f.endswith(".gz") for f in files)

@@ -9,7 +9,7 @@ streaming ingest over data that grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from threatframe.functions import scalars as X
 from threatframe.operators.rank import global_rank
@@ -77,22 +77,50 @@ def land_documents(docs: DataFrame, path: str) -> str:
     return path
 
 
+def _page_starts(docs: DataFrame, page_size: int) -> tuple[int, list[tuple]]:
+    """(documents, [(key, rank)] of first documents of runs of whole pages): about as many
+    runs as shuffle partitions, found by ranking the keys alone.  Equal keys stay in a run."""
+    total = docs.count()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = page_size * max(1, -(-total // (page_size * n)))
+    if total <= step:
+        return total, []
+    edges = global_rank(docs.select("_key"), [F.col("_key")], name="_r") \
+        .filter((F.col("_r") % step == 0) | ((F.col("_r") - 1) % step == 0)).collect()
+    key = {r["_r"]: r["_key"] for r in edges}  # two per run
+    firsts = range(step + 1, total + 1, step)
+    return total, [(key[r], r) for r in firsts if key[r] != key[r - 1]]
+
+
 def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE, batch: str | None = None,
                shuffled: bool = False) -> str:
-    """Write page envelopes of `page_size` documents (bounded arrays); with `shuffled`,
-    cursors and files say nothing of the order."""
-    ranked = global_rank(docs, [F.col("_key")], name="_r")
-    paged = ranked.withColumn("_page", F.floor((F.col("_r") - 1) / page_size).cast("long"))
-    total = docs.agg(F.count(F.lit(1)).alias("_total"))
-    from threatframe.operators.agg import attach_one_row
-
-    pages = (paged.groupBy("_page")
+    """Write page envelopes of `page_size` documents (bounded arrays), gzipped; with
+    `shuffled`, cursors and files say nothing of the order.
+
+    Documents are shuffled once, by runs of whole pages."""
+    total, starts = _page_starts(docs, page_size)
+
+    def run(lo: int, hi: int):
+        """Number of starts up to the key, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_key") >= F.lit(starts[mid][0]), run(mid + 1, hi)).otherwise(run(lo, mid))
+
+    before = F.array(*[F.lit(r - 1).cast("long") for _key, r in [(None, 1), *starts]])
+    w = Window.partitionBy("_run").orderBy("_key")  # a run is about 1/n of the documents
+    paged = docs.withColumn("_run", run(0, len(starts))) \
+        .withColumn("_r", before[F.col("_run")] + F.row_number().over(w)) \
+        .withColumn("_page", F.floor((F.col("_r") - 1) / page_size).cast("long"))
+    pages = (paged.groupBy("_run", "_page")  # dealt by run already
              .agg(F.sort_array(F.collect_list(F.struct("_r", F.struct(
-                 *[c for c in docs.columns if c != "_key"]).alias("d")))).alias("_l")))
+                 *[c for c in docs.columns if c != "_key"]).alias("d")))).alias("_l"))
+             .withColumn("_total", F.lit(total).cast("long")))
+
     def cursor(page):
         return F.md5(page.cast("string")) if shuffled else page.cast("string")
 
-    pages = attach_one_row(pages, total).select(
+    pages = pages.select(
         F.transform("_l", lambda e: e["d"]).alias("data"),
         F.struct(F.when((F.col("_page") + 1) * page_size < F.col("_total"),
                         cursor(F.col("_page") + 1)).alias("nextCursor"),
@@ -101,7 +129,7 @@ def land_pages(docs: DataFrame, path: str, page_size: int = PAGE_SIZE, batch: st
         F.when(F.col("_page") > 0, cursor(F.col("_page"))).alias("cursor"))
     if shuffled:  # as many files as the data needs
         pages = pages.repartition(F.md5("cursor"))
-    pages.write.mode("overwrite").json(path)
+    pages.write.mode("overwrite").option("compression", "gzip").json(path)
     return path
 
 
