@@ -161,3 +161,28 @@ def test_forest_without_training_rows_or_vectors(spark):
     assert got == {k: (None, False) for k in (1, 2, 3)}
     got = {r.id: r.novelty_score for r in novelty.novelty(df, df, "id", "v", n_trees=5).collect()}
     assert got[2] is None and got[1] is not None and got[3] is not None
+
+
+def test_path_lengths_of_a_row_by_row_walk():
+    """Arrays prepared once per forest give the walk's lengths, in equal order of addition;
+    a value that is no number goes right."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    data = np.round(r.normal(size=(300, 3)), 1)
+    names = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
+    rows = [n for t in range(7) for n in novelty._grow(t, data[t:t + 1 + 40 * t], 42, 6)]
+    nodes = pd.DataFrame(rows, columns=names).sample(frac=1, random_state=1)
+    x = np.concatenate([np.tile(data, (8, 1)), [[np.nan] * 3]])
+    want = []
+    for v in x:
+        total = 0.0
+        for t in range(7):
+            tree = {n[1]: n for n in rows if n[0] == t}
+            n = tree[0]
+            while n[2] >= 0:
+                n = tree[n[4] if v[n[2]] < n[3] else n[5]]
+            total += n[7] + novelty._c([n[6]])[0]
+        want.append(total / 7)
+    assert novelty._path_lengths(x, novelty._trees(nodes)).tolist() == want
