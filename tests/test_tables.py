@@ -87,3 +87,18 @@ def test_components_of_a_shuffled_chain(spark):
     chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     out = components(chain, "a", "b").collect()
     assert {r.component for r in out} == {0} and len(out) == 300
+
+
+def test_rows_of_a_hub_stay_in_several_tasks(spark):
+    """A hash that two thirds of the rows share, and one row per other hash."""
+    from threatframe.operators.graph import _hang, _leasts
+
+    rows = spark.range(0, 6000, 1, 6).select(
+        "id", F.when(F.col("id") % 3 > 0, "hub").otherwise(F.col("id").cast("string")).alias("h"))
+    out = _hang(rows, _leasts(rows, "h", "id"), "h", 6000).withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    assert {(r.id, r.m) for r in got} == {(i, 1 if i % 3 else i) for i in range(6000)} and len(got) == 6000
+    assert len({r.task for r in got if r.h == "hub"}) > 1
+    df = rows.withColumn("h2", (F.col("id") % 1000).cast("string"))
+    groups = {r.id: r.group_id for r in linked_groups(df, "id", ["h", "h2"]).collect()}
+    assert set(groups.values()) == {0} and len(groups) == 6000

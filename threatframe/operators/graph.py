@@ -16,18 +16,35 @@ from pyspark.sql import DataFrame, functions as F
 from threatframe.session import cut_lineage
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: A key with more than 1/HEAVY of the rows is joined by broadcast: HEAVY keys at most.
+HEAVY = 400
+
+
+def _leasts(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, m, _n): least value and number of rows of every key."""
+    return rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("_n"))
+
+
+def _hang(rows: DataFrame, leasts: DataFrame, key: str, n: int) -> DataFrame:
+    """The `n` rows or fewer joined with `leasts`.  A hub's rows stay where they are: by a
+    shuffle one task would sort them all."""
+    heavy = F.broadcast(leasts.filter(F.col("_n") * HEAVY > n).drop("_n"))
+    light = leasts.filter(F.col("_n") * HEAVY <= n).drop("_n")
+    return rows.join(heavy, key).unionByName(
+        rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = both.groupBy("u").agg(F.min("v").alias("m"))
-    m = m.select("u", F.least("u", "m").alias("m"))
-    return (both.filter("v > u").join(m, "u")
+    m = _leasts(both, "u", "v").select("u", F.least("u", "m").alias("m"), "_n")
+    return (_hang(both.filter("v > u"), m, "u", 2 * n)
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(m, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    m = _leasts(down, "u", "v")
+    hung = _hang(down, m, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(m.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +60,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if (new.n, new.h) == state or new.n == 0:
             break
         state = (new.n, new.h)
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_large_star(e, new.n))  # read four times
+        e = cut_lineage(_small_star(e, new.n))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -54,11 +72,12 @@ def linked_groups(df: DataFrame, id_col: str, hash_cols: list[str],
     are their own group).  Each hash hangs its rows on its smallest row, so a
     hash shared by n rows makes n edges."""
     parts = []
+    n = df.count()
     for h in hash_cols:
         rows = df.filter(F.col(h).isNotNull()).select(F.col(id_col).alias("node"),
                                                       F.col(h).alias("hash"))
-        least = rows.groupBy("hash").agg(F.min("node").alias("least"))
-        parts.append(rows.join(least, "hash").select("node", "least"))
+        parts.append(_hang(rows, _leasts(rows, "hash", "node"), "hash", n)
+                     .select("node", F.col("m").alias("least")))
     found = components(reduce(lambda x, y: x.unionByName(y), parts), "node", "least")
     found = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     return (df.join(found, F.col(id_col) == F.col("_node"), "left")
