@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from threatframe.session import scratch_path
+from threatframe.session import scratch_path, tidy
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -52,22 +52,6 @@ def sliced(batches, column: str | int, most: int = 4 << 20):
             at = end
 
 
-def tidy(batches):
-    """The batches; afterwards what a task has freed goes back to the system, so that a
-    worker which the next stages use again does not hold it."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    yield from batches
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:  # glibc
-        trim(0)
-
-
 def with_text_scores(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
     """Add the columns `fields` (a DDL list), computed from whole texts by Arrow batch.
 

@@ -9,7 +9,7 @@ from threatframe.functions.scalars import hash_fraction_sql
 from threatframe.functions.stopwords import german_english, sql_list
 from threatframe.operators import text
 from threatframe.plans.q_events import _SQL_MATCHED
-from threatframe.plans.registry import load_spread, register
+from threatframe.plans.registry import load_even, register
 
 VOCAB = 500
 
@@ -40,7 +40,7 @@ SELECT term, CAST(cf AS BIGINT) AS cf, df, rank FROM vocab""")
 def q_topk(spark, sf_dir):
     """L3 + A11: the 500 most frequent uni/bigrams after stop words, with
     corpus and document frequency."""
-    docs = load_spread(spark, sf_dir, "documents")
+    docs = load_even(spark, sf_dir, "documents")
     v = text.vocabulary(text.term_stats(docs, "text"), VOCAB)
     return v.select("term", F.col("cf").cast("long").alias("cf"), "df", "rank")
 
@@ -53,7 +53,7 @@ nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id)
 SELECT w.doc_id, w.term, round(w.w / nrm.z, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
 def q_tfidf(spark, sf_dir):
     """M6: smoothed TF-IDF over the 500-term vocabulary, L2 per document."""
-    docs = load_spread(spark, sf_dir, "documents")
+    docs = load_even(spark, sf_dir, "documents")
     out = text.tfidf_long(docs, "doc_id", "text", VOCAB)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -90,8 +90,8 @@ def document_matrix(spark, sf_dir):
     from threatframe.plans.features import feature_matrix, fit_vocabulary
     from threatframe.plans.q_events import matched_events
 
-    docs = load_spread(spark, sf_dir, "documents").select("doc_id", "text",
-                                                          F.col("n_chars").cast("double"))
+    docs = load_even(spark, sf_dir, "documents").select("doc_id", "text",
+                                                        F.col("n_chars").cast("double"))
     profile = agg.event_profile(matched_events(spark, sf_dir), "alert_id", "event_type",
                                 roles.EVENT_TYPES, "value").withColumnRenamed("alert_id", "doc_id")
     vocab, n = fit_vocabulary(docs, "doc_id", "text", VOCAB)
@@ -135,7 +135,7 @@ def q_stored_terms(spark, sf_dir):
     from threatframe.operators.stored import TermWeights
     from threatframe.plans.q_models import _stored
 
-    docs = SP.random_split(load_spread(spark, sf_dir, "documents"), "doc_id", 0.2)
+    docs = SP.random_split(load_even(spark, sf_dir, "documents"), "doc_id", 0.2)
     fitted = Pipeline(stages=[TermWeights("text", size=VOCAB)]).fit(docs.filter("split = 'train'"))
     x = _stored(spark, fitted).transform(docs.filter("split = 'test'"))
     names = F.array(*[F.lit(n) for n in feature_names(x, "text_features")])
@@ -151,7 +151,7 @@ def q_tfidf_apply(spark, sf_dir):
     document frequencies of training are applied to unseen documents."""
     from threatframe.operators import split as SP
 
-    docs = SP.random_split(load_spread(spark, sf_dir, "documents"), "doc_id", 0.2)
+    docs = SP.random_split(load_even(spark, sf_dir, "documents"), "doc_id", 0.2)
     train, test = docs.filter(F.col("split") == "train"), docs.filter(F.col("split") == "test")
     vocab = text.vocabulary(text.term_stats(train, "text"), VOCAB).select("term", "df")
     n_docs = train.agg(F.count(F.lit(1)).alias("n"))
