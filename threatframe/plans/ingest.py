@@ -8,12 +8,15 @@ Every step is a DataFrame operator; nothing is collected.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threatframe.functions import scalars as X
 from threatframe.operators import agg, joins, project, upsert, validate
 from threatframe.operators.rank import global_rank
 from threatframe.schemas import LABEL_COLUMNS, TABLES
+from threatframe.session import cut_lineage, dropped, scratch_path, written
 
 
 def notes_text_per_key(notes: DataFrame, key: str, order: str, text: str,
@@ -43,7 +46,8 @@ def _max_id(stored: DataFrame | None, col: str):
     return stored.agg(F.coalesce(F.max(col), F.lit(0)).cast("long")).scalar()
 
 
-def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None = None):
+def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None = None,
+                         cut=cut_lineage):
     """T7-T9 (+T15, V5/V6, X17, D21): explode indicators → tactics →
     techniques with surrogate ids in natural-key order.
 
@@ -53,11 +57,9 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     re-ingesting a batch adds nothing.  Returns (indicators, tactics,
     techniques, tactic rejects).  A NULL list is empty; a tactic with an
     invalid technique is rejected with its techniques.  Each table is materialised before
-    and after its ids are given: a rank reads its input several times, and the next
-    table starts from it.
+    and after its ids are given (by `cut`): a rank reads its input several times, and the
+    next table starts from it.
     """
-    from threatframe.session import cut_lineage
-
     stored = stored or {}
     ind_type = docs.schema["indicators"].dataType
     has_ord = "_ordinal" in docs.columns
@@ -76,10 +78,10 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
         known = stored["threat_indicators"].select(
             "threat_id", F.col("position").alias("ind_pos"))
         ind = ind.join(known, ["threat_id", "ind_pos"], "left_anti")
-    ind = global_rank(cut_lineage(ind), [F.col("threat_id"), F.col("ind_pos")], name="_r") \
+    ind = global_rank(cut(ind), [F.col("threat_id"), F.col("ind_pos")], name="_r") \
         .withColumn("indicator_id", _max_id(stored.get("threat_indicators"), "indicator_id")
                     + F.col("_r")).drop("_r")
-    ind = cut_lineage(ind)
+    ind = cut(ind)
     tac_type = ind_type.elementType["tactics"].dataType
     tac = ind.select("indicator_id", "threat_id", "ind_pos", F.posexplode(
         F.coalesce(F.col("tactics"), F.array().cast(tac_type))).alias("tac_pos", "t"))
@@ -92,7 +94,7 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     ok = global_rank(ok, [F.col("indicator_id"), F.col("tac_pos")], name="_r") \
         .withColumn("tactic_id", _max_id(stored.get("indicator_tactics"), "tactic_id")
                     + F.col("_r")).drop("_r")
-    ok = cut_lineage(ok)
+    ok = cut(ok)
     tech = ok.select("tactic_id", F.posexplode(F.coalesce(
         F.col("techniques"), F.array().cast(tac_type.elementType["techniques"].dataType)))
         .alias("tech_pos", "x"))
@@ -104,7 +106,7 @@ def normalise_indicators(docs: DataFrame, stored: dict[str, DataFrame] | None =
     return ind.drop("tactics"), ok.drop("techniques"), tech, rejects
 
 
-def insert_events(docs: DataFrame, stored: DataFrame, as_of: str):
+def insert_events(docs: DataFrame, stored: DataFrame, as_of: str, cut=cut_lineage):
     """T10 + T11 + V10: deepvis events of the batch keyed by (threat, time, type);
     the first per key in batch order, only keys not stored yet; 4 of the event
     columns are stored.  Returns (new rows with their ids, rejects of events
@@ -117,11 +119,9 @@ def insert_events(docs: DataFrame, stored: DataFrame, as_of: str):
                    F.col("e.severity").alias("severity"),
                    F.struct("_ordinal", "_p").alias("_order"))
     key = ["threat_id", "event_time", "event_type"]
-    from threatframe.session import cut_lineage
-
     ev, rejects = validate.validate(ev, validate.not_null_rules(key), "deepvis_events", key, as_of)
     first = agg.dedupe_first(ev, key, ["_order"])
-    new = cut_lineage(first.join(stored.select(*key), key, "left_anti"))
+    new = cut(first.join(stored.select(*key), key, "left_anti"))
     new = global_rank(new, [F.col(k) for k in key], name="_r") \
         .withColumn("dvevent_id", _max_id(stored, "dvevent_id") + F.col("_r")).drop("_r") \
         .withColumn("ingested_at", F.to_timestamp(F.lit(as_of)))
@@ -145,16 +145,18 @@ def ingest_into(spark, root: str, docs: DataFrame, as_of: str,
     """T16 + K1: ingest a batch into the stored tables under `root`.  New rows of
     the child tables are appended; of the threats only the months that the batch
     touches are rewritten; tenants and endpoints are small and written whole.
-    Returns the rejects; `counts` is told the rows of each stage (A9)."""
+    Returns the rejects; `counts` is told the rows of each stage (A9).  What the steps
+    materialise lies in a folder of the batch and goes when its tables are committed."""
     from threatframe.schemas import TABLE_ORDER
-    from threatframe.session import cut_lineage
     from threatframe.sources.store import append_table, read_table, replace_buckets, write_table
 
     store = {t: read_table(spark, root, t) for t in TABLE_ORDER}
     counts = counts or agg.RunningCounts(on=False)
-    merged, fresh, rejects, ids = ingest_parts(docs, store, as_of, counts)
-    fresh = {t: cut_lineage(counts.watch(f"new {t}", rows)) for t, rows in fresh.items()}
-    rejects = cut_lineage(counts.watch("rejects", rejects, **{
+    folder = scratch_path(spark, "ingest")
+    cut = partial(written, under=folder)
+    merged, fresh, rejects, ids = ingest_parts(docs, store, as_of, counts, cut)
+    fresh = {t: cut(counts.watch(f"new {t}", rows)) for t, rows in fresh.items()}
+    rejects = written(counts.watch("rejects", rejects, **{
         t: F.count_if(F.col("table") == t) for t in TABLE_ORDER}))
     month = F.date_format("created_at", "yyyy-MM")
     changed = merged["threats"].join(ids, "threat_id", "left_semi")
@@ -167,24 +169,23 @@ def ingest_into(spark, root: str, docs: DataFrame, as_of: str,
         replace_buckets(merged["threats"], root, "threats", month, touched)
     for t, rows in fresh.items():
         append_table(rows, root, t)
+    dropped(spark, folder)  # the rejects lie elsewhere
     return rejects
 
 
 def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
-                 counts: agg.RunningCounts | None = None):
+                 counts: agg.RunningCounts | None = None, cut=written):
     """One batch of alert documents (with `_ordinal` = batch order) against the
     stored tables.  Returns (merged tenants, endpoints and threats; new rows of the
     child tables; rejects; ids of the inserted or updated threats).
 
     Each table step reads materialised parents: the documents and every
-    finished table are cut from the lineage by a reliable checkpoint (the
-    shared checkpoint directory), in dependency order, so no step recomputes
-    the scan and a lost executor only repeats the current step."""
-    from threatframe.session import cut_lineage, written
-
+    finished table are written by `cut` (under the shared checkpoint
+    directory), in dependency order, so no step recomputes the scan and a
+    lost executor only repeats the current step."""
     rejects = []
     counts = counts or agg.RunningCounts(on=False)
-    docs = written(counts.watch("documents", docs))  # in columns: each step reads a few
+    docs = cut(counts.watch("documents", docs))  # in columns: each step reads a few
     # tenants (V1, A1 last wins, T1 insert if absent)
     ten = project.tenant_columns(docs)
     ten_ok, r = validate.validate(ten, validate.tenant_rules(), "tenants", ["tenant_id_raw"], as_of)
@@ -195,7 +196,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
                                                                 .cast("timestamp")),
                             ["tenant_id"], update=[], as_of=as_of, insert_only=("ingested_at",),
                             origin=None)
-    tenants = cut_lineage(counts.watch("tenants", tenants))
+    tenants = cut(counts.watch("tenants", tenants))
     # endpoints (V2, A1, J7 tenant, T2)
     ep = project.endpoint_columns(docs).filter(F.col("endpoint_id_raw").isNotNull()
                                                & (F.trim("endpoint_id_raw") != ""))
@@ -209,18 +210,18 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
         X.to_id("site_id_raw").alias("site_id"), "agent_version",
         _ts("scan_started_raw").alias("scan_started_at"),
         _ts("scan_finished_raw").alias("scan_finished_at"), "_ordinal")
-    ep_ok = cut_lineage(counts.watch("valid endpoints", agg.dedupe_last(
+    ep_ok = cut(counts.watch("valid endpoints", agg.dedupe_last(
         ep_ok, ["endpoint_id"], ["_ordinal"])))
     ep_ok, r = joins.reference_check(ep_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
-    ep_ok, r = _against_stored(cut_lineage(ep_ok), store["endpoints"], "endpoint_id",
+    ep_ok, r = _against_stored(cut(ep_ok), store["endpoints"], "endpoint_id",
                                ["tenant_id", "agent_uuid"], "unique_tenant_uuid")
     rejects.append(_reject_rows(r, "endpoints", ["endpoint_id"], as_of))
     endpoints = upsert.upsert(store["endpoints"], ep_ok.drop("_ordinal")
                               .withColumn("ingested_at", F.lit(None).cast("timestamp")),
                               ["endpoint_id"], update="*", as_of=as_of, touch="ingested_at",
                               origin=None)
-    endpoints = cut_lineage(counts.watch("endpoints", endpoints))
+    endpoints = cut(counts.watch("endpoints", endpoints))
     # threats (V3, V9, A1, J7, T11, T3)
     th = project.threat_columns(docs)
     # An unknown label is logged and stored as null; the threat stays
@@ -242,13 +243,13 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
         X.to_id("file_size_raw").alias("file_size"), "threat_name", "publisher_name",
         "certificate_id", "initiated_by", _ts("identified_at_raw").alias("identified_at"),
         "_ordinal")
-    th_ok = cut_lineage(counts.watch("valid threats", agg.dedupe_last(
+    th_ok = cut(counts.watch("valid threats", agg.dedupe_last(
         th_ok, ["threat_id"], ["_ordinal"])))
     th_ok, r = joins.reference_check(th_ok, tenants, "tenant_id", "tenant_id", "fk_tenant")
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
     th_ok, r = joins.reference_check(th_ok, endpoints, "endpoint_id", "endpoint_id", "fk_endpoint")
     rejects.append(_reject_rows(r, "threats", ["threat_id"], as_of))
-    th_ok = cut_lineage(th_ok)
+    th_ok = cut(th_ok)
     stored_th = store["threats"]
     th_ok, r = _against_stored(th_ok, stored_th, "threat_id",
                                ["tenant_id", "sha256", "identified_at"], "unique_threat")
@@ -261,7 +262,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
                                     if c not in ("threat_id", "ingested_at")],
                             as_of=as_of, touch="last_updated_at", insert_only=("ingested_at",),
                             origin=None)
-    threats = cut_lineage(counts.watch("threats", threats))
+    threats = cut(counts.watch("threats", threats))
     # notes (T6: posexplode + V4 + occurrence number + insert if absent)
     # the first copy of an alert in the batch gives the notes (D3, as for indicators)
     ids = docs.select(
@@ -272,24 +273,24 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
                        .alias("pos", "note")).withColumn("note", X.strip_ws("note"))
     notes_ok, r = validate.validate(notes, validate.note_rules(), "threat_notes", ["threat_id"], as_of)
     rejects.append(r)
-    notes_ok, r = joins.reference_check(cut_lineage(notes_ok), threats, "threat_id", "threat_id",
+    notes_ok, r = joins.reference_check(cut(notes_ok), threats, "threat_id", "threat_id",
                                         "fk_threat")
     rejects.append(_reject_rows(r, "threat_notes", ["threat_id", "pos"], as_of))
     from threatframe.operators.rank import occurrence_number
 
-    notes_ok = occurrence_number(cut_lineage(notes_ok), ["threat_id", "note"], ["pos"]).drop("pos")
+    notes_ok = occurrence_number(cut(notes_ok), ["threat_id", "note"], ["pos"]).drop("pos")
     stored_notes = store["threat_notes"]
     fresh = notes_ok.join(stored_notes.select("threat_id", "note", "occurrence"),
                           ["threat_id", "note", "occurrence"], "left_anti")
-    fresh = _number_after(cut_lineage(fresh), stored_notes, "note_id", ["threat_id", "note", "occurrence"])
+    fresh = _number_after(cut(fresh), stored_notes, "note_id", ["threat_id", "note", "occurrence"])
     note_rows = fresh.withColumn("ingested_at", F.to_timestamp(F.lit(as_of))).select(
         *TABLES["threat_notes"]["schema"].names)
     # indicators → tactics → techniques (T7-T9) and events (T10) of accepted threats
-    th_docs = cut_lineage(docs.select(
+    th_docs = cut(docs.select(
         X.to_id(F.coalesce(X.nonempty(F.trim(F.col("id"))), F.col("threatInfo.threatId")))
         .alias("threat_id"), "indicators", "deepvis", "_ordinal") \
         .join(th_ok.select("threat_id"), "threat_id", "left_semi"))
-    ind, tac, tech, r = normalise_indicators(th_docs, store)
+    ind, tac, tech, r = normalise_indicators(th_docs, store, cut)
     rejects.append(r)
     ind_rows = ind.select("indicator_id", "threat_id", F.col("ind_pos").cast("int").alias("position"),
                           "category", "description", "ids",
@@ -298,7 +299,7 @@ def ingest_parts(docs: DataFrame, store: dict[str, DataFrame], as_of: str,
                           "name", "source")
     tech_rows = tech.select("technique_id", "tactic_id",
                             F.col("tech_pos").cast("int").alias("position"), "name", "link")
-    events, r = insert_events(th_docs, store["deepvis_events"], as_of)
+    events, r = insert_events(th_docs, store["deepvis_events"], as_of, cut)
     rejects.append(r)
     merged = {"tenants": tenants, "endpoints": endpoints, "threats": threats}
     new_rows = {"threat_notes": note_rows, "threat_indicators": ind_rows,

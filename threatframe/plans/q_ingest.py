@@ -71,9 +71,9 @@ def alert_documents(spark, sf_dir) -> DataFrame:
 
 
 def land_documents(docs: DataFrame, path: str) -> str:
-    """Write documents as JSON Lines, files in key order (batch order)."""
+    """Write documents as gzipped JSON Lines, files in key order (batch order)."""
     (docs.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
-     .write.mode("overwrite").json(path))
+     .write.mode("overwrite").option("compression", "gzip").json(path))
     return path
 
 

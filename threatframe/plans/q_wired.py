@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threatframe.operators import agg, filters, joins, metrics, project, upsert, validate
 from threatframe.plans import roles as R
-from threatframe.plans.q_ingest import AS_OF, INGEST_TABLES, alert_documents
+from threatframe.plans.q_ingest import AS_OF, INGEST_TABLES, alert_documents, land_documents
 from threatframe.plans.registry import load, register
 from threatframe.schemas import NOTE_PAGE
 from threatframe.session import ensure_utc, scratch_path
@@ -313,8 +313,7 @@ def q_ingest_children(spark, sf_dir):
     late = docs.filter(info["createdAt"] >= "1998")
     root = scratch_path(spark, "store")
     for batch in (early, late.unionByName(late)):
-        path = scratch_path(spark, "alerts")
-        batch.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key").write.json(path)
+        path = land_documents(batch, scratch_path(spark, "alerts"))
         ingest_into(spark, root, scan_threats(spark, path), AS_OF)
     t = {name: store.read_table(spark, root, name) for name in INGEST_TABLES}
     ind = t["threat_indicators"].select("indicator_id", F.concat_ws(

@@ -99,9 +99,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As `cut_lineage`, but kept in columns under the checkpoint directory: for wide
-    rows of which later steps read a few columns each."""
-    path = scratch_path(df.sparkSession, "rows")
+def written(df: DataFrame, under: str | None = None) -> DataFrame:
+    """As `cut_lineage`, but kept in columns and compressed, under the checkpoint directory
+    or the folder `under`: for rows of which later steps read a few columns each, or that
+    are `dropped` once the work is done."""
+    path = f"{under}/rows-{uuid.uuid4().hex}" if under else scratch_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder that no frame in use reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
